@@ -13,6 +13,8 @@ The winners travel back by (digest, salt) too, so no join key is hot.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,29 @@ from .common import text_or_empty
 
 #: What normalisation deletes; fixed by the definition of equality.
 BLANKS = r"[\x20\x09-\x0D]+"
-SALTS = 64
+SALTS = 64  #: At most 64: a class's salts travel as the bits of one number.
+#: More than any id's part of a rank.
+_STEP = Decimal(2**65)
 
 
 def normalise(text: Column) -> Column:
     return F.regexp_replace(text, BLANKS, "")
 
 
+def _rank() -> Column:
+    """Orders rows by code points, then smaller id, null ids last, in one number that a hash aggregate can hold."""
+    by_id = F.coalesce(F.lit(Decimal(2**63)).cast("decimal(38,0)") - F.col("doc_id"), F.lit(0))
+    return (F.col("n").cast("decimal(38,0)") * F.lit(_STEP) + by_id).cast("decimal(38,0)")
+
+
+def _ranked_id(rank: Column) -> Column:
+    by_id = rank % F.lit(_STEP)
+    return F.when(by_id > 0, (F.lit(Decimal(2**63)).cast("decimal(38,0)") - by_id).cast("long"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``,
+    code points ``n`` and ``row_tag``, a hash of the original text.
 
     The row with the most code points in its original text stays, then the one
     with the smallest id.  Null texts count as empty; a null id loses to any
@@ -40,28 +56,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         normalise(F.col("text")).alias("content"),
         F.length("text").cast("long").alias("n"),
         F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
-    ).withColumn("text_sha256", F.sha2(F.col("content"), 256))
-    better = F.struct(F.col("n"), (-F.col("doc_id")).alias("id"))
-    salted = rows.groupBy("text_sha256", "salt", "content").agg(F.max(better).alias("best"), F.count(F.lit(1)).alias("size"))
+        F.xxhash64("text").alias("row_tag"),
+    ).withColumn("text_sha256", F.coalesce(F.sha2(F.col("content"), 256), F.lit("")))  # never null, and so no filter repeats it
+    salted = rows.groupBy("text_sha256", "salt", "content").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("size"))
     winners = salted.groupBy("text_sha256", "content").agg(
-        F.max("best").alias("best"), F.sum("size").alias("group_size"), F.collect_set("salt").alias("salts")
+        F.max("best").alias("best"), F.sum("size").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
     )
     # Two contents of one digest are told apart by a second hash of the content.
-    routes = winners.select(
-        "text_sha256", F.xxhash64("content").alias("tag"), F.explode("salts").alias("salt"), (-F.col("best.id")).alias("keep_id"), "group_size"
-    )
+    routes = winners.select("text_sha256", F.xxhash64("content").alias("tag"), _ranked_id(F.col("best")).alias("keep_id"), "group_size", "salts")
+    routes = routes.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda k: F.call_function("getbit", F.col("salts"), k) == 1)))
     return (
-        rows.select("doc_id", "text_sha256", F.xxhash64("content").alias("tag"), "salt")
+        rows.select("doc_id", "text_sha256", F.xxhash64("content").alias("tag"), "salt", "n", "row_tag")
         .join(routes, ["text_sha256", "tag", "salt"])
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n", "row_tag")
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns and in their form.
 
-    Rows that repeat both id and text leave one row.
+    Rows that repeat the id of the row that stays, in its group, leave one row.
     """
-    stays = exact_groups(docs, id_col, text_col, salts).filter("kept").groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
-    joined = docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"])).withColumn("_copy", F.when(F.col("_rows") > 1, docs[text_col]))
-    return joined.dropDuplicates(["_stays", "_copy"]).select(*[docs[c] for c in docs.columns])
+    stays = exact_groups(docs, id_col, text_col, salts).filter("kept").groupBy(F.col("doc_id").alias("_id"), "text_sha256")
+    stays = stays.agg(F.max(F.struct("n", "row_tag"))["row_tag"].alias("_tag")).drop("text_sha256")
+    tagged = docs.withColumn("_row_tag", F.xxhash64(text_or_empty(text_col)))
+    joined = tagged.join(stays, tagged[id_col].eqNullSafe(stays["_id"]) & (tagged["_row_tag"] == stays["_tag"]))
+    return joined.dropDuplicates(["_id", "_tag"]).select(*[tagged[c] for c in docs.columns])

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return exact_groups(table(spark, sf_dir, "documents", "doc_id", "text")).drop("n", "row_tag")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
