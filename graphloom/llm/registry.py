@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
@@ -32,12 +33,27 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(spark: SparkSession) -> str:
+    """Where the workers find the tokenizer's file: the setting ``graphloom.tokenizer``, or the installed package's."""
+    own = spark.conf.get("graphloom.tokenizer", None)
+    if own:
+        return own
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(spark))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=4)
 
 
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_bpe": op4_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op10_near_dedup": op10_near_dedup,
 }
