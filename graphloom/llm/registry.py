@@ -11,11 +11,17 @@ from . import bpe
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
+from .html_extract import extract
 from .near_dedup import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return extract(pages, ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents", "doc_id", "text")).drop("n", "row_tag")
 
@@ -48,10 +54,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=4)
+    return near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), size=4).drop("row_tag")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extract": op1_html_extract,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
     "op7_decontaminate": op7_decontaminate,
