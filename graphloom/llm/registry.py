@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .html_extract import extract
 from .near_dedup import near_groups
+from .secrets import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,22 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    order = F.create_map(*[F.lit(x) for kv in (("assign", 0), ("access", 1), ("hex", 2), ("novel", 3)) for x in kv])
+    name = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    every = F.array_sort(F.transform(F.concat("base", "novel"), lambda x: F.struct(x["start"].alias("at"), order[x["kind"]].alias("k"), name(x).alias("name"))))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(F.array_join(F.transform("base", name), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform(every, lambda x: x["name"]), ",").alias("spans"),
+    )
+
+
 def tokenizer_path(spark: SparkSession) -> str:
     """Where the workers find the tokenizer's file: the setting ``graphloom.tokenizer``, or the installed package's."""
     own = spark.conf.get("graphloom.tokenizer", None)
@@ -60,6 +77,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_html_extract": op1_html_extract,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op10_near_dedup": op10_near_dedup,
