@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handed to a vectorised kernel at once; its temporaries take some 40 times as much.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 19
+
+
+def give_memory_back() -> None:
+    """Let freed arrays of a worker go back to the system at once: an executor may keep several idle workers."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+give_memory_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

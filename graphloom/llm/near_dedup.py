@@ -8,16 +8,20 @@ agree between two sets with probability equal to their Jaccard similarity.
 permutation, are compared; a pair at similarity 0.8 shares none with
 probability (1 - 0.8**4)**32 = 5e-8.
 
-Work on links stays linear in the documents:
+Work on links stays near linear in the documents:
 
 * equal shingle sets are one node from the start, so copies never meet;
-* each band bucket proposes its smallest node as partner of all its members,
-  and every proposal is confirmed on the full sets;
-* nodes that this leaves in another component than others of their bucket are
-  tried against further members, picked anew per bucket and round, and once
-  few pairs are left all of them are confirmed, so no link within a bucket that
-  could still join two components goes untested.
-
+* nodes that share band buckets, directly or through others, form a cluster;
+  each node's set is sent once to its cluster, and there a node is tried against
+  others of its buckets only while they are in different components;
+* a cluster is cut into blocks of bounded size, and each pair of blocks is one
+  task;
+* a cluster of too many blocks is linked by proposals instead: each bucket
+  proposes one node to all its members, confirmed by joins on the full sets,
+  with new proposals until few untested pairs between components are left, and
+  those are confirmed too.
+
+No link within a bucket that could still join two components goes untested.
 Sets are compared as sets of 64-bit shingle hashes.
 """
 
@@ -30,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, materialise, slices, text_or_empty
+from .common import arrow_limits, arrow_map, bytes_of, materialise, slices, text_or_empty
 from .components import connected_components
 from .textbuf import NONSPACE, mix, shingles, stream, words
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 #: Untested pairs per node up to which they are confirmed at once, and rounds of partners tried before that.
 DIRECT_PAIRS, PARTNER_ROUNDS = 4, 6
-SLICE = 2 << 20
+#: Shingles in a block of a cluster, and blocks up to which its block pairs are tried.
+BLOCK_SHINGLES, CLUSTER_BLOCKS = 1 << 20, 16
 
 
 def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -86,29 +91,30 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     """Per row: id, ``n_shingles``, ``node`` (a hash of the whole set, null if empty) and its ``bands``."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text"):
             sets = _sets(part, size)
             keys = band_keys(signatures(sets)).view(np.int64)
             nodes = [set_hash(s) if len(s) else None for s in sets]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), bands], names=["doc_id", "n_shingles", "node", "bands"]
+                [part.column("doc_id"), part.column("row_tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), bands],
+                names=["doc_id", "row_tag", "n_shingles", "node", "bands"],
             )
 
-    return arrow_map(docs, profile, "doc_id long, n_shingles long, node long, bands array<long>")
+    return arrow_map(docs, profile, "doc_id long, row_tag long, n_shingles long, node long, bands array<long>")
 
 
 def shingle_sets(nodes_text: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of (node, text)."""
+    """(node, shingles, hash) of (node, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text"):
             found = _sets(part, size)
             at = np.concatenate([[0], np.cumsum([len(s) for s in found])])
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values)), pa.array([set_hash(s) if len(s) else None for s in found], pa.int64())], names=["node", "shingles", "hash"])
 
-    return arrow_map(nodes_text, sets, "node long, shingles array<long>")
+    return arrow_map(nodes_text, sets, "node long, shingles array<long>, hash long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -122,7 +128,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``row_tag``, a hash of the text.
 
     Texts with equal shingle sets, or linked through similar ones, share the
     smallest id among them.  An empty or null text has no shingles and is its
@@ -131,26 +137,111 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     further columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("row_tag", F.xxhash64("text"))
     found = materialise(profiles(rows, size))
-    nodes = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
-    bands = found.filter("node is not null").select("node", F.explode("bands").alias("bucket"))
-    bucket = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket")
-    shared = materialise(bands.join(bucket, "bucket").distinct())
-    wanted = shared.select("node").distinct()
-    ids = wanted.join(nodes, "node").select("node", F.col("low").alias("doc_id"))
-    sets = materialise(shingle_sets(rows.join(ids, "doc_id").select("node", "text"), size)).dropDuplicates(["node"])
-    components = _link(shared, sets, percent)
+    nodes = found.filter("node is not null").groupBy("node")
+    nodes = materialise(nodes.agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    bands = nodes.select("node", F.explode("bands").alias("bucket"))
+    bucket = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket", "least")
+    cluster = connected_components(bands.join(bucket, "bucket").select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "cluster")
+    blocks = cluster.join(nodes, "node").groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    members = materialise(cluster.join(nodes, "node").join(blocks, "cluster"))
+    texts = rows.join(members.select("node", "low"), F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
+    # Rows that repeat an id may bring another text; the set's own hash tells.
+    sets = materialise(shingle_sets(texts, size).filter("node = hash").select("node", "shingles").dropDuplicates(["node"]))
+    links = materialise(_link_blocks(members.filter(F.col("blocks") <= CLUSTER_BLOCKS), sets, percent))
+    large = members.filter(F.col("blocks") > CLUSTER_BLOCKS)
+    if not large.isEmpty():
+        links = links.unionByName(_link_by_proposals(large.select("node", F.explode("bands").alias("bucket")), sets, percent))
+    components = connected_components(links)
     lowest = components.join(nodes, "node").groupBy("component").agg(F.min("low").alias("component_id"))
     named = components.join(lowest, "component").select("node", "component_id")
     alone = nodes.join(components.select("node"), "node", "left_anti").select("node", F.col("low").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "node").join(named.unionByName(alone), "node", "left")
+    out = found.select("doc_id", "row_tag", "n_shingles", "node").join(named.unionByName(alone), "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) over all confirmed links between nodes that share a bucket (bucket, node)."""
-    spark = shared.sparkSession
+    return out.select("doc_id", "row_tag", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+class Forest:
+    """Union-find over the rows of one task."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def union(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if len(small) * 100 < len(large) * percent:
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def block_links(nodes: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all rows of a task which are linked through shared buckets; pairs already joined are not tried."""
+    forest, links, failed = Forest(len(nodes)), [], set()
+    flat = bands.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    for part in np.split(order // bands.shape[1], np.flatnonzero(np.diff(flat[order])) + 1):
+        if len(part) < 2:
+            continue
+        groups: dict[int, list[int]] = {}
+        for x in part.tolist():
+            mine = [x]
+            for other in list(groups):
+                if other not in groups:
+                    continue
+                there = groups[other]
+                joined = forest.root(x) == forest.root(other)
+                for y in [] if joined else there:
+                    pair = (x, y) if x < y else (y, x)
+                    if pair in failed:
+                        continue
+                    if similar(sets[x], sets[y], percent):
+                        forest.union(x, y)
+                        links.append((int(nodes[x]), int(nodes[y])))
+                        joined = True
+                        break
+                    failed.add(pair)
+                if joined:
+                    mine += groups.pop(other)
+            groups[mine[0] if len(mine) == 1 else forest.root(x)] = mine
+    return links
+
+
+def _link_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the clusters of ``members``, one task for each pair of blocks of a cluster."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "bands").join(sets, "node")
+
+    def link(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        nodes = group.column("node").to_numpy()
+        column = group.column("bands").combine_chunks()
+        bands = column.flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), -1)
+        column = group.column("shingles").combine_chunks()
+        values, off = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+        found = block_links(nodes, bands, [values[a:b] for a, b in zip(off[:-1], off[1:], strict=True)], percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    arrow_limits(members.sparkSession)
+    return rows.groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long")
+
+
+def _link_by_proposals(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all nodes linked through shared buckets, from ``shared(bucket, node)`` of any size."""
+    shared = materialise(shared)
     links = tested = None
     labelled = shared.withColumn("component", F.col("node"))
     for turn in range(PARTNER_ROUNDS + 1):
@@ -183,14 +274,16 @@ def _link(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = materialise(confirm(pairs, sets, percent))
         links = new if links is None else links.unionByName(new)
-        parts = connected_components(links)
-        labelled = shared.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         if last:
             break
-    return parts if links is not None else spark.createDataFrame([], "node long, component long")
+        parts = connected_components(links)
+        labelled = shared.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    return links
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their component: one of each group, the one with the smallest id."""
-    stays = near_groups(docs, size, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"]), "left_semi")
+    stays = near_groups(docs, size, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("row_tag").alias("_tag")).distinct()
+    tagged = docs.withColumn("_row_tag", F.xxhash64(text_or_empty(text_col)))
+    joined = tagged.join(stays, tagged[id_col].eqNullSafe(stays["_id"]) & (tagged["_row_tag"] == stays["_tag"]))
+    return joined.dropDuplicates(["_id", "_tag"]).select(*[tagged[c] for c in docs.columns])
