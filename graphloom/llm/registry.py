@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, language_id
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
@@ -56,6 +56,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(n: int, held: int) -> Column:
+    """Whether a row is held out: crc32 of its id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n == held
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~fold(4, 2)))
+    return language_id.identify(docs, model).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def tokenizer_path(spark: SparkSession) -> str:
     """Where the workers find the tokenizer's file: the setting ``graphloom.tokenizer``, or the installed package's."""
     own = spark.conf.get("graphloom.tokenizer", None)
@@ -80,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op7_decontaminate": op7_decontaminate,
+    "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
 
