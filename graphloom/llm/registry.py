@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id
+from . import bpe, language_id, toxicity
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
@@ -61,6 +61,14 @@ def fold(n: int, held: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n == held
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.train(docs.filter(~fold(5, 0)), labels.filter(~fold(5, 0)))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.train(docs.filter(~fold(4, 2)))
@@ -90,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
