@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, toxicity
+from . import bpe, language_id, quality, toxicity
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
@@ -69,6 +69,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs.filter(~fold(3, 1)), table(spark, sf_dir, "labels", "doc_id", "quality").filter(~fold(3, 1)))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.train(docs.filter(~fold(4, 2)))
@@ -99,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
