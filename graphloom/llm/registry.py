@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .html_extract import extract
 from .near_dedup import near_groups
+from .repeats import remove_repeats
 from .secrets import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +77,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.train(docs.filter(~fold(4, 2)))
@@ -108,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
