@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     text scores alike.
     """
     marked = labels.filter("toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    rows = docs.select("doc_id", text_or_empty().alias("_text")).join(marked, "doc_id")
+    # Labels grow with the corpus, so they are not broadcast, however few they are here.
+    rows = docs.select("doc_id", text_or_empty().alias("_text")).join(marked.hint("merge"), "doc_id")
     classes, tokens = _count(rows.select(F.col("_text").alias("text"), "toxic"))
     scores = token_scores(tokens[1], tokens[0], int(classes[1]), int(classes[0]))
     model = Model(scores, *extreme_value(scores, tokens[0]))
@@ -171,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if classes.min() > 0:
         share = min(1.0, sample_rows / n)
         picked = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)
-        part = docs.filter(picked).select("doc_id", text_or_empty().alias("_text")).join(marked.filter(picked), "doc_id")
-        sample = evidence(part, model, ["toxic"]).limit(2 * sample_rows).toPandas()
+        sample = marked.filter(picked).limit(2 * sample_rows)  # bounded, and so may be broadcast
+        part = docs.filter(picked).select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(sample), "doc_id")
+        sample = evidence(part, model, ["toxic"]).toPandas()
         if sample.toxic.nunique() == 2:
             model.slope, model.offset = fit_logistic(np.log1p(sample.evidence.to_numpy()), sample.toxic.to_numpy(float))
     return model
