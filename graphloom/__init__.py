@@ -1,0 +1 @@
+"""A labelled-property-graph analytics engine on Spark DataFrames."""
