@@ -13,25 +13,38 @@ after a common word start are those of the whole text.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bytes_of, slices, text_or_empty
 from .textbuf import stream
 
-#: A cut is made where so many bits of the rolling hash are 0: every 1,024 bytes on average.
-CUT_BITS, LEAST_CHUNK = 10, 256
+# Tasks are the unit of parallelism: a worker's own threads would only contend for its core.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+#: A cut is made where so many bits of the rolling hash are 0: every 2,048 bytes on average.
+CUT_BITS, LEAST_CHUNK = 11, 512
 #: Bytes that a split into words may look ahead: three characters of four bytes.
 LOOKAHEAD = 12
 #: Chunks held by a worker, and word starts remembered of each.
-CACHE_CHUNKS, HEAD_STARTS = 6000, 48
-SLICE = 2 << 20
+CACHE_CHUNKS, HEAD_STARTS = 4000, 16
+#: How a byte-level tokenizer splits words, and the characters about which all Unicode versions agree in it.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+UNCOMMON = re.compile("[^\x20-\x7e\n\t\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
+#: A place before which a word surely ends, whatever stands further left, and the last characters among which one is looked for.
+SURE, TAIL = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])"), 72
+#: Bytes of a right chunk that are encoded first to find where it agrees.
+FIRST_BRIDGE = 32
 _GEAR = (stream(41, 256) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -62,6 +75,13 @@ class Chunk:
     safe: tuple[int, int]
 
 
+def _whole(data: bytes, at: int, most: int) -> int:
+    """The next place from ``at``, up to ``most``, that splits no character."""
+    while at < most and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
 class Encoder:
     """One tokenizer with its chunk cache."""
 
@@ -83,17 +103,75 @@ class Encoder:
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.cache: OrderedDict[bytes, Chunk] = OrderedDict()
         self.encoded_bytes = self.reused_bytes = 0
+        pattern = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        self.splits_words = pattern.get("type") == "ByteLevel" and pattern.get("use_regex", False) and not pattern.get("add_prefix_space", False)
+        self.quick = self._quick(vocabulary, special)
+
+    def _quick(self, vocabulary: dict[str, int], special: dict[int, bytes]):
+        """The same merges in a faster library, which merges by the ids of the results alone; None if that may differ.
+
+        It gives the tokenizer's own ids if ids are in the order of the merges
+        and every token's bytes, alone, merge to that token: just before a merge
+        to t, no token crosses the ends of t's bytes, so they have merged as they
+        do alone, and the pair that gives t is the tokenizer's.
+        """
+        import tiktoken
+
+        model = json.loads(self.tokenizer.to_str())["model"]
+        ranks = {self.bytes[i]: i for i in vocabulary.values() if i not in special}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        made = [vocabulary.get(a + b, -1) for a, b in pairs]
+        if not self.splits_words or model.get("type") != "BPE" or made != sorted(set(made)) or len(ranks) != len(pairs) + 256 or any(len(b) == 1 and i > min(made) for b, i in ranks.items()):
+            return None
+        if any(len(self.tokenizer.model.tokenize(token)) != 1 for token, i in vocabulary.items() if i not in special):
+            return None
+        return tiktoken.Encoding("own", pat_str=WORD.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _measure(self, encoding, size: int) -> Chunk:
+        """A chunk whose word starts are the tokenizer's own."""
         ids = np.array(encoding.ids, np.uint32)
         word = np.array(encoding.word_ids, np.int64)
         first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1]) if len(ids) else np.zeros(0, np.int64)
         at = (np.cumsum(self.lengths[ids]) - self.lengths[ids])[first] if len(ids) else first
-        ends = np.append(at[1:], size) if len(ids) else at
-        unsafe = np.flatnonzero((at + LOOKAHEAD > size) | (ends >= size))
-        k = int(unsafe[0]) if len(unsafe) else 0
-        safe = (int(first[k]), int(at[k])) if len(ids) else (0, 0)
-        return Chunk(ids, dict(zip(at[:HEAD_STARTS].tolist(), first[:HEAD_STARTS].tolist(), strict=True)), safe)
+        starts = dict(zip(at[:HEAD_STARTS].tolist(), first[:HEAD_STARTS].tolist(), strict=True))
+        return Chunk(ids, starts, self._safe(first.tolist(), at.tolist(), size))
+
+    @staticmethod
+    def _safe(first: list[int], at: list[int], size: int) -> tuple[int, int]:
+        """The first of the last words that could look beyond the chunk's end."""
+        safe, end = (0, 0), size
+        for token, byte in zip(reversed(first), reversed(at), strict=True):
+            if byte + LOOKAHEAD <= size and end < size:
+                break
+            safe, end = (token, byte), byte
+        return safe
+
+    def _edges(self, text: str, size: int) -> Chunk | None:
+        """A chunk whose word starts are found near its two ends only; None if there is no sure place near its end."""
+        tail = max(0, len(text) - TAIL)
+        sure = next(SURE.finditer(text, tail, max(tail, len(text) - 2 * LOOKAHEAD)), None) if tail else None
+        if tail and sure is None:
+            return None
+        ids = self.quick.encode_to_numpy(text, disallowed_special=())
+        sums = np.cumsum(self.lengths[ids])
+        # The head's last word may be cut short by the end of what is looked at, and so its end is no start.
+        head = [m.start() for m in WORD.finditer(text, 0, min(len(text), 4 * HEAD_STARTS))][:HEAD_STARTS]
+        head = head if len(text) <= 4 * HEAD_STARTS else head[:-3]
+        at = head if text.isascii() else [len(text[:c].encode()) for c in head]
+        first = np.searchsorted(sums, at, side="right").tolist()
+        begin = sure.start() if sure else 0
+        base = size - len(text[begin:].encode())
+        last = [base + len(text[begin : m.start()].encode()) for m in WORD.finditer(text, begin)]
+        last_first = np.searchsorted(sums, last, side="right").tolist()
+        return Chunk(ids, dict(zip(at, first, strict=True)), self._safe(last_first, last, size))
+
+    def encode_chunks(self, chunks: list[bytes]) -> list[Chunk]:
+        texts = [c.decode() for c in chunks]
+        out = [None if self.quick is None or UNCOMMON.search(t) else self._edges(t, len(c)) for t, c in zip(texts, chunks, strict=True)]
+        slow = [k for k, c in enumerate(out) if c is None]
+        for k, encoding in zip(slow, self.tokenizer.encode_batch([texts[k] for k in slow], add_special_tokens=False), strict=True):
+            out[k] = self._measure(encoding, len(chunks[k]))
+        return out  # type: ignore[return-value]
 
     def fill(self, chunks: list[bytes]) -> dict[bytes, Chunk]:
         """The given chunks' encodings, each distinct one encoded once and cached ones not at all."""
@@ -111,25 +189,34 @@ class Encoder:
                 missing.append(c)
                 found[c] = None  # type: ignore[assignment]
         self.encoded_bytes += sum(map(len, missing))
-        for c, e in zip(missing, self.tokenizer.encode_batch([c.decode() for c in missing], add_special_tokens=False), strict=True):
-            found[c] = self.cache[c] = self._measure(e, len(c))
+        for c, chunk in zip(missing, self.encode_chunks(missing), strict=True):
+            found[c] = self.cache[c] = chunk
         while len(self.cache) > CACHE_CHUNKS:
             self.cache.popitem(last=False)
         return found
 
-    def join(self, data: bytes, ends: list[int], found: dict[bytes, Chunk]) -> np.ndarray:
+    def bridges(self, texts: list[tuple[bytes, list[int]]], found: dict[bytes, Chunk]) -> dict[bytes, Chunk]:
+        """Encodings of the first bridge over every join, made in one call."""
+        spans = set()
+        for data, ends in texts:
+            start = 0
+            for end, after in zip(ends, ends[1:], strict=False):
+                spans.add(data[start + found[data[start:end]].safe[1] : _whole(data, min(end + FIRST_BRIDGE, after), after)])
+                start = end
+        spans_ = list(spans)
+        return dict(zip(spans_, self.encode_chunks(spans_), strict=True))
+
+    def join(self, data: bytes, ends: list[int], found: dict[bytes, Chunk], bridges: dict[bytes, Chunk]) -> np.ndarray:
         """The ids of ``data``, cut at ``ends``, from its chunks' encodings."""
         start, out = 0, []
         pending = 0  # ids are certain before this byte
         for end in ends:
             chunk = found[data[start:end]]
-            more = 32
+            more = FIRST_BRIDGE
             first = 0
             while pending < start:
-                stop = min(start + more, end)
-                while stop < end and data[stop] & 0xC0 == 0x80:
-                    stop += 1
-                bridge = self._measure(self.tokenizer.encode(data[pending:stop].decode(), add_special_tokens=False), stop - pending)
+                stop = _whole(data, min(start + more, end), end)
+                bridge = bridges.get(data[pending:stop]) or self.encode_chunks([data[pending:stop]])[0]
                 sure = bridge.safe[1] + pending
                 agreed = next((p for p in bridge.starts if start <= p + pending <= sure and p + pending - start in chunk.starts), None)
                 if agreed is not None:
@@ -142,11 +229,12 @@ class Encoder:
                     break
                 more *= 2
             if pending >= start and first <= chunk.safe[0] and pending - start in chunk.starts and pending - start <= chunk.safe[1]:
-                out.append(chunk.ids[chunk.starts[pending - start] : chunk.safe[0]])
-                pending = start + chunk.safe[1]
+                last = end == len(data)  # nothing follows that could change its last words
+                out.append(chunk.ids[chunk.starts[pending - start] : None if last else chunk.safe[0]])
+                pending = end if last else start + chunk.safe[1]
             start = end
         if pending < len(data):
-            out.append(np.array(self.tokenizer.encode(data[pending:].decode(), add_special_tokens=False).ids, np.uint32))
+            out.append(self.encode_chunks([data[pending:]])[0].ids)
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
@@ -169,9 +257,10 @@ class Encoder:
                             last = c
                     plans[span] = [*ends, b - a]
         found = self.fill([raw[a + s : a + e] for (a, _), ends in plans.items() for s, e in zip([0, *ends], ends, strict=False)])
+        bridges = self.bridges([(raw[a:b], ends) for (a, b), ends in plans.items() if len(ends) > 1], found)
         out = []
         for spans in units:
-            parts = [np.array([s], np.uint32) if isinstance(s, int) else self.join(raw[s[0] : s[1]], plans[s], found) for s in spans]
+            parts = [np.array([s], np.uint32) if isinstance(s, int) else self.join(raw[s[0] : s[1]], plans[s], found, bridges) for s in spans]
             out.append(np.concatenate(parts) if parts else np.zeros(0, np.uint32))
         return out
 
@@ -214,7 +303,7 @@ def encode(docs: DataFrame, tokenizer_path: str, carry: list[str], text_col: str
     rows = docs.select(*carry, text_or_empty(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text", SLICE):
+        for part in slices(batches, "_text"):
             ids = encoder(tokenizer_path).encode(part.column("_text"))
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = pa.array(np.concatenate(ids).view(np.int32))
@@ -237,12 +326,15 @@ def decode(rows: DataFrame, tokenizer_path: str, carry: list[str], ids_col: str
     return arrow_map(rows.select(*dict.fromkeys([*carry, ids_col])), run, ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["text string"]))
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, then decode, each text in one pass: id, ``n_tokens`` and digests of the ids and of the decoded text."""
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode, then decode, each text in one pass: id, ``n_tokens``, digests of the ids and of the decoded text, and the ``ids`` if asked for.
+
+    A null or empty text has no ids; rows that repeat stay; an empty table gives an empty result.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text"):
             own = encoder(tokenizer_path)
             ids = own.encode(part.column("text"))
             columns = [
@@ -251,6 +343,9 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
                 pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids).view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return arrow_map(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -15,6 +15,10 @@ def own():
     return bpe.Encoder(PATH)
 
 
+def test_every_token_alone_is_itself(own):
+    assert own.quick is not None
+
+
 def check(own, texts):
     want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
     got = own.encode(pa.array(texts))
@@ -22,7 +26,7 @@ def check(own, texts):
     assert [own.decode(x) for x in got] == own.tokenizer.decode_batch(want, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("bits,least", [(10, 256), (3, 1), (1, 1)])
+@pytest.mark.parametrize("bits,least", [(11, 512), (6, 40), (3, 1), (1, 1)])
 def test_equals_the_plain_tokenizer(own, monkeypatch, bits, least):
     """Chunks of a few bytes make every kind of join."""
     monkeypatch.setattr(bpe, "CUT_BITS", bits)
@@ -30,7 +34,8 @@ def test_equals_the_plain_tokenizer(own, monkeypatch, bits, least):
     rng = random.Random(bits)
     own.cache.clear()
     texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 300))) for _ in range(150)]
-    check(own, ["", *texts, "".join(texts), "a" * 30_000, " " * 9_000 + "b", *texts[:20]])
+    prose = "".join(rng.choices(["the ", "don't ", "we'll ", "it's", " fell", "\n", ", ", "größe ", "12 ", "  ", "'", "l", " $$ ", "été\n\n", "¿qué? ", "«½» ", "– ", "“x” ", "ª²"], k=20_000))
+    check(own, [prose, "", *texts, "".join(texts), "a" * 30_000, " " * 9_000 + "b", *texts[:20]])
 
 
 def test_shared_passages_are_encoded_once(own):
