@@ -217,3 +217,18 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
 
     out = arrow_map(rows, run, ", ".join([f"{k} {kinds[c]}" for c, k in zip(carry, names, strict=True)] + ["score double"]))
     return out.select(*[F.col(k).alias(c) for c, k in zip(carry, names, strict=True)], "score")
+
+
+def select_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns and in their form."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [f"c{k}" for k in range(batch.num_columns)]
+            for part in slices(iter([batch.rename_columns(names)]), names[at]):
+                z = sent.value.logits(features(*bytes_of(part.column(at))))
+                yield part.filter(pa.array(_sigmoid(z) >= least)).rename_columns(batch.schema.names)
+
+    return arrow_map(docs, run, docs.schema)
