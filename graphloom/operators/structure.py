@@ -93,13 +93,14 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     Edges point from lower to higher degree, so the pairs joined at a node stay
     few however many edges a hub has.
     """
-    both = cut(undirected(edges))
-    degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-    ends = both.filter("u < v").join(degree.select("u", F.col("d").alias("du")), "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
+    simple = edges.filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    simple = cut(simple)
+    degree = simple.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("d"))
+    ends = simple.join(degree.select("u", F.col("d").alias("du")), "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
     up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
     arcs = cut(ends.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("v")))
-    wedges = arcs.select(F.col("u").alias("c"), F.col("v").alias("x")).join(arcs.select(F.col("u").alias("c"), F.col("v").alias("y")), "c").filter("x <> y")
-    closed = wedges.join(arcs.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
+    wedges = arcs.select(F.col("u").alias("c"), F.col("v").alias("x")).join(arcs.select(F.col("u").alias("c"), F.col("v").alias("y")), "c").filter("x < y")
+    closed = wedges.join(simple.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])  # both have the lesser id first
     return closed.agg(F.count(F.lit(1)).alias("n_triangles"))
 
 
