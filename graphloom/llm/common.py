@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,6 +26,15 @@ def give_memory_back() -> None:
         libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):  # another C library
         pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def trim_memory() -> None:
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 give_memory_back()
@@ -62,8 +72,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def arrow_limits(spark: SparkSession) -> None:
     """Keep each Arrow batch small enough for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -102,4 +112,9 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     arrow_limits(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim_memory()
+
+    return df.mapInArrow(run, schema)
