@@ -112,7 +112,34 @@ def train(rows: DataFrame) -> Model:
 
 
 def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-    """The best language of each word of one text, where a switch costs ``penalty``."""
+    """The best language of each word of one text, from (word, language) scores, where a switch costs ``penalty``."""
+    n, k = scores.shape
+    if k > 16:
+        return _viterbi_wide(scores, penalty)
+    rows = scores.tolist()
+    best, tops, stays = rows[0], [0] * n, [0] * n
+    for t in range(1, n):
+        high = max(best)
+        low, bit, stay, new = high - penalty, 1, 0, []
+        for b, r in zip(best, rows[t], strict=True):
+            if b >= low:
+                stay |= bit
+                new.append(b + r)
+            else:
+                new.append(low + r)
+            bit <<= 1
+        tops[t], stays[t] = best.index(high), stay
+        best = new
+    state = best.index(max(best))
+    path = [state] * n
+    for t in range(n - 1, 0, -1):
+        if not stays[t] >> state & 1:
+            state = tops[t]
+        path[t - 1] = state
+    return np.array(path, np.int64)
+
+
+def _viterbi_wide(scores: np.ndarray, penalty: float) -> np.ndarray:
     n, k = scores.shape
     back = np.empty((n, k), np.int32)
     best = scores[0].copy()
@@ -129,18 +156,28 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
 
 
 def _steady(scores: np.ndarray, first: np.ndarray, base: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Texts of which the best path surely never leaves ``base``: no span gains half a switch over it in any language."""
+    """Texts of which the best path surely is ``base`` throughout, from (language, word) scores; no text may be empty.
+
+    A stretch of other languages gains no more than the sum of each word's best
+    gain over the base, and costs a switch at each end within the text.  So it
+    cannot pay if no window gains two switches, none at either end of the text
+    gains one, and the whole text gains nothing.
+    """
     doc = np.repeat(np.arange(len(counts)), counts)
-    gain = scores - scores[np.arange(len(doc)), base[doc]][:, None]
-    sums = np.cumsum(gain, axis=0, dtype=np.float64)
-    before = np.vstack([np.zeros(gain.shape[1]), sums[:-1]])
+    column = np.arange(len(doc))
+    others = scores.copy()
+    others[base[doc], column] = -np.inf
+    gain = np.maximum(others.max(axis=0) - scores[base[doc], column], -1e3)
+    sums = np.cumsum(gain)
+    before = sums - gain
+    start = first[:-1]
     # Texts are moved so far apart that a running minimum never looks back into the one before.
-    far = (np.abs(gain).sum(axis=0).max() + 1) * 2
-    low = np.minimum.accumulate(before - doc[:, None] * far, axis=0) + doc[:, None] * far
-    most = (sums - low).max(axis=1)
-    out = np.ones(len(counts), bool)
-    np.logical_and.at(out, doc, most < SWITCH / 2)
-    return out
+    far = (np.abs(gain).sum() + 1) * 2 * doc
+    window = np.maximum.reduceat(sums - (np.minimum.accumulate(before - far) + far), start)
+    ahead = np.maximum.reduceat(sums, start) - before[start]
+    total = sums[first[1:] - 1] - before[start]
+    behind = sums[first[1:] - 1] - np.minimum.reduceat(before, start)
+    return (window < 2 * SWITCH) & (ahead < SWITCH) & (behind < SWITCH) & (total < 0)
 
 
 def label(model: Model, buf: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int]]]:
@@ -152,23 +189,26 @@ def label(model: Model, buf: np.ndarray, off: np.ndarray) -> list[list[tuple[int
     if not len(start):
         return spans
     grams, at = _grams(low, start, end, len(model.trigrams))
-    scores = np.add.reduceat(model.trigrams[grams], at, axis=0)
+    scores = np.ascontiguousarray(np.add.reduceat(model.trigrams[grams], at, axis=0).T, dtype=np.float64)
     # A word counts by its mean over a few bytes, lest one long word outweigh a sentence.
-    scores *= np.minimum(1.0, 8.0 / (end - start))[:, None]
-    candidates = model.allowed[_scripts(low, start)]
-    candidates[~candidates.any(axis=1)] = True
-    scores = np.where(candidates, scores, scores.min(axis=1, keepdims=True) - SWITCH).astype(np.float64)
-    scores -= scores.max(axis=1, keepdims=True)
+    scores *= np.minimum(1.0, 8.0 / (end - start))
+    scripts = _scripts(low, start)
+    candidates = model.allowed.T[:, scripts]
+    candidates |= ~model.allowed.any(axis=1)[scripts]
+    scores = np.where(candidates, scores, scores.min(axis=0) - SWITCH)
+    scores -= scores.max(axis=0)
     full = np.flatnonzero(counts)
     base = np.zeros(len(counts), np.int64)
-    base[full] = np.add.reduceat(scores, first[full], axis=0).argmax(axis=1)
-    steady = _steady(scores, first, base, counts)
+    base[full] = np.add.reduceat(scores, first[full], axis=1).argmax(axis=0)
+    steady = np.ones(len(counts), bool)
+    if len(model.languages) > 1:
+        steady[full] = _steady(scores, np.append(first[full], len(start)), base[full], counts[full])
     for d in full.tolist():
         a, b = int(first[d]), int(first[d + 1])
         if steady[d]:
             spans[d] = [(int(start[a] - off[d]), int(end[b - 1] - off[d]), int(base[d]))]
         else:
-            path = viterbi(scores[a:b])
+            path = viterbi(scores[:, a:b].T)
             edge = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b - a]
             spans[d] = [(int(start[a + i] - off[d]), int(end[a + j - 1] - off[d]), int(path[i])) for i, j in zip(edge, edge[1:], strict=False)]
     return spans

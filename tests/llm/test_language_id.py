@@ -41,12 +41,12 @@ def test_no_training_rows(spark):
 
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        scores = rng.normal(0, 8, (int(rng.integers(1, 6)), 3))
+    for _ in range(600):
+        scores = rng.normal([0, -4, -6], 8, (int(rng.integers(1, 6)), 3))
         value = lambda p, s=scores: s[np.arange(len(p)), list(p)].sum() - L.SWITCH * sum(a != b for a, b in itertools.pairwise(p))
         best = max(value(p) for p in itertools.product(range(3), repeat=len(scores)))
         path = L.viterbi(scores)
-        assert abs(value(path) - best) < 1e-9
+        assert abs(value(path) - best) < 1e-9 and (path == L._viterbi_wide(scores, L.SWITCH)).all()
         base = np.array([scores.sum(axis=0).argmax()])
-        if L._steady(scores, np.array([0, len(scores)]), base, np.array([len(scores)]))[0]:
+        if L._steady(scores.T, np.array([0, len(scores)]), base, np.array([len(scores)]))[0]:
             assert (path == base[0]).all() or abs(value(np.repeat(base, len(scores))) - best) < 1e-9
