@@ -7,8 +7,8 @@ that starts a window is then binary-searched in that array; the equal range
 gives its locations, and comparing on from there its longest verbatim match.
 Documents are whole within a shard, so nothing is shuffled.
 
-Benchmark items are read in blocks of bounded size.  Each block is broadcast
-and adds one narrow pass over the documents, so a benchmark of any size works.
+Benchmark items are read in blocks of bounded size.  Each block is broadcast by
+itself, and a worker holds one at a time, so a benchmark of any size works.
 """
 
 from __future__ import annotations
@@ -176,35 +176,42 @@ def contamination(
     ``carry`` may include the text column; other columns are not read.
     """
     spark = docs.sparkSession
-    state = {"_n": "long", "_s": "array<struct<start:long,end:long>>", "_i": "array<string>", "_l": "long"}
     kinds = dict(docs.dtypes)
     kept = [c for c in carry if c != text_col]
-    out = docs.select(*kept, F.col(text_col).alias("_text"))
-    for k, block in enumerate(test_blocks(benchmark, window, block_bytes)):
-        sent = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], first: bool = k == 0, sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "_text", SHARD_BYTES):
-                rows = annotate(part, "_text", sent.value)
-                if not first:
-                    old = [part.column(c).to_pylist() for c in state]
-                    rows = [
-                        (n, hit_runs(*np.array(r + [(x["start"], x["end"]) for x in s], np.int64).reshape(-1, 2).T), i | set(j), max(m, longest))
-                        for (n, r, i, m), s, j, longest in zip(rows, *old[1:], strict=True)
-                    ]
-                columns = [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([[{"start": s, "end": e} for s, e in r[1]] for r in rows], pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))),
-                    pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
-                    pa.array([r[3] for r in rows], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in (*kept, "_text")] + columns, names=[*kept, "_text", *state])
-
-        fields = [f"`{c}` {kinds[c]}" for c in kept] + ["_text string"] + [f"{c} {t}" for c, t in state.items()]
-        out = arrow_map(out, scan, ", ".join(fields))
-    text = [F.col("_text").alias(text_col)] if text_col in carry else []
-    named = [F.col("_n").alias("n_words"), F.col("_s").alias("spans"), F.col("_i").alias("items"), F.col("_l").alias("longest")]
-    return out.select(*kept, *text, *named)
+    sent = [spark.sparkContext.broadcast(block) for block in test_blocks(benchmark, window, block_bytes)]
+
+    def blocks() -> Iterator[TestBlock]:
+        for b in sent:
+            yield b.value
+            if len(sent) > 1:
+                b.__dict__.pop("_value", None)  # it is read from the executor's disk again when needed
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text", SHARD_BYTES):
+            rows = None
+            for block in blocks():
+                new = annotate(part, "_text", block)
+                rows = new if rows is None else [_both(r, n) for r, n in zip(rows, new, strict=True)]
+            columns = [
+                pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([[{"start": s, "end": e} for s, e in r[1]] for r in rows], pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))),
+                pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
+                pa.array([r[3] for r in rows], pa.int64()),
+            ]
+            own = [part.column("_text" if c == text_col else c) for c in carry]
+            yield pa.RecordBatch.from_arrays(own + columns, names=[*carry, "n_words", "spans", "items", "longest"])
+
+    fields = [f"`{c}` {'string' if c == text_col else kinds[c]}" for c in carry]
+    fields += ["n_words long", "spans array<struct<start:long,end:long>>", "items array<string>", "longest long"]
+    return arrow_map(docs.select(*kept, F.col(text_col).alias("_text")), scan, ", ".join(fields))
+
+
+def _both(x: tuple, y: tuple) -> tuple:
+    """A row's findings in two blocks as one."""
+    if not x[1] or not y[1]:
+        return x if x[1] else y
+    spans = np.array(x[1] + y[1], np.int64)
+    return x[0], hit_runs(spans[:, 0], spans[:, 1]), x[2] | y[2], max(x[3], y[3])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
