@@ -152,3 +152,15 @@ def result_components(edges: DataFrame) -> DataFrame:
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
     own = edges.join(comp.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
     return sizes.join(own, "component").select("component", "n_nodes", "n_edges")
+
+
+def nodes_with_edge_property(g: Graph, name: str, value: str) -> DataFrame:
+    """(id) of nodes that have an edge, in either direction, with a property of some value."""
+    own = g.edges.filter(F.try_element_at("props", F.lit(name)) == value)
+    return own.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def successors_by_property(g: Graph, ids: DataFrame, name: str, value: str) -> DataFrame:
+    """(src, dst): out-neighbours of some nodes over edges with a property of some value."""
+    own = g.edges.filter(F.try_element_at("props", F.lit(name)) == value).select("src", "dst").distinct()
+    return own.join(ids.select(F.col("id").alias("src")), "src", "left_semi")

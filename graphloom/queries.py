@@ -401,6 +401,17 @@ def attribute_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.exact_match(large(spark, sf_dir), Query({"0": "1-URGENT", "1": ""}, (("0", "1"),)), {"1": predicate})
 
 
+@query("SELECT DISTINCT id FROM (SELECT 6000000000 + l_orderkey::BIGINT AS id FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 5000000000 + l_partkey::BIGINT FROM lineitem WHERE l_returnflag = 'R')")
+def edge_property_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.nodes_with_edge_property(large(spark, sf_dir), "flag", "R")
+
+
+@query("SELECT DISTINCT 6000000000 + l_orderkey::BIGINT AS src, 5000000000 + l_partkey::BIGINT AS dst FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def edge_property_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return matching.successors_by_property(g, indexes.ids_with_labels(g.nodes, ["1-URGENT"]), "flag", "A")
+
+
 # Whole-graph algorithms
 
 DIST = BOTH_WAYS + """reach(id, d) AS (SELECT 1000000000::BIGINT, 0 UNION SELECT v, d + 1 FROM reach JOIN steps ON u = id WHERE d < {depth}), dist AS (SELECT id, min(d) AS d FROM reach GROUP BY id) """
@@ -452,6 +463,17 @@ def regular_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.coloured_reach(g.edges, indexes.ids_with_labels(g.nodes, ["1-URGENT"]), [("CONTAINS", 1), ("SUPPLIED_BY", 1), ("IN_NATION", 1)])
 
 
+@query(LARGE + """arcs AS (SELECT DISTINCT src, dst FROM edges), o AS (SELECT id FROM nodes WHERE list_contains(labels, '1-URGENT')),
+    w AS (SELECT o.id AS src, c.dst AS dst, 3 AS d FROM o JOIN arcs a ON a.src = o.id JOIN arcs b ON b.src = a.dst JOIN arcs c ON c.src = b.dst WHERE c.dst BETWEEN 1000000000 AND 1000000001
+          UNION SELECT o.id, b.dst, 2 FROM o JOIN arcs a ON a.src = o.id JOIN arcs b ON b.src = a.dst WHERE b.dst BETWEEN 1000000000 AND 1000000001) SELECT src, dst, min(d) AS d FROM w GROUP BY src, dst""")
+def bounded_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which urgent orders come within three hops of two regions, meeting in the middle."""
+    g = large(spark, sf_dir)
+    orders = indexes.ids_with_labels(g.nodes, ["1-URGENT"]).select(F.col("id").alias("src"))
+    pairs = orders.withColumn("dst", F.explode(F.array(F.lit(10**9), F.lit(10**9 + 1))))
+    return traversal.within_bound(g.edges, pairs, 3)
+
+
 APSP = SMALL + BOTH_WAYS + "k AS (SELECT id AS a, id AS b, 0 AS d FROM nodes WHERE kind <= 2 UNION ALL SELECT n.id, u.v, 1 FROM nodes n JOIN steps u ON u.u = n.id WHERE n.kind <= 2 UNION ALL SELECT DISTINCT n.id, y.v, 2 FROM nodes n JOIN steps x ON x.u = n.id JOIN steps y ON y.u = x.v WHERE n.kind <= 2), dist AS (SELECT a, b, min(d) AS d FROM k GROUP BY a, b) "
 
 
@@ -513,6 +535,13 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.strong_components(g.nodes, with_region_cycles(g))
 
 
+@query(CYCLES + "r(s, id) AS (SELECT id, id FROM nodes UNION SELECT s, dst FROM r JOIN arcs ON src = id), c AS (SELECT a.s AS id, min(a.id) AS component FROM r a JOIN r b ON a.s = b.id AND a.id = b.s GROUP BY a.s) SELECT DISTINCT x.component AS src, y.component AS dst FROM arcs JOIN c x ON x.id = arcs.src JOIN c y ON y.id = arcs.dst WHERE x.component <> y.component")
+def scc_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = small(spark, sf_dir)
+    arcs = with_region_cycles(g)
+    return structure.condensation(arcs, structure.strong_components(g.nodes, arcs))
+
+
 @query(SMALL + "x AS (SELECT 1) SELECT id, CASE kind WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS level FROM nodes WHERE kind >= 3 OR (kind = 2 AND id IN (SELECT dst FROM edges)) OR (kind = 1 AND id IN (SELECT r.dst FROM edges r JOIN edges c ON c.dst = r.src))")
 def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = small(spark, sf_dir)
