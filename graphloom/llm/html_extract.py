@@ -40,10 +40,11 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner "
     "cookie cookies consent gdpr notice notices alert alertdialog menu menus menubar nav navbar navigation breadcrumb breadcrumbs sidebar sidebars "
     "complementary footer foot contentinfo comment comments reply replies disqus respond share sharing social related recommended recommendations "
-    "newsletter subscribe subscription signup login search popup modal overlay widget widgets toolbar pagination pager copyright hidden".split()
+    "newsletter subscribe subscription signup login search popup modal overlay widget widgets toolbar pagination pager copyright hidden "
+    "commentlist commentbox usercomments adbox adslot adunit sidenav topnav subnav mainnav sitenav cookiebar cookiebanner sitefooter pagefooter".split()
 )
 #: Marks that count outside an article only: an article may have a header of its own.
-PAGE_MARKS = frozenset("header masthead topbar head".split())
+PAGE_MARKS = frozenset("header masthead topbar head siteheader pageheader".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 

@@ -19,6 +19,12 @@ def test_without_an_article_the_dense_container_is_text():
     assert main_text(page) == "\n".join(["Head", LONG.strip(), "Yes."])
 
 
+def test_marked_parts_inside_an_article():
+    for mark in ('class="commentlist"', 'id="user-comments"', 'role="navigation"', 'class="AdSlot"', "hidden", 'style="display: none"', 'aria-hidden="true"'):
+        assert main_text(f"<main><p>{LONG}</p><div {mark}><p>{LONG}</p></div><p>End.</p></main>") == LONG.strip() + "\nEnd."
+    assert main_text(f'<main><div class="padding additional"><p>{LONG}</p></div></main>') == LONG.strip()
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == ""
     assert main_text("just text") == "just text"
