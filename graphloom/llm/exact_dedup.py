@@ -1,11 +1,13 @@
 """Exact deduplication by skew-safe combining.
 
-Every text is reduced to its digest and normalised content.  Combining runs in
-three stages and the full content is a grouping key, so is compared, in each:
+Every text is reduced to its digest and normalised content.  Digests of very many
+rows are found by counting first; only their rows are salted, over ``salts``
+keys, others have the one salt 0.  Combining runs in three stages and the full
+content is a grouping key, so is compared, in each:
 
 1. local: the map-side half of the salted aggregate merges equal texts inside a task;
 2. salted: its reduce side merges by (digest, salt, content), so a group that
-   holds a third of all rows is dealt out over ``salts`` keys;
+   holds a third of all rows is dealt out, and a group of one salt is done;
 3. global: one row per salt and class is merged into the class's winner.
 
 The winners travel back by (digest, salt) too, so no join key is hot.
@@ -22,6 +24,9 @@ from .common import text_or_empty
 
 #: What normalisation deletes; fixed by the definition of equality.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: A digest is salted from so many rows, if it is among so many of the most frequent ones; no other can hold
+#: more than one row in ``HOT_DIGESTS``, and the list is small enough to be broadcast.
+HOT_ROWS, HOT_DIGESTS = 1_000, 10_000
 SALTS = 64  #: At most 64: a class's salts travel as the bits of one number.
 #: More than any id's part of a rank.
 _STEP = Decimal(2**65)
@@ -42,6 +47,15 @@ def _ranked_id(rank: Column) -> Column:
     return F.when(by_id > 0, (F.lit(Decimal(2**63)).cast("decimal(38,0)") - by_id).cast("long"))
 
 
+def _salted(rows: DataFrame, salts: int) -> DataFrame:
+    """``rows`` with ``hot``, whether the digest is one of very many rows, and ``salt``."""
+    many = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= HOT_ROWS)
+    listed = many.orderBy(F.desc("rows"), "text_sha256").limit(HOT_DIGESTS).select("text_sha256").collect()
+    known = rows.sparkSession.createDataFrame(listed, "text_sha256 string").withColumn("known", F.lit(True))
+    found = rows.join(F.broadcast(known), "text_sha256", "left").withColumn("hot", F.coalesce("known", F.lit(False))).drop("known")
+    return found.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``,
     code points ``n`` and ``row_tag``, a hash of the original text.
@@ -55,13 +69,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         normalise(F.col("text")).alias("content"),
         F.length("text").cast("long").alias("n"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
         F.xxhash64("text").alias("row_tag"),
     ).withColumn("text_sha256", F.coalesce(F.sha2(F.col("content"), 256), F.lit("")))  # never null, and so no filter repeats it
-    salted = rows.groupBy("text_sha256", "salt", "content").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("size"))
-    winners = salted.groupBy("text_sha256", "content").agg(
-        F.max("best").alias("best"), F.sum("size").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+    rows = _salted(rows, salts)
+    merged = rows.groupBy("hot", "text_sha256", "salt", "content").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    cold = merged.filter("not hot").select("text_sha256", "content", "best", "group_size", F.lit(1).cast("long").alias("salts"))
+    hot = merged.filter("hot").groupBy("text_sha256", "content").agg(
+        F.max("best").alias("best"), F.sum("group_size").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
     )
+    winners = cold.unionByName(hot)
     # Two contents of one digest are told apart by a second hash of the content.
     routes = winners.select("text_sha256", F.xxhash64("content").alias("tag"), _ranked_id(F.col("best")).alias("keep_id"), "group_size", "salts")
     routes = routes.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda k: F.call_function("getbit", F.col("salts"), k) == 1)))

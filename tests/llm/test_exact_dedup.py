@@ -1,11 +1,16 @@
 import hashlib
 
+import pytest
+
+from graphloom.llm import exact_dedup as exact_dedup_module
 from graphloom.llm.exact_dedup import exact_dedup, exact_groups
 
 ROWS = [(1, "a b"), (2, "ab"), (None, "a  b "), (None, None), (5, ""), (7, "x"), (7, "x"), (-9, "x"), (4, "y" * 200_000), (3, "y" * 200_000 + "\n")]
 
 
-def test_groups_ties_nulls_and_repeats(spark):
+@pytest.mark.parametrize("hot_rows", [1_000, 2])
+def test_groups_ties_nulls_and_repeats(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(exact_dedup_module, "HOT_ROWS", hot_rows)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_groups(docs).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -20,6 +25,14 @@ def test_rows_that_stay_keep_their_form(spark):
     assert got == sorted([(None, "a  b ", "c"), (-9, "x", "c"), (5, "", "c"), (3, "y" * 200_000 + "\n", "c")], key=str)
 
 
+def test_a_hot_group_among_others(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module, "HOT_ROWS", 5)
+    rows = [(k, "hot text" + " " * (k % 3)) for k in range(300)] + [(1000 + k, f"cold {k // 2}") for k in range(40)]
+    got = {r.doc_id: r for r in exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].keep_id == 2 and got[k].group_size == 300 for k in range(300))
+    assert all(got[1000 + k].keep_id == 1000 + k // 2 * 2 and got[1000 + k].group_size == 2 for k in range(40))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_groups(docs).count() == 0 and exact_dedup(docs).count() == 0
