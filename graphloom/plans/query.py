@@ -102,7 +102,7 @@ def decompose(query: Query, weights: Mapping[str, int]) -> list[Star]:
 
 
 def make_plan(query: Query, stars: Iterable[Star]) -> Plan:
-    """Left-deep order from the last star found back, each star next to one that it shares a node with where there is one."""
+    """Left-deep order from the last star found back, each star after one that it shares a node with (of a connected query)."""
     rest = list(stars)[::-1]
     order = [rest.pop(0)]
     while rest:

@@ -78,6 +78,8 @@ class Matcher:
     """One query against one graph: its candidates, plan and star tables."""
 
     def __init__(self, g: Graph, query: Query, p: int = 12, theta: float = 0.3, structural: bool = False) -> None:
+        if not query.connected():
+            raise ValueError("the query graph is not connected, so its answers are products")
         self.graph, self.query = g, query
         self.cands = candidates(g, query, p, theta, structural).persist()
         self.counts: Mapping[str, int] = {q: 0 for q in query.ids} | {r.qid: r.n for r in candidate_counts(self.cands).collect()}
@@ -108,7 +110,7 @@ class Matcher:
         covered = list(self.plan.stars[0].nodes)
         for star, shared in zip(self.plan.stars[1:levels], self.plan.shared[1:levels], strict=True):
             right = self.star(star, k).drop(*[f"s{q}" for q in shared])
-            rows = rows.join(right, [_col(q) for q in shared]) if shared else rows.crossJoin(right)
+            rows = rows.join(right, [_col(q) for q in shared])
             covered += [q for q in star.nodes if q not in covered]
             rows = rows.filter(_distinct(covered))
         return rows

@@ -64,6 +64,11 @@ def test_top_against_brute_force(spark, number):
     assert [r.rank for r in got] == list(range(1, len(got) + 1))
 
 
+def test_products_are_refused(spark):
+    with pytest.raises(ValueError):
+        Matcher(Graph.from_rows(spark, [(1, ["alpha one"])], []), Query({"0": "alpha one", "1": "beta x"}, ()))
+
+
 def test_anytime_schedules_reach_the_batch_result(spark):
     nodes, edges = random_graph(3, 16, 60)
     m = Matcher(Graph.from_rows(spark, nodes, edges), CASES[3], p=3, theta=0.2)
