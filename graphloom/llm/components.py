@@ -39,7 +39,8 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """Link the neighbours v of each u to the smallest of u and them: the larger ones, or (smaller ones given) all and u itself."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # Read back, the minima come to the join by a shuffle of their own, as the pairs do: only then can a hub's pairs be split.
+    least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     moved = pairs.join(least, "u")
     if larger:
         out = moved.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
