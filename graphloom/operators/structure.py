@@ -14,7 +14,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): weak components, named by their least id, by large-star and small-star contraction."""
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Cut, the minima come to the join by a shuffle of their own, as the pairs do: only then can a hub's pairs be split.
+        least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         moved = pairs.join(least, "u")
         if larger:
             out = moved.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
