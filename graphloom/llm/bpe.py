@@ -37,7 +37,7 @@ CUT_BITS, LEAST_CHUNK = 11, 512
 #: Bytes that a split into words may look ahead: three characters of four bytes.
 LOOKAHEAD = 12
 #: Chunks held by a worker, and word starts remembered of each.
-CACHE_CHUNKS, HEAD_STARTS = 4000, 16
+CACHE_CHUNKS, HEAD_STARTS = 2000, 16
 #: How a byte-level tokenizer splits words, and the characters about which all Unicode versions agree in it.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 UNCOMMON = re.compile("[^\x20-\x7e\n\t\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .textbuf import forget_powers
+
 #: Bytes of text handed to a vectorised kernel at once; its temporaries take some 40 times as much.
 SLICE_BYTES = 1 << 19
 
@@ -30,6 +32,8 @@ def give_memory_back() -> None:
 
 
 def trim_memory() -> None:
+    """What a worker does after a task: it may stay idle while others work."""
+    forget_powers()
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)

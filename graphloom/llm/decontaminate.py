@@ -29,7 +29,7 @@ WINDOW = 10
 DEPTH = 16
 #: Text of benchmark items in one broadcast block.
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 _END_OF_DOC, _END_OF_ITEM = np.uint64(0), np.uint64(1)
 
 

@@ -56,6 +56,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def forget_powers() -> None:
+    """Frees the tables of ``powers``, which grow with the longest text."""
+    global _powers
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
 def prefix(buf: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``span_hash`` takes the hash of any substring."""
     out = np.zeros(len(buf) + 1, np.uint64)
