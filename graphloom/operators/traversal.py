@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import cut
 
+#: Sources searched from at once for eccentricities, and an upper bound before any search.
+ECCENTRICITY_BATCH, UNBOUNDED = 32, 2**31 - 1
+
 
 def directed(edges: DataFrame, reverse: bool = False) -> DataFrame:
     """(u, v): distinct steps along the edges, or against them."""
@@ -123,6 +126,35 @@ def eccentricity(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return distances(undirected(edges), sources).groupBy(F.col("src").alias("id")).agg(F.max("d").alias("value"))
 
 
+def eccentricities(edges: DataFrame, nodes: DataFrame, batch: int = ECCENTRICITY_BATCH, only_greatest: bool = False) -> DataFrame:
+    """(id, value): as ``eccentricity`` from every node, without a row for each pair.
+
+    A search from w bounds the value of each v that it reaches: at least d(v, w)
+    and ecc(w) - d(v, w), at most ecc(w) + d(v, w).  Rounds search from ``batch``
+    nodes whose bounds differ, of greatest upper and of least lower bound by
+    halves, until all bounds meet; a node searched from is settled, so rounds end.
+    With ``only_greatest`` they end once no open node can exceed the greatest
+    lower bound, and ``value`` is the lower bound.
+    """
+    steps = cut(undirected(edges))
+    ends = steps.select(F.col("u").alias("id"), F.lit(True).alias("has")).distinct()
+    bounds = cut(nodes.select("id").distinct().join(ends, "id", "left").select("id", F.lit(0).alias("low"), F.when(F.col("has"), F.lit(UNBOUNDED)).otherwise(0).alias("high")))
+    while True:
+        open_ = bounds.filter("low < high")
+        if only_greatest:
+            least = bounds.agg(F.max("low")).first()[0]
+            open_ = open_.filter(F.col("high") > F.lit(least if least is not None else 0))
+        order = F.xxhash64("id"), F.col("id")
+        picked = [r.id for r in open_.orderBy(F.desc("high"), *order).limit(batch - batch // 2).collect()]
+        picked += [r.id for r in open_.orderBy("low", *order).limit(batch // 2).collect()]
+        if not picked:
+            return bounds.select("id", F.col("low").alias("value"))
+        d = cut(distances(steps, edges.sparkSession.createDataFrame([(i,) for i in picked], "id long")))
+        far = d.groupBy("src").agg(F.max("d").alias("e"))
+        told = d.join(far, "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.greatest("d", F.col("e") - F.col("d"))).alias("l"), F.min(F.col("e") + F.col("d")).alias("h"))
+        bounds = cut(bounds.join(told, "id", "left").select("id", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high")))
+
+
 def diameter(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Greatest finite undirected distance, over all pairs."""
     return eccentricity(edges, nodes.select("id")).agg(F.max("value").alias("diameter"))

@@ -598,6 +598,80 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.dataset_stats(g)
 
 
+# The same operators on the whole graph, where recursive SQL is too slow; tests hold them against brute force
+
+
+@query()
+def whole_structural_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Matcher(large(spark, sf_dir), SHAPE, structural=True).top(15)
+
+
+@query()
+def whole_hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.hop_distance(large(spark, sf_dir).edges, 10**9)
+
+
+@query()
+def whole_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected reachability of every node from one, by component labels."""
+    comp = whole_connected_components(spark, sf_dir)
+    mine = comp.filter(F.col("id") == 10**9).select("component", F.lit(True).alias("reachable"))
+    return comp.join(mine, "component", "left").select("id", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+
+
+@query()
+def whole_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return structure.components(g.nodes, g.edges)
+
+
+@query()
+def whole_reverse_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.khop(large(spark, sf_dir).edges, spark.createDataFrame([(10**9,)], "id long"), 2, reverse=True)
+
+
+@query()
+def whole_eccentricity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return traversal.eccentricities(g.edges, g.nodes)
+
+
+@query()
+def whole_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return traversal.eccentricities(g.edges, g.nodes, only_greatest=True).agg(F.max("value").alias("diameter"))
+
+
+@query()
+def whole_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return structure.strong_components(g.nodes, with_region_cycles(g))
+
+
+@query()
+def whole_scc_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    arcs = with_region_cycles(g)
+    return structure.condensation(arcs, structure.strong_components(g.nodes, arcs))
+
+
+@query()
+def whole_topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return structure.topological_levels(g.nodes, g.edges)
+
+
+@query()
+def whole_reverse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.reverse(large(spark, sf_dir).edges).select("eid", "src", "dst", "type")
+
+
+@query()
+def whole_remove_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.createDataFrame([(2 * 10**9 + 3,), (2 * 10**9 + 7,)], "id long")
+    return structure.remove_nodes(large(spark, sf_dir), gone).edges.select("eid", "src", "dst")
+
+
 # Pattern mining
 
 MINE_LOW, MINE_HIGH = 5, 100_000

@@ -1,0 +1,109 @@
+import itertools
+import random
+from collections import defaultdict
+
+import pytest
+
+from graphloom import queries
+from graphloom.operators import traversal
+from graphloom.sources.graph import Graph
+
+R, N, C, S, P, O = (k * 10**9 for k in range(1, 7))
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_mktsegment string, c_acctbal double, c_nationkey int",
+    "supplier": "s_suppkey long, s_name string, s_acctbal double, s_nationkey int",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate date",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string",
+}
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """Tables of a graph with all kinds, and its nodes and (eid, src, dst, type) by plain code; part 5 and supplier 3 stand alone."""
+    rng, at = random.Random(4), tmp_path_factory.mktemp("whole")
+    t = {
+        "region": [(i, f"R{i}") for i in range(3)],
+        "nation": [(i, f"N{i}", i % 2) for i in (0, 1, 3, 7)],
+        "customer": [(i, f"c{i}", "seg", 1.0, rng.choice((0, 1, 3))) for i in range(1, 6)],
+        "supplier": [(i, f"s{i}", 1.0, rng.choice((1, 7))) for i in range(1, 4)],
+        "part": [(i, f"p{i}", "b", "t", i, 1.0) for i in range(1, 6)],
+        "orders": [(i, rng.randrange(1, 6), "1-URGENT", "O", None) for i in range(1, 9)],
+        "lineitem": [(i, rng.randrange(1, 5), rng.randrange(1, 3), n, "R") for i in range(1, 9) for n in (1, 2)],
+    }
+    for name, rows in t.items():
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(f"{at}/{name}.parquet")
+    nodes = {base + r[0] for base, name in ((R, "region"), (N, "nation"), (C, "customer"), (S, "supplier"), (P, "part"), (O, "orders")) for r in t[name]}
+    edges = [(10**13 + i, N + i, R + r, "IN_REGION") for i, _, r in t["nation"]]
+    edges += [(2 * 10**13 + r[0], C + r[0], N + r[4], "IN_NATION") for r in t["customer"]] + [(3 * 10**13 + r[0], S + r[0], N + r[3], "IN_NATION") for r in t["supplier"]]
+    edges += [(4 * 10**13 + r[0], O + r[0], C + r[1], "PLACED_BY") for r in t["orders"]] + [(5 * 10**13 + r[0] * 10 + r[3], O + r[0], P + r[1], "CONTAINS") for r in t["lineitem"]]
+    edges += [(6 * 10**13 + p * 100_000 + s, P + p, S + s, "SUPPLIED_BY") for p, s in {(r[1], r[2]) for r in t["lineitem"]}]
+    return str(at), nodes, edges
+
+
+def bfs(arcs, s):
+    next_ = defaultdict(set)
+    for a, b in arcs:
+        next_[a].add(b)
+    d, todo = {s: 0}, [s]
+    for u in todo:
+        for v in next_[u] - set(d):
+            d[v] = d[u] + 1
+            todo.append(v)
+    return d
+
+
+def rows(spark, whole, name):
+    got = [tuple(r) for r in queries.QUERIES[name](spark, whole[0]).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_distances_and_components(spark, whole):
+    _, nodes, edges = whole
+    arcs = {e[1:3] for e in edges}
+    ways = arcs | {(b, a) for a, b in arcs}
+    d = {v: bfs(ways, v) for v in nodes}
+    assert rows(spark, whole, "whole_hop_distance") == {(R, v, k) for v, k in d[R].items()}
+    assert rows(spark, whole, "whole_reachability") == {(v, v in d[R]) for v in nodes}
+    assert rows(spark, whole, "whole_connected_components") == {(v, min(d[v])) for v in nodes}
+    assert rows(spark, whole, "whole_reverse_khop") == {(R, v, k) for v, k in bfs({(b, a) for a, b in arcs}, R).items() if k <= 2}
+    assert rows(spark, whole, "whole_eccentricity") == {(v, max(d[v].values())) for v in nodes}
+    assert rows(spark, whole, "whole_diameter") == {(max(max(x.values()) for x in d.values()),)}
+
+
+def test_eccentricities_by_bounds(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(12)] + [(rng.randrange(13, 30), rng.randrange(13, 30)) for _ in range(16)]
+    ways = edges + [(b, a) for a, b in edges]
+    g = Graph.from_rows(spark, [(i, []) for i in range(32)], edges)
+    want = {(v, max(bfs(ways, v).values())) for v in range(32)}
+    assert {tuple(r) for r in traversal.eccentricities(g.edges, g.nodes, batch=3).collect()} == want
+    assert max(r.value for r in traversal.eccentricities(g.edges, g.nodes, batch=2, only_greatest=True).collect()) == max(x[1] for x in want)
+
+
+def test_directed_structure(spark, whole):
+    _, nodes, edges = whole
+    back = {e[1:3] for e in edges} | {(b, a) for _, a, b, kind in edges if kind == "IN_REGION"}
+    reach = {v: bfs(back, v) for v in nodes}
+    scc = {v: min(w for w in reach[v] if v in reach[w]) for v in nodes}
+    assert rows(spark, whole, "whole_scc") == set(scc.items())
+    assert rows(spark, whole, "whole_scc_dag") == {(scc[a], scc[b]) for a, b in back if scc[a] != scc[b]}
+    level, before = {}, defaultdict(set)
+    for _, a, b, _ in edges:
+        before[b].add(a)
+    for v in sorted(nodes, key=lambda v: [O, P, S, C, N, R].index(v // 10**9 * 10**9)):
+        level[v] = 1 + max((level[a] for a in before[v]), default=-1)
+    assert rows(spark, whole, "whole_topological_levels") == set(level.items())
+
+
+def test_shapes_and_graphs(spark, whole):
+    _, nodes, edges = whole
+    arcs = sorted({e[1:3] for e in edges})
+    found = [(a, b, d, c) for (a, b), (x, d), (c, y) in itertools.product(arcs, repeat=3) if b == x and d == y and len({a, b, c, d}) == 4]
+    assert rows(spark, whole, "whole_structural_topk") == {(k + 1, *m, 4.0) for k, m in enumerate(sorted(found, reverse=True)[:15])}
+    assert rows(spark, whole, "whole_reverse_graph") == {(e, b, a, kind) for e, a, b, kind in edges}
+    gone = {N + 3, N + 7}
+    assert rows(spark, whole, "whole_remove_nodes") == {e[:3] for e in edges if not gone & set(e[1:3])}
