@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.matching import interestingness, simulation
+from graphloom.operators.iterate import cut
 from graphloom.operators.stats import most_frequent_label
-from graphloom.plans.query import Query, isomorphic
+from graphloom.plans.query import Query
 from graphloom.sources.graph import Graph
 
 MOST_NODES, MOST_LEVELS = 10, 10
@@ -28,11 +29,30 @@ class Pattern:
     query: Query
     matches: DataFrame
     interest: float
+    #: the sets of all patterns evaluated with it, and its pid there
+    together: DataFrame
+    pid: int
 
 
-def evaluate(g: Graph, query: Query, n_nodes: int, inherited: DataFrame | None = None) -> Pattern:
-    sim = simulation(g, query, inherited=inherited)
-    return Pattern(query, sim, interestingness(sim, query, n_nodes).first()[0] or 0.0)
+def evaluate_all(g: Graph, queries: list[Query], n_nodes: int, start: DataFrame) -> list[Pattern]:
+    """Every pattern with its largest simulation within ``start(pid, qid, id)``, pid being its place; one run of rounds for all.
+
+    As ``matching.simulation``: a node of u needs an edge into v's set for each
+    pattern edge (u, v), and a pattern of which a set empties has no rows.
+    """
+    spark = g.spark
+    needs = spark.createDataFrame([(k, a, b) for k, q in enumerate(queries) for a, b in q.edges], "pid int, qid string, v string")
+    sizes = spark.createDataFrame([(k, len(q.labels)) for k, q in enumerate(queries)], "pid int, n_sets int")
+    arcs, sim, before = cut(g.edges.select("src", "dst").distinct()), cut(start), -1
+    while (count := sim.count()) != before:
+        before = count
+        into = arcs.join(sim.select("pid", F.col("qid").alias("v"), F.col("id").alias("dst")), "dst").select("pid", "v", F.col("src").alias("id")).distinct()
+        lost = sim.join(needs, ["pid", "qid"]).join(into, ["pid", "v", "id"], "left_anti").select("pid", "qid", "id").distinct()
+        kept = cut(sim.join(lost, ["pid", "qid", "id"], "left_anti"))
+        full = kept.groupBy("pid").agg(F.countDistinct("qid").alias("n_sets")).join(sizes, ["pid", "n_sets"], "left_semi")
+        sim = cut(kept.join(full.select("pid"), "pid", "left_semi"))
+    covered = {r.pid: r.n for r in sim.groupBy("pid").agg(F.countDistinct("id").alias("n")).collect()}
+    return [Pattern(q, sim.filter(F.col("pid") == k).select("qid", "id"), round(len(q.labels) * covered.get(k, 0) / max(1, n_nodes), 9), sim, k) for k, q in enumerate(queries)]
 
 
 def merge_patterns(a: Query, b: Query) -> Query | None:
@@ -44,32 +64,39 @@ def merge_patterns(a: Query, b: Query) -> Query | None:
     return out if len(out.edges) > max(len(a.edges), len(b.edges)) else None
 
 
-def mine(g: Graph, low: int, high: int, theta: float, levels: int = MOST_LEVELS, most_patterns: int = 64) -> list[Pattern]:
-    """Patterns of interestingness ``theta`` or more, level by level.
+def mine(g: Graph, low: int, high: int, theta: float, levels: int = MOST_LEVELS) -> list[Pattern]:
+    """All patterns of interestingness ``theta`` or more, level by level.
 
-    The first level is the edge patterns; each later one merges patterns that
-    share a node, starts their simulation from the parents' sets and keeps
-    patterns of ``MOST_NODES`` nodes at most.  At most ``most_patterns`` patterns,
-    the most interesting, go on to the next level.
+    The first level is the edge patterns; each later one merges every pair of
+    patterns that share a node, starts the simulations from the parents' sets and
+    keeps patterns of ``MOST_NODES`` nodes at most.  Nothing else bounds their number.
     """
     n_nodes = g.nodes.count()
-    seeds = edge_patterns(g, low, high).filter("src_label <> dst_label").orderBy(F.desc("n_edges"), "src_label", "dst_label").limit(most_patterns).collect()
-    level = [evaluate(g, Query({r.src_label: r.src_label, r.dst_label: r.dst_label}, ((r.src_label, r.dst_label),)), n_nodes) for r in seeds]
-    level = [p for p in level if p.interest >= theta]
-    found = list(level)
+    seeds = edge_patterns(g, low, high).filter("src_label <> dst_label").orderBy(F.desc("n_edges"), "src_label", "dst_label").collect()
+    queries = [Query({r.src_label: r.src_label, r.dst_label: r.dst_label}, ((r.src_label, r.dst_label),)) for r in seeds]
+    if not queries:
+        return []
+    wanted = g.spark.createDataFrame([(k, q) for k, query in enumerate(queries) for q in query.labels], "pid int, qid string")
+    start = g.nodes.select("id", F.explode("labels").alias("qid")).distinct().join(wanted, "qid").select("pid", "qid", "id")
+    level = [p for p in evaluate_all(g, queries, n_nodes, start) if p.interest >= theta]
+    found, known = list(level), {frozenset(q.edges) for q in queries}
     for _ in range(levels - 1):
-        new: list[Pattern] = []
+        merged: list[tuple[Query, Pattern, Pattern]] = []
         for i, a in enumerate(level):
             for b in level[:i]:
                 query = merge_patterns(a.query, b.query)
-                if query is None or len(query.labels) > MOST_NODES or any(isomorphic(query, p.query) for p in found + new):
-                    continue
-                pattern = evaluate(g, query, n_nodes)
-                if pattern.interest >= theta:
-                    new.append(pattern)
-        if not new:
+                # Nodes are named by their labels, so equal edges are equal patterns.
+                if query is not None and len(query.labels) <= MOST_NODES and frozenset(query.edges) not in known:
+                    known.add(frozenset(query.edges))
+                    merged.append((query, a, b))
+        if not merged:
+            break
+        parents = g.spark.createDataFrame([(p.pid, k, q, sum(q in x.query.labels for x in (a, b))) for k, (_, a, b) in enumerate(merged) for p in (a, b) for q in p.query.labels], "parent int, pid int, qid string, n int")
+        sets = level[0].together.withColumnRenamed("pid", "parent").join(parents, ["parent", "qid"])
+        start = sets.groupBy("pid", "qid", "id", "n").agg(F.count(F.lit(1)).alias("have")).filter("have = n").select("pid", "qid", "id")
+        level = [p for p in evaluate_all(g, [x[0] for x in merged], n_nodes, start) if p.interest >= theta]
+        if not level:
             break
-        level = sorted(new, key=lambda p: -p.interest)[:most_patterns]
         found += level
     return found
 
@@ -81,6 +108,24 @@ def distance(a: Pattern, b: Pattern) -> float:
     return 1 - both / all_ if all_ else 0.0
 
 
+def distances(patterns: list[Pattern]) -> dict[tuple[int, int], float]:
+    """``distance`` of all pairs (i, j) with i < j, from one join of the covered nodes."""
+    if len(patterns) < 2:
+        return {}
+    batches: list[tuple[DataFrame, list[tuple[int, int]]]] = []
+    for i, p in enumerate(patterns):
+        if not batches or batches[-1][0] is not p.together:
+            batches.append((p.together, []))
+        batches[-1][1].append((p.pid, i))
+    covers = [sim.join(sim.sparkSession.createDataFrame(pids, "pid int, i int"), "pid").select("i", "id").distinct() for sim, pids in batches]
+    cover = cut(reduce(DataFrame.unionByName, covers))
+    size = {r.i: r.n for r in cover.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    both = cover.join(cover.select(F.col("i").alias("j"), "id"), "id").filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+    shared = {(r.i, r.j): r.n for r in both.collect()}
+    every = ((i, j, shared.get((i, j), 0)) for i in range(len(patterns)) for j in range(i + 1, len(patterns)))
+    return {(i, j): 1 - n / all_ if (all_ := size.get(i, 0) + size.get(j, 0) - n) else 0.0 for i, j, n in every}
+
+
 def objective(chosen: list[int], interest: list[float], dist: dict[tuple[int, int], float], alpha: float = 0.5) -> float:
     """alpha * sum of interests + (1 - alpha) / (n - 1) * sum of pairwise distances."""
     pairs = sum(dist[min(i, j), max(i, j)] for k, i in enumerate(chosen) for j in chosen[:k])

@@ -685,7 +685,6 @@ def edge_patterns_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diversified_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = large(spark, sf_dir)
-    found = mining.mine(g, 50, MINE_HIGH, 0.01, levels=2, most_patterns=4)
-    dist = {(i, j): mining.distance(found[i], found[j]) for i in range(len(found)) for j in range(i + 1, len(found))}
-    chosen = mining.diversify_by_swaps([p.interest for p in found], dist, min(3, len(found)))
+    found = mining.mine(g, 50, MINE_HIGH, 0.01)
+    chosen = mining.diversify_by_swaps([p.interest for p in found], mining.distances(found), min(3, len(found)))
     return mining.pattern_table(g, found, chosen)
