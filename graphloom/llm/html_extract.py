@@ -4,8 +4,10 @@ The parser's events are folded into lines, one per block of the page.  Each
 line has a text-to-tag ratio: its characters over the tags met on it.  The
 ratios of a page are smoothed with a Gaussian, and a threshold (a share of
 their standard deviation) clusters lines into content and the rest.  Content
-lines select regions: the article or main element that holds them or else their
-nearest containers, of which every line is text, short ones too.  Elements that
+lines select regions: the article or main element that holds them, or else their
+nearest containers, of which every line is text, short ones too.  A region counts
+only if its own ratio passes the threshold; where none does, the page is text
+throughout.  Elements that
 say themselves to be navigation, headers, footers, sidebars, notices, adverts,
 forms, scripts or comments never count, wherever they stand.
 """
@@ -165,18 +167,19 @@ def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
     mean = sum(ratios) / len(ratios)
     limit = THRESHOLD * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     seeds = [line for line, r in zip(lines, ratios, strict=True) if r >= limit]
-    articles = {line[3] for line in seeds if line[3]} or {line[3] for line in lines if line[3]}
-    if articles:
-        return [text for text, _, _, article in lines if article in articles]
-    sums: dict[int, list[int]] = {}
-    for text, tags, container, _ in lines:
-        total = sums.setdefault(container, [0, 0])
-        total[0] += len(text)
-        total[1] += max(1, tags)
-    containers = {line[2] for line in seeds if sums[line[2]][0] >= limit * sums[line[2]][1]}
-    # A page of one even ratio, or of none above its limit, is text throughout.
-    containers = containers or set(sums)
-    return [text for text, _, container, _ in lines if container in containers]
+    sums: dict[tuple[bool, int], list[int]] = {}
+    for text, tags, container, article in lines:
+        for region in {(False, container), (True, article)}:
+            total = sums.setdefault(region, [0, 0])
+            total[0] += len(text)
+            total[1] += max(1, tags)
+    passes = {region for region, (size, tags) in sums.items() if size >= limit * tags}
+    articles = {line[3] for line in seeds if line[3]}
+    articles = {a for a in articles if (True, a) in passes}
+    containers = {line[2] for line in seeds if line[3] not in articles and (False, line[2]) in passes}
+    if not articles and not containers:  # a page of one even ratio, or of none above its limit, is text throughout
+        return [text for text, _, _, _ in lines]
+    return [text for text, _, container, article in lines if article in articles or container in containers]
 
 
 def main_text(html: str | None) -> str:
