@@ -630,6 +630,20 @@ def whole_reverse_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.khop(large(spark, sf_dir).edges, spark.createDataFrame([(10**9,)], "id long"), 2, reverse=True)
 
 
+@query()
+def whole_all_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of any length between all nodes: a row for each pair that is joined."""
+    g = large(spark, sf_dir)
+    return traversal.distances(traversal.undirected(g.edges), g.nodes.select("id"))
+
+
+@query()
+def whole_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's 100 rounds."""
+    g = large(spark, sf_dir)
+    return structure.mean_rank(g.nodes, g.edges).select("id", F.round("value", 9).alias("value"))
+
+
 @query()
 def whole_eccentricity(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = large(spark, sf_dir)

@@ -107,3 +107,20 @@ def test_shapes_and_graphs(spark, whole):
     assert rows(spark, whole, "whole_reverse_graph") == {(e, b, a, kind) for e, a, b, kind in edges}
     gone = {N + 3, N + 7}
     assert rows(spark, whole, "whole_remove_nodes") == {e[:3] for e in edges if not gone & set(e[1:3])}
+
+
+def test_all_pairs_and_ranks(spark, whole):
+    _, nodes, edges = whole
+    arcs = {e[1:3] for e in edges}
+    ways = arcs | {(b, a) for a, b in arcs}
+    want = {(v, w, k) for v in nodes for w, k in bfs(ways, v).items()}
+    assert max(x[2] for x in want) > 2 and rows(spark, whole, "whole_all_pairs_distance") == want
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for k in range(100):
+        into = {v: [rank[a] for a, b in arcs if b == v] for v in nodes}
+        raw = {v: 0.15 / len(nodes) + 0.85 * (sum(x) / len(x) if x else 0) for v, x in into.items()}
+        rank = {v: x / sum(raw.values()) for v, x in raw.items()}
+        early = rank if k == 4 else early if k > 4 else None
+    got = dict(rows(spark, whole, "whole_pagerank"))
+    assert got.keys() == nodes and all(abs(got[v] - rank[v]) < 2e-9 for v in nodes)
+    assert any(abs(early[v] - rank[v]) > 1e-6 for v in nodes)
