@@ -2,8 +2,8 @@
 
 A text is cut where a rolling hash of its last bytes has a fixed pattern, so
 documents that share a passage share its chunks whatever stands around it.  A
-worker encodes each distinct chunk once and keeps it in a bounded cache.  Chunk
-joins are then repaired: text from the left chunk's last certain word start is
+worker keeps the last ``CACHE_CHUNKS`` chunks that it encoded; one that comes
+again later, or on another worker, is encoded again.  Chunk joins are then repaired: text from the left chunk's last certain word start is
 encoded again, with ever more of the right chunk, until both encodings agree on
 a word start; from there the right chunk's ids hold.  The tokenizer splits
 words left to right with at most ``LOOKAHEAD`` characters of lookahead, so ids
@@ -174,7 +174,7 @@ class Encoder:
         return out  # type: ignore[return-value]
 
     def fill(self, chunks: list[bytes]) -> dict[bytes, Chunk]:
-        """The given chunks' encodings, each distinct one encoded once and cached ones not at all."""
+        """The given chunks' encodings, each distinct one of the call encoded once and cached ones not at all."""
         found: dict[bytes, Chunk] = {}
         missing = []
         for c in chunks:
