@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textbuf import forget_powers
-
 #: Bytes of text handed to a vectorised kernel at once; its temporaries take some 40 times as much.
 SLICE_BYTES = 1 << 19
 
@@ -33,7 +31,6 @@ def give_memory_back() -> None:
 
 def trim_memory() -> None:
     """What a worker does after a task: it may stay idle while others work."""
-    forget_powers()
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -56,11 +53,13 @@ def text_or_empty(name: str = "text") -> Column:
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-    setting is absent, as in local tests, a temporary folder is used instead.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only a local
+    session may do without, as in tests: a temporary folder is used there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -74,6 +73,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_join(rows: DataFrame, listed: DataFrame, key: str, per_key: str, most: int = 10_000) -> DataFrame:
+    """``rows`` joined to ``listed``, which has each ``key`` once with its number of rows in ``per_key``.
+
+    A key with more than one row in ``most`` is hot; there are fewer than
+    ``most`` such keys, so theirs is a broadcast join, and no task gets more than
+    that share of the rows by one key.
+    """
+    total = listed.agg(F.sum(per_key)).first()[0] or 0
+    hot = listed.filter(F.col(per_key) * most > total)
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    cold = marked.filter("_hot is null").drop("_hot").join(listed.filter(F.col(per_key) * most <= total), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Keep each Arrow batch small enough for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -18,8 +18,9 @@ Work on links stays near linear in the documents:
   task;
 * a cluster of too many blocks is linked by proposals instead: each bucket
   proposes one node to all its members, confirmed by joins on the full sets,
-  with new proposals until few untested pairs between components are left, and
-  those are confirmed too.
+  with new proposals until few untested pairs between components are left or
+  ``PARTNER_ROUNDS`` are over; then each bucket that still holds several
+  components is cut into blocks as a small cluster is.
 
 No link within a bucket that could still join two components goes untested.
 Sets are compared as sets of 64-bit shingle hashes.
@@ -39,7 +40,7 @@ from .components import connected_components
 from .textbuf import NONSPACE, mix, shingles, stream, words
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
-#: Untested pairs per node up to which they are confirmed at once, and rounds of partners tried before that.
+#: Untested pairs per node from which another round of partners is tried, and rounds at most, before buckets are cut into blocks.
 DIRECT_PAIRS, PARTNER_ROUNDS = 4, 6
 #: Shingles in a block of a cluster, and blocks up to which its block pairs are tried.
 BLOCK_SHINGLES, CLUSTER_BLOCKS = 1 << 20, 16
@@ -149,10 +150,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     texts = rows.join(members.select("node", "low"), F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
     # Rows that repeat an id may bring another text; the set's own hash tells.
     sets = materialise(shingle_sets(texts, size).filter("node = hash").select("node", "shingles").dropDuplicates(["node"]))
+    members = members.withColumn("component", F.col("node"))
     links = materialise(_link_blocks(members.filter(F.col("blocks") <= CLUSTER_BLOCKS), sets, percent))
     large = members.filter(F.col("blocks") > CLUSTER_BLOCKS)
     if not large.isEmpty():
-        links = links.unionByName(_link_by_proposals(large.select("node", F.explode("bands").alias("bucket")), sets, percent))
+        links = links.unionByName(_link_by_proposals(large.select("node", "n_shingles", F.explode("bands").alias("bucket")), sets, percent))
     components = connected_components(links)
     lowest = components.join(nodes, "node").groupBy("component").agg(F.min("low").alias("component_id"))
     named = components.join(lowest, "component").select("node", "component_id")
@@ -187,9 +189,12 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def block_links(nodes: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join all rows of a task which are linked through shared buckets; pairs already joined are not tried."""
+def block_links(nodes: np.ndarray, known: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all rows of a task which are linked through shared buckets; pairs already joined, as rows of one component of ``known`` are, are not tried."""
     forest, links, failed = Forest(len(nodes)), [], set()
+    seen: dict[int, int] = {}
+    for x, c in enumerate(known.tolist()):
+        forest.union(x, seen.setdefault(c, x))
     flat = bands.reshape(-1)
     order = np.argsort(flat, kind="stable")
     for part in np.split(order // bands.shape[1], np.flatnonzero(np.diff(flat[order])) + 1):
@@ -220,10 +225,10 @@ def block_links(nodes: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], pe
 
 
 def _link_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the clusters of ``members``, one task for each pair of blocks of a cluster."""
+    """Links (a, b) within the clusters of ``members(cluster, blocks, node, component, bands)``, one task for each pair of blocks of a cluster."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "bands").join(sets, "node")
+    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "bands").join(sets, "node")
 
     def link(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -232,7 +237,7 @@ def _link_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         bands = column.flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), -1)
         column = group.column("shingles").combine_chunks()
         values, off = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
-        found = block_links(nodes, bands, [values[a:b] for a, b in zip(off[:-1], off[1:], strict=True)], percent)
+        found = block_links(nodes, group.column("component").to_numpy(), bands, [values[a:b] for a, b in zip(off[:-1], off[1:], strict=True)], percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     arrow_limits(members.sparkSession)
@@ -240,12 +245,11 @@ def _link_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _link_by_proposals(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all nodes linked through shared buckets, from ``shared(bucket, node)`` of any size."""
+    """Links (a, b) that join all nodes linked through shared buckets, from ``shared(bucket, node, n_shingles)`` of any size."""
     shared = materialise(shared)
     links = tested = None
     labelled = shared.withColumn("component", F.col("node"))
     for turn in range(PARTNER_ROUNDS + 1):
-        last = turn == PARTNER_ROUNDS
         if turn:
             # What is left to test crosses components within a bucket: m**2 - sum of squares, in closed form.
             per = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -253,20 +257,19 @@ def _link_by_proposals(shared: DataFrame, sets: DataFrame, percent: int) -> Data
             stats = left.agg(F.sum(((F.col("m") * F.col("m") - F.col("q")) / 2)).alias("pairs"), F.sum("m").alias("members")).first()
             if not stats.pairs:
                 break
-            last = last or stats.pairs <= DIRECT_PAIRS * stats.members
             labelled = labelled.join(left.select("bucket"), "bucket")
+            if turn == PARTNER_ROUNDS or stats.pairs <= DIRECT_PAIRS * stats.members:
+                blocks = labelled.groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+                rows = labelled.join(blocks, "bucket").withColumn("cluster", F.col("bucket")).withColumn("bands", F.array("bucket"))
+                return links.unionByName(_link_blocks(rows, sets, percent))
         mine = labelled.select("bucket", "node", "component")
-        if last:
-            other = labelled.select("bucket", F.col("node").alias("a"), F.col("component").alias("with"))
-            pairs = mine.join(other, "bucket").filter("a < node and component <> with")
+        pick = F.min_by("node", F.xxhash64("node", F.lit(turn))) if turn else F.min("node")
+        other = labelled.groupBy("bucket").agg(pick.alias("a"))
+        if turn:
+            other = other.join(labelled.select("bucket", F.col("node").alias("a"), F.col("component").alias("with")), ["bucket", "a"])
+            pairs = mine.join(other, "bucket").filter("component <> with")
         else:
-            pick = F.min_by("node", F.xxhash64("node", F.lit(turn))) if turn else F.min("node")
-            other = labelled.groupBy("bucket").agg(pick.alias("a"))
-            if turn:
-                other = other.join(labelled.select("bucket", F.col("node").alias("a"), F.col("component").alias("with")), ["bucket", "a"])
-                pairs = mine.join(other, "bucket").filter("component <> with")
-            else:
-                pairs = mine.join(other, "bucket").filter("node <> a")
+            pairs = mine.join(other, "bucket").filter("node <> a")
         pairs = pairs.select(F.least("a", "node").alias("b"), F.greatest("a", "node").alias("a")).distinct()
         if turn:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -274,10 +277,8 @@ def _link_by_proposals(shared: DataFrame, sets: DataFrame, percent: int) -> Data
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = materialise(confirm(pairs, sets, percent))
         links = new if links is None else links.unionByName(new)
-        if last:
-            break
         parts = connected_components(links)
-        labelled = shared.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        labelled = shared.join(parts, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     return links
 
 

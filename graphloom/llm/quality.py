@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bytes_of, slices, text_or_empty
-from .textbuf import NONSPACE, prefix, span_hash, word_spans, words
+from .textbuf import NONSPACE, span_hash, word_spans, words
 
 #: Rows of either sample; the only data that the model is fitted to.
 SAMPLE_ROWS = 20_000
@@ -85,7 +85,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     symbolic = ~np.isin(plain, [0, 1, 2, 11, 12])
     word_again, word_top = _repetition(w.hash, w.first)
     start, end, first = word_spans(buf, off, _NOT_NEWLINE)
-    line_again, line_top = _repetition(span_hash(prefix(buf), start, end), first, end - start)
+    line_again, line_top = _repetition(span_hash(buf, start, end), first, end - start)
     lines = np.diff(first)
     line_doc = np.repeat(np.arange(n), lines)
     closed = np.isin(buf[end - 1], [46, 33, 63, 34, 41]) if len(end) else np.zeros(0)

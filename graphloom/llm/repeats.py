@@ -13,8 +13,10 @@ what the one before left open:
    string by string: within a task for an anchor of few contexts, by counting
    string hashes over the cluster for an anchor of many.
 
-Counts combine before every shuffle, so a passage in a third of all documents
-is no hot key.  Strings are compared by 64-bit hashes of their bytes.
+Counts combine before every shuffle, and joins by anchor deal with its hot
+anchors apart, so a passage in a third of all documents is no hot key.  Runs are
+told apart by two hashes of 64 bits, of their anchor and of their context,
+strings by that of the anchor and their own.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, materialise, slices, text_or_empty
-from .textbuf import mix, prefix, span_hash
+from .common import arrow_map, bytes_of, keyed_join, materialise, slices, text_or_empty
+from .textbuf import combine, every_hash, mix
 
 LENGTH = 400
 #: Contexts of one anchor up to which they are compared within a task, and contexts compared at once there.
 TASK_CONTEXTS, TASK_BATCH = 2048, 4096
+#: Bits that hold any position in a buffer: no text of Spark's is longer.
+_PLACE = np.uint64(31)
 _RUN = "doc_id long, tag long, a int, b int, anchor long, context long, n int"
 
 
@@ -53,11 +57,9 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...
     empty = np.zeros(0, np.int64)
     if len(buf) < length or not (size >= length).any():
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    sums = prefix(buf)
-    at = np.arange(len(buf) - seed + 1)
-    seeds = span_hash(sums, at, at + seed)
-    packed = (seeds >> np.uint64(28) << np.uint64(28)) | at.astype(np.uint64)
-    anchor = (window_minima(packed, width) & np.uint64((1 << 28) - 1)).astype(np.int64)
+    seeds = every_hash(buf, seed)
+    packed = (seeds >> _PLACE << _PLACE) | np.arange(len(seeds), dtype=np.uint64)
+    anchor = (window_minima(packed, width) & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     doc = np.repeat(np.arange(len(size)), np.maximum(0, size - length + 1))
     first = np.cumsum(np.maximum(0, size - length + 1)) - np.maximum(0, size - length + 1)
     start = np.arange(len(doc)) - first[doc] + off[doc]
@@ -67,7 +69,11 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(start)) - 1
     a, b = start[begin], start[last]
-    return doc[begin], a, b, seeds[mine[begin]], span_hash(sums, a, b + length)
+    # Two seeds from either end of a context cover it: it has 2 * length - seed bytes at most.
+    context = (b - a).astype(np.uint64)
+    for at in (a, a + seed, b + length - 2 * seed, b + length - seed):
+        context = mix(combine(context, seeds[at]))
+    return doc[begin], a, b, seeds[mine[begin]], context
 
 
 def _merge(spans: np.ndarray) -> np.ndarray:
@@ -129,7 +135,7 @@ def _find_runs(rows: DataFrame, length: int) -> DataFrame:
 
 def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted runs."""
-    listed = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b", "anchor", "single")).alias("wanted"))
+    listed = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b", "anchor", "single", "many")).alias("wanted"))
     joined = _with(rows, listed, "inner").select("doc_id", "tag", "text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +148,12 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 pa.array([x[2]["a"] for x in out], pa.int32()),
                 pa.array([x[2]["anchor"] for x in out], pa.int64()),
                 pa.array([x[2]["single"] for x in out], pa.bool_()),
+                pa.array([x[2]["many"] for x in out], pa.bool_()),
                 pa.array([x[3] for x in out], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "a", "anchor", "single", "bytes"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "a", "anchor", "single", "many", "bytes"])
 
-    return arrow_map(joined, cut, "doc_id long, tag long, a int, anchor long, single boolean, bytes binary")
+    return arrow_map(joined, cut, "doc_id long, tag long, a int, anchor long, single boolean, many boolean, bytes binary")
 
 
 def _strings(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +164,7 @@ def _strings(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray,
     offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     at = offset + off[row]
     anchor = part.column("anchor").to_numpy().view(np.uint64)
-    return row, offset, mix(span_hash(prefix(buf), at, at + length) ^ mix(anchor)[row])
+    return row, offset, combine(every_hash(buf, length)[at], anchor[row])
 
 
 def _compare(contexts: DataFrame, length: int) -> DataFrame:
@@ -226,17 +233,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, a, b): spans of bytes that together cover all repeated strings of ``rows(doc_id, tag, text)``."""
     found = materialise(_find_runs(rows, length))
     every = found.filter("anchor is not null")
-    twice = every.groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor")
-    open_ = materialise(every.join(twice, "anchor"))
+    twice = every.groupBy("anchor").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("runs")).filter("times > 1").select("anchor", "runs")
+    open_ = materialise(keyed_join(every, materialise(twice), "anchor", "runs").drop("runs"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag", "a")).alias("first")
-    context = open_.groupBy("anchor", "context").agg(F.sum("n").alias("times"), first, F.max(F.col("b") - F.col("a")).alias("more"))
+    context = materialise(open_.groupBy("anchor", "context").agg(F.sum("n").alias("times"), first, F.max(F.col("b") - F.col("a")).alias("more")))
     per = context.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("times").alias("least")).filter("contexts > 1 and least = 1")
     # One run of each distinct context of the anchors that still have a context of one occurrence.
-    left = context.join(per, "anchor")
+    left = keyed_join(context, materialise(per), "anchor", "contexts")
     end = (F.col("first.a") + F.col("more")).cast("int").alias("b")
-    wanted = materialise(left.select("first.doc_id", "first.tag", "first.a", end, "anchor", (F.col("times") == 1).alias("single"), "contexts"))
-    sizes = wanted.select("anchor", (F.col("contexts") > TASK_CONTEXTS).alias("many")).distinct()
-    contexts = materialise(_contexts(rows, wanted, length).join(sizes, "anchor"))
+    many = (F.col("contexts") > TASK_CONTEXTS).alias("many")
+    wanted = left.select("first.doc_id", "first.tag", "first.a", end, "anchor", (F.col("times") == 1).alias("single"), many)
+    contexts = materialise(_contexts(rows, wanted, length))
     parts = [
         found.filter("anchor is null").select("doc_id", "tag", "a", "b"),
         open_.join(context.filter("times > 1").select("anchor", "context"), ["anchor", "context"]).select("doc_id", "tag", "a", (F.col("b") + length).cast("int").alias("b")),

@@ -1,20 +1,24 @@
 """Vectorised word and substring hashing over the byte buffer of many texts.
 
 All kernels work on one ``uint8`` array that holds several texts end to end and
-on the offsets of those texts.  A substring's hash is a difference of prefix
-sums of ``value(byte) * BASE**position`` (mod 2**64), moved to position 0 by the
-inverse power and mixed; equal strings hash alike in every process.
+on the offsets of those texts.  Bytes are read eight at a time as numbers, and
+numbers are combined by steps that mix every bit into every other, so that no
+family of strings collides by construction, as it does for polynomials modulo
+2**64.  Equal strings hash alike in every process.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd multipliers of the two halves of a string and of their mixture.
+_LEFT, _RIGHT, _BOTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
+#: Spans of more bytes are hashed one by one.
+_LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,7 +36,6 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & _MASK))
 
 
-BYTE_VALUES = stream(11, 256)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: What an item of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` is made of, after lower-casing.
@@ -40,38 +43,71 @@ ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256
 #: What an item of `[^\x20\x09-\x0D]+` is made of.
 NONSPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    global _powers
-    if len(_powers[0]) < n:
-        out = []
-        for step in (_BASE, _INVERSE):
-            p = np.full(n, step, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _powers = (out[0], out[1])
-    return _powers
+def eights(buf: np.ndarray) -> np.ndarray:
+    """At every position, and at the end, the eight bytes from there as one number; zeros follow the buffer."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-def forget_powers() -> None:
-    """Frees the tables of ``powers``, which grow with the longest text."""
-    global _powers
-    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any substring."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[buf] * powers(len(buf) + 1)[0][: len(buf)], out=out[1:])
-    return out
+def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two strings' hashes in this order."""
+    x = left * _LEFT
+    x += right * _RIGHT
+    x ^= x >> np.uint64(29)
+    x *= _BOTH
+    x ^= x >> np.uint64(32)
+    return x
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inverse = powers(len(sums))[1]
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+def every_hash(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from every position that has so many."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h, size = eights(buf)[: len(buf) - min(width, 8) + 1].copy(), 8
+    if width < 8:
+        h &= np.uint64((1 << 8 * width) - 1)
+    h = mix(h)
+    while 2 * size <= width:
+        h = combine(h[:-size], h[size:])
+        size *= 2
+    if width > size:  # the two parts overlap
+        h = combine(h[: size - width], h[width - size :])
+    return h
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of the buffer, eight bytes at a step."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64(_MASK // 3))
+    if not len(size):
+        return h
+    at_once = eights(buf)
+    long = np.flatnonzero(size > _LONG_SPAN)
+    rows = np.flatnonzero((size > 0) & (size <= _LONG_SPAN))
+    done = 0
+    while len(rows):
+        x = at_once[start[rows] + done]
+        left = size[rows] - done
+        x = np.where(left < 8, x & ((np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1)), x)
+        h[rows] = mix(combine(h[rows], x))
+        done += 8
+        rows = rows[left > 8]
+    for k in long.tolist():
+        digest = hashlib.blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8).digest()
+        h[k] = np.frombuffer(digest, "<u8")[0]
+    return h
+
+
+def same_bytes(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from each start are equal in both buffers; every size is positive."""
+    if not len(size):
+        return np.zeros(0, bool)
+    first = np.cumsum(size) - size
+    step = np.arange(int(size.sum())) - np.repeat(first, size)
+    return np.logical_and.reduceat(x[np.repeat(x_start, size) + step] == y[np.repeat(y_start, size) + step], first)
 
 
 @dataclass
@@ -112,7 +148,7 @@ def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
     """Lower-cased words (A-Z only) made of the bytes in ``inside``."""
     low = LOWER[buf]
     start, end, first = word_spans(low, off, inside)
-    return Words(span_hash(prefix(low), start, end), start, end, first)
+    return Words(span_hash(low, start, end), start, end, first)
 
 
 def shingles(w: Words, size: int) -> list[np.ndarray]:
