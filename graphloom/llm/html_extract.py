@@ -7,16 +7,21 @@ their standard deviation) clusters lines into content and the rest.  Content
 lines select regions: the article or main element that holds them, or else their
 nearest containers, of which every line is text, short ones too.  A region counts
 only if its own ratio passes the threshold; where none does, the page is text
-throughout.  Elements that
-say themselves to be navigation, headers, footers, sidebars, notices, adverts,
-forms, scripts or comments never count, wherever they stand.
+throughout.  Inside a region, elements that say themselves to be navigation,
+headers, footers, sidebars, notices, adverts, forms, scripts or comments do not
+count; words that prose is called by too (``related``, ``share``, ``search``)
+only mark an element whose own ratio fails the threshold.
+
+End tags that HTML lets a page omit are implied, and every event costs a bounded
+number of steps on average, whatever is left open.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,52 +42,84 @@ NEVER = frozenset(
     "aside audio button canvas dialog footer form head iframe menu nav noscript object option script search select style svg template textarea title video".split()
 )
 CONTAINERS = frozenset("article body center div main section td th".split())
+#: Per start tag that ends open elements by itself: those elements, and the elements beyond which it ends none.
+_LIST, _TABLE = frozenset("ul ol menu dir".split()), frozenset("table template".split())
+IMPLIED = {
+    "li": (("li",), _LIST), "dt": (("dt", "dd"), frozenset(["dl"])), "dd": (("dt", "dd"), frozenset(["dl"])),
+    "td": (("td", "th"), _TABLE | {"tr"}), "th": (("td", "th"), _TABLE | {"tr"}), "tr": (("tr", "caption"), _TABLE | {"tbody", "thead", "tfoot"}),
+    "tbody": (("tbody", "thead", "tfoot", "caption"), _TABLE), "thead": (("tbody", "thead", "tfoot", "caption"), _TABLE), "tfoot": (("tbody", "thead", "tfoot", "caption"), _TABLE),
+    "option": (("option",), frozenset(["select", "datalist"])), "optgroup": (("option", "optgroup"), frozenset(["select"])),
+}
+#: Elements beyond which a block does not end an open paragraph, and an end tag nothing.
+SCOPE = frozenset("article aside button caption div footer header li main nav object section table td template th".split())
+BARRIER = frozenset("table td th template object".split())
 #: Words in a class, id or role that mark an element as no content.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner "
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted "
     "cookie cookies consent gdpr notice notices alert alertdialog menu menus menubar nav navbar navigation breadcrumb breadcrumbs sidebar sidebars "
-    "complementary footer foot contentinfo comment comments reply replies disqus respond share sharing social related recommended recommendations "
-    "newsletter subscribe subscription signup login search popup modal overlay widget widgets toolbar pagination pager copyright hidden "
+    "complementary footer foot contentinfo comment comments disqus newsletter copyright "
     "commentlist commentbox usercomments adbox adslot adunit sidenav topnav subnav mainnav sitenav cookiebar cookiebanner sitefooter pagefooter".split()
 )
+#: Words that mark an element as no content if its ratio says so too.
+WEAK_MARKS = frozenset(
+    "banner hidden login modal overlay pager pagination popup recommendations recommended related replies reply respond search share sharing signup social "
+    "subscribe subscription toolbar widget widgets".split()
+)
 #: Marks that count outside an article only: an article may have a header of its own.
 PAGE_MARKS = frozenset("header masthead topbar head siteheader pageheader".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none")
+
+
+@dataclass
+class Line:
+    """A line of text with the tags met on it, and the container, article and weakly marked element (0: none) that hold it."""
+
+    text: str
+    tags: int
+    container: int
+    article: int
+    weak: int
 
 
 class _Node:
-    """An open element that text can lie in: whether its text is dropped, and its region and article."""
+    """An open element that text can lie in, and what holds for its text."""
 
-    __slots__ = ("article", "dropped", "number", "tag")
+    __slots__ = ("article", "closed", "container", "dropped", "place", "tag", "weak")
 
-    def __init__(self, tag: str, dropped: bool, number: int, article: int) -> None:
-        self.tag, self.dropped, self.number, self.article = tag, dropped, number, article
+    def __init__(self, tag: str, place: int, dropped: bool, container: int, article: int, weak: int) -> None:
+        self.tag, self.place, self.dropped, self.closed = tag, place, dropped, False
+        self.container, self.article, self.weak = container, article, weak
 
 
 class Lines(HTMLParser):
-    """Folds parser events into ``lines``: (text, tags, container, article)."""
+    """Folds parser events into ``lines``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[Line] = []
         self._text: list[str] = []
         self._tags = 0
-        self._open = [_Node("", False, 0, 0)]
+        self._open = [_Node("", 0, False, 0, 0, 0)]
+        #: the open elements of each tag, outermost first
+        self._by_tag: dict[str, list[_Node]] = {}
         self._made = 0
 
     def _flush(self) -> None:
         if self._text:
             top = self._open[-1]
             if text := " ".join("".join(self._text).split()):
-                self.lines.append((text, self._tags, top.number, top.article))
+                self.lines.append(Line(text, self._tags, top.container, top.article, top.weak))
                 self._tags = 0
             self._text.clear()
 
-    def _dropped(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> bool:
+    def _marks(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> tuple[bool, bool]:
+        """Whether an element's text never counts, and whether that is left to its ratio."""
         if tag in NEVER or (tag == "header" and not article):
-            return True
+            return True, False
         if tag in ("html", "body"):
-            return False
+            return False, False
+        weak = False
         for name, value in attrs:
             if name in ("class", "id", "role"):
                 if tag in ("article", "main"):
@@ -90,35 +127,58 @@ class Lines(HTMLParser):
                 else:
                     words = {w.lower() for w in _WORDS.findall(value or "")}
                 if words & MARKS or (not article and words & PAGE_MARKS):
-                    return True
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value or "")):
-                return True
-        return False
+                    return True, False
+                weak = weak or bool(words & WEAK_MARKS)
+            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _NOT_SHOWN.search(value or "")):
+                return True, False
+        return False, weak
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of some tags; 0 if there is none."""
+        return max((nodes[-1].place for t in tags if (nodes := self._by_tag.get(t))), default=0)
+
+    def _close(self, place: int) -> None:
+        """Ends the open element of this place and all inside it."""
+        while len(self._open) > place:
+            node = self._open.pop()
+            if not node.closed:
+                self._by_tag[node.tag].pop()
+        while self._open[-1].closed:
+            self._open.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
         if tag in BLOCKS:
             self._flush()
+            if (p := self._last(("p",))) > self._last(SCOPE):
+                self._close(p)
+            if tag in IMPLIED:
+                ends, beyond = IMPLIED[tag]
+                limit = self._last(beyond)
+                while (place := self._last(ends)) > limit:
+                    self._close(place)
         elif tag == "br":
             self._text.append(" ")
         if tag in VOID:
             return
         if tag == "body":  # what an unclosed head holds ends here
-            del self._open[1:]
+            self._close(1)
         top = self._open[-1]
-        if top.dropped:
-            self._open.append(_Node(tag, True, top.number, top.article))
-            return
-        dropped = self._dropped(tag, attrs, top.article)
+        dropped, weak = (True, False) if top.dropped else self._marks(tag, attrs, top.article)
         if dropped or tag in BLOCKS or attrs:
-            number, article = top.number, top.article
-            if tag in CONTAINERS and not dropped:
-                number = self._made = self._made + 1
-                if tag in ("article", "main"):
-                    article = article or number
-            if dropped and tag not in BLOCKS:
+            if dropped and not top.dropped and tag not in BLOCKS:
                 self._tags += 1
-            self._open.append(_Node(tag, dropped, number, article))
+            node = _Node(tag, len(self._open), dropped, top.container, top.article, top.weak)
+            if not dropped:
+                if tag in CONTAINERS:
+                    node.container = self._made = self._made + 1
+                    if tag in ("article", "main"):
+                        node.article = node.article or node.container
+                if weak and tag not in ("article", "main"):
+                    self._made += 1
+                    node.weak = node.weak or self._made
+            self._open.append(node)
+            self._by_tag.setdefault(tag, []).append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,16 +189,24 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag in BLOCKS:
             self._flush()
-        for k in range(len(self._open) - 1, 0, -1):
-            if self._open[k].tag == tag:
-                del self._open[k:]
-                break
+        nodes = self._by_tag.get(tag)
+        if not nodes:
+            return
+        if tag in BLOCKS:
+            if tag in BARRIER or nodes[-1].place > self._last(BARRIER):
+                self._close(nodes[-1].place)
+        elif nodes[-1].place > self._last(BARRIER):
+            # An inline element ends by itself: blocks opened inside it go on.
+            node = nodes.pop()
+            node.closed = True
+            while self._open[-1].closed:
+                self._open.pop()
 
     def handle_data(self, data: str) -> None:
         if not self._open[-1].dropped:
             self._text.append(data)
 
-    def finish(self) -> list[tuple[str, int, int, int]]:
+    def finish(self) -> list[Line]:
         self.close()
         self._flush()
         return self.lines
@@ -159,27 +227,36 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
+def clusters(lines: list[Line]) -> tuple[float, float, list[bool]]:
+    """The threshold, the mean of the smoothed ratios, and per line whether its smoothed ratio reaches the threshold."""
+    ratios = smooth([len(line.text) / max(1, line.tags) for line in lines])
+    mean = sum(ratios) / max(1, len(ratios))
+    limit = THRESHOLD * math.sqrt(sum((r - mean) ** 2 for r in ratios) / max(1, len(ratios)))
+    return limit, mean, [r >= limit for r in ratios]
+
+
+def region_ratios(lines: list[Line], field: str) -> dict[int, float]:
+    """Text-to-tag ratio of each container, article or weakly marked element over all its lines."""
+    sums: dict[int, list[int]] = {}
+    for line in lines:
+        total = sums.setdefault(getattr(line, field), [0, 0])
+        total[0] += len(line.text)
+        total[1] += max(1, line.tags)
+    return {region: size / tags for region, (size, tags) in sums.items()}
+
+
+def content_lines(lines: list[Line]) -> list[str]:
     """The text of the regions that the clustering selects, in page order."""
-    ratios = smooth([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    if not ratios:
-        return []
-    mean = sum(ratios) / len(ratios)
-    limit = THRESHOLD * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    seeds = [line for line, r in zip(lines, ratios, strict=True) if r >= limit]
-    sums: dict[tuple[bool, int], list[int]] = {}
-    for text, tags, container, article in lines:
-        for region in {(False, container), (True, article)}:
-            total = sums.setdefault(region, [0, 0])
-            total[0] += len(text)
-            total[1] += max(1, tags)
-    passes = {region for region, (size, tags) in sums.items() if size >= limit * tags}
-    articles = {line[3] for line in seeds if line[3]}
-    articles = {a for a in articles if (True, a) in passes}
-    containers = {line[2] for line in seeds if line[3] not in articles and (False, line[2]) in passes}
+    limit, mean, above = clusters(lines)
+    weak = {w for w, ratio in region_ratios(lines, "weak").items() if w and ratio < max(limit, mean / 2)}
+    articles = {a for a, ratio in region_ratios(lines, "article").items() if a and ratio >= limit}
+    containers = {c for c, ratio in region_ratios(lines, "container").items() if ratio >= limit}
+    seeds = [line for line, high in zip(lines, above, strict=True) if high and line.weak not in weak]
+    articles &= {line.article for line in seeds}
+    containers &= {line.container for line in seeds if line.article not in articles}
     if not articles and not containers:  # a page of one even ratio, or of none above its limit, is text throughout
-        return [text for text, _, _, _ in lines]
-    return [text for text, _, container, article in lines if article in articles or container in containers]
+        return [line.text for line in lines if line.weak not in weak]
+    return [line.text for line in lines if line.weak not in weak and (line.article in articles or line.container in containers)]
 
 
 def main_text(html: str | None) -> str:
