@@ -1,16 +1,17 @@
 """Exact deduplication by skew-safe combining.
 
-Every text is reduced to its digest and normalised content.  Digests of very many
-rows are found by counting first; only their rows are salted, over ``salts``
-keys, others have the one salt 0.  Combining runs in three stages and the full
-content is a grouping key, so is compared, in each:
+Every text is reduced to its digest and normalised content, and every row is
+salted.  Combining runs in three stages, and the full content is a grouping key,
+so is compared, in each:
 
 1. local: the map-side half of the salted aggregate merges equal texts inside a task;
 2. salted: its reduce side merges by (digest, salt, content), so a group that
-   holds a third of all rows is dealt out, and a group of one salt is done;
+   holds a third of all rows is dealt over ``salts`` keys;
 3. global: one row per salt and class is merged into the class's winner.
 
-The winners travel back by (digest, salt) too, so no join key is hot.
+The winners travel back by (digest, salt), so no join key is hot.  That key names
+a class only where its digest has one content; of digests with several, found
+when the winners are combined, the way back compares the content too.
 """
 
 from __future__ import annotations
@@ -20,13 +21,10 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialise, text_or_empty
 
 #: What normalisation deletes; fixed by the definition of equality.
 BLANKS = r"[\x20\x09-\x0D]+"
-#: A digest is salted from so many rows, if it is among so many of the most frequent ones; no other can hold
-#: more than one row in ``HOT_DIGESTS``, and the list is small enough to be broadcast.
-HOT_ROWS, HOT_DIGESTS = 1_000, 10_000
 SALTS = 64  #: At most 64: a class's salts travel as the bits of one number.
 #: More than any id's part of a rank.
 _STEP = Decimal(2**65)
@@ -47,13 +45,8 @@ def _ranked_id(rank: Column) -> Column:
     return F.when(by_id > 0, (F.lit(Decimal(2**63)).cast("decimal(38,0)") - by_id).cast("long"))
 
 
-def _salted(rows: DataFrame, salts: int) -> DataFrame:
-    """``rows`` with ``hot``, whether the digest is one of very many rows, and ``salt``."""
-    many = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= HOT_ROWS)
-    listed = many.orderBy(F.desc("rows"), "text_sha256").limit(HOT_DIGESTS).select("text_sha256").collect()
-    known = rows.sparkSession.createDataFrame(listed, "text_sha256 string").withColumn("known", F.lit(True))
-    found = rows.join(F.broadcast(known), "text_sha256", "left").withColumn("hot", F.coalesce("known", F.lit(False))).drop("known")
-    return found.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int"))
+def digest(content: Column) -> Column:
+    return F.coalesce(F.sha2(content, 256), F.lit(""))  # never null, and so no filter repeats it
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -62,29 +55,42 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The row with the most code points in its original text stays, then the one
     with the smallest id.  Null texts count as empty; a null id loses to any
-    other; rows that repeat an id are all counted and share its ``kept``.  An
-    empty table gives an empty result; further columns are not read.
+    other; rows that repeat an id are all counted and share its ``kept``.  Rows
+    alike in id and text share a salt: a task merges them before the shuffle.
+    An empty table gives an empty result; further columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).select(
         "doc_id",
         normalise(F.col("text")).alias("content"),
         F.length("text").cast("long").alias("n"),
         F.xxhash64("text").alias("row_tag"),
-    ).withColumn("text_sha256", F.coalesce(F.sha2(F.col("content"), 256), F.lit("")))  # never null, and so no filter repeats it
-    rows = _salted(rows, salts)
-    merged = rows.groupBy("hot", "text_sha256", "salt", "content").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    cold = merged.filter("not hot").select("text_sha256", "content", "best", "group_size", F.lit(1).cast("long").alias("salts"))
-    hot = merged.filter("hot").groupBy("text_sha256", "content").agg(
+    ).withColumn("text_sha256", digest(F.col("content")))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_tag"), F.lit(salts)).cast("int"))
+    salted = rows.groupBy("text_sha256", "salt", "content").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # A digest has one row per salt and content by now: dealt by digest, its contents meet in one place.
+    winners = salted.repartition("text_sha256").groupBy("text_sha256", "content").agg(
         F.max("best").alias("best"), F.sum("group_size").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
     )
-    winners = cold.unionByName(hot)
-    # Two contents of one digest are told apart by a second hash of the content.
-    routes = winners.select("text_sha256", F.xxhash64("content").alias("tag"), _ranked_id(F.col("best")).alias("keep_id"), "group_size", "salts")
-    routes = routes.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda k: F.call_function("getbit", F.col("salts"), k) == 1)))
-    return (
-        rows.select("doc_id", "text_sha256", F.xxhash64("content").alias("tag"), "salt", "n", "row_tag")
-        .join(routes, ["text_sha256", "tag", "salt"])
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n", "row_tag")
+    # Of a digest with one content, each of these is that content's.
+    per_digest = winners.groupBy("text_sha256").agg(
+        F.count(F.lit(1)).alias("contents"), F.max("best").alias("best"), F.max("group_size").alias("group_size"), F.bit_or("salts").alias("salts")
+    )
+    per_digest = materialise(per_digest)
+    out = _way_back(rows.drop("content"), per_digest.filter("contents = 1"), ["text_sha256", "salt"], salts)
+    several = per_digest.filter("contents > 1").select("text_sha256")
+    if not several.isEmpty():
+        apart = rows.join(several, "text_sha256", "left_semi")
+        known = _way_back(rows.join(several, "text_sha256", "left_anti").drop("content"), per_digest, ["text_sha256", "salt"], salts)
+        out = known.unionByName(_way_back(apart, winners.join(several, "text_sha256", "left_semi"), ["text_sha256", "content", "salt"], salts))
+    return out
+
+
+def _way_back(rows: DataFrame, winners: DataFrame, keys: list[str], salts: int) -> DataFrame:
+    """Every row with its class's winner, by ``keys`` and one row of the winner for each salt that it has."""
+    present = F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda k: F.call_function("getbit", F.col("salts"), k) == 1)
+    routes = winners.select(*[k for k in keys if k != "salt"], _ranked_id(F.col("best")).alias("keep_id"), "group_size", F.explode(present).alias("salt"))
+    return rows.join(routes, keys).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n", "row_tag"
     )
 
 
