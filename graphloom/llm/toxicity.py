@@ -5,23 +5,26 @@ toxic and other training texts under a Dirichlet prior, shrunk by its standard
 error; a constant drift makes the expected score of ordinary text negative.
 The linear-time all-maximal-segments scan finds every toxic passage of a text.
 Extreme-value statistics turn a segment's score S in a text of n tokens into
-nats of evidence, lambda * S - ln(K * n), where lambda and K come from the
-score distribution of other texts; the positive evidence of a text's segments
-adds up, and a logistic fit on a bounded sample maps the sum to a probability.
+nats of evidence, lambda * S - ln(K * n), where lambda and K are fitted to the
+best segments of other texts by maximum likelihood; the positive evidence of a
+text's segments adds up, and a logistic fit maps the sum to a probability.  Both
+fits use a bounded sample of labelled rows, and cross-fitting: a row of one fold
+is scored by log-odds that the other folds' labels give.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, slices, text_or_empty
+from .common import arrow_map, bytes_of, materialise, slices, text_or_empty
 from .textbuf import ALNUM, Words, words
 
 #: Hashed tokens: the model's size whatever the corpus.
@@ -32,6 +35,8 @@ PRIOR_MASS, PRIOR_FLAT = 50.0, 0.5
 SHRINK, DRIFT = 2.0, 0.5
 #: Labelled rows in the sample to which the logistic calibration is fitted.
 SAMPLE_ROWS = 20_000
+#: Folds of the cross-fitting.
+FOLDS = 3
 
 
 @dataclass
@@ -53,21 +58,25 @@ def token_scores(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: in
     return (np.sign(odds) * np.maximum(0, np.abs(odds) - SHRINK * error) - DRIFT).astype(np.float32)
 
 
-def extreme_value(scores: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """lambda > 0 with sum(p * exp(lambda * s)) = 1 over ordinary tokens, and ln K of their segments."""
-    p = weight / max(1.0, weight.sum())
-    if not (p[scores > 0] > 0).any():
-        return 1.0, -2.0
-    low, high = 0.0, 1.0
-    value = lambda x: float((p * np.exp(np.minimum(700, x * scores.astype(np.float64)))).sum()) - 1
-    while value(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if value(middle) < 0 else (low, middle)
-    lam = max(high, 1e-3)
-    above = (scores > 0) & (p > 0)
-    return lam, math.log(max(1e-12, float((p[above] * np.exp(np.minimum(700, lam * scores[above].astype(np.float64)))).sum())))
+def extreme_value(best: np.ndarray, tokens: np.ndarray) -> tuple[float, float]:
+    """lambda and ln K by maximum likelihood from the best segment scores of some texts and their numbers of tokens.
+
+    The best score of n tokens is at most s with probability exp(-K * n * exp(-lambda * s)).
+    Of a text without a positive token only that is known to hold at 0.
+    """
+    some = best > 0
+    s, n, none = best[some].astype(np.float64), tokens[some].astype(np.float64), float(tokens[~some].sum())
+    if not len(s):  # as if one more text had had a segment
+        return 1.0, -math.log(max(1.0, none))
+    log_k = lambda lam: math.log(len(s)) - math.log(float((n * np.exp(-lam * s)).sum()) + none)
+    # At the best K the sum of K * n * exp(-lambda * s) is the number of texts, so it drops out.
+    value = lambda lam: len(s) * (math.log(lam) + log_k(lam)) - lam * float(s.sum())
+    low, high = math.log(0.05), math.log(20.0)
+    for _ in range(60):  # the profile has one maximum: thirds close in on it
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (a, high) if value(math.exp(a)) < value(math.exp(b)) else (low, b)
+    lam = math.exp((low + high) / 2)
+    return lam, log_k(lam)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -104,25 +113,41 @@ def passages(model: Model, w: Words) -> list[list[tuple[int, int, float]]]:
 
 
 def _count(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents per class, and per class and token, of ``rows(text, toxic)``."""
+    """Documents per fold and class, and per fold, class and token, of ``rows(text, fold, toxic)``."""
+    groups = 2 * FOLDS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS + 1), np.int64)
+        total = np.zeros((groups, BUCKETS + 1), np.int64)
         for part in slices(batches, "text"):
             w = words(*bytes_of(part.column("text")), ALNUM)
-            label = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            key = np.unique(np.repeat(np.arange(len(label)), w.counts) * BUCKETS + _buckets(w))
-            total[:, :-1] += np.bincount(label[key // BUCKETS] * BUCKETS + key % BUCKETS, minlength=2 * BUCKETS).reshape(2, -1)
-            total[:, -1] += np.bincount(label, minlength=2)
+            group = 2 * part.column("fold").to_numpy(zero_copy_only=False).astype(np.int64) + part.column("toxic").to_numpy(zero_copy_only=False)
+            key = np.unique(np.repeat(np.arange(len(group)), w.counts) * BUCKETS + _buckets(w))
+            total[:, :-1] += np.bincount(group[key // BUCKETS] * BUCKETS + key % BUCKETS, minlength=groups * BUCKETS).reshape(groups, -1)
+            total[:, -1] += np.bincount(group, minlength=groups)
         k, c = np.nonzero(total)
         for a in range(0, len(k), 1 << 16):
             cut = slice(a, a + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(c[cut]), pa.array(total[k[cut], c[cut]])], names=["k", "c", "n"])
 
     sums = arrow_map(rows, count, "k long, c long, n long").groupBy("k", "c").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros((2, BUCKETS + 1))
+    total = np.zeros((groups, BUCKETS + 1))
     total[sums.k, sums.c] = sums.n
-    return total[:, -1], total[:, :-1]
+    total = total.reshape(FOLDS, 2, -1)
+    return total[:, :, -1], total[:, :, :-1]
+
+
+def _best_segments(sample: DataFrame, scores: np.ndarray) -> DataFrame:
+    """(toxic, best, tokens) of ``sample(text, toxic)``: the best segment's score, 0 if there is none, and the number of tokens."""
+    sent = sample.sparkSession.sparkContext.broadcast(scores)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            w = words(*bytes_of(part.column("text")), ALNUM)
+            values = sent.value[_buckets(w)]
+            best = [max((v for *_, v in maximal_segments(values[a:b])), default=0.0) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(best, pa.float64()), pa.array(w.counts, pa.int64())], names=["toxic", "best", "tokens"])
+
+    return arrow_map(sample, run, "toxic int, best double, tokens long")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -138,22 +163,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(beta[0])), float(beta[1])
 
 
-def evidence(rows: DataFrame, model: Model, carry: list[str], spans: bool = False) -> DataFrame:
+def evidence(docs: DataFrame, model: Model, carry: list[str], spans: bool = False, text_col: str = "text") -> DataFrame:
     """The columns ``carry`` with the ``evidence`` of each text, and its ``passages`` (first word, end word, nats) if asked for."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(rows.dtypes)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = dict(docs.dtypes)
+    names = [f"c{k}" for k in range(len(carry))]
+    rows = docs.select(*[docs[c].alias(k) for c, k in zip(carry, names, strict=True)], text_or_empty(text_col).alias("text"))
     kind = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64(), "nats": pa.float64()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
-            found = passages(sent.value, words(*bytes_of(part.column("_text")), ALNUM))
+        for part in slices(batches, "text"):
+            found = passages(sent.value, words(*bytes_of(part.column("text")), ALNUM))
             columns = [pa.array([math.fsum(x for *_, x in f) for f in found], pa.float64())]
             if spans:
                 columns.append(pa.array([[{"start": s, "end": e, "nats": x} for s, e, x in f] for f in found], kind))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + columns, names=[*carry, "evidence", *["passages"] * spans])
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + columns, names=[*names, "evidence", *["passages"] * spans])
 
-    fields = [f"`{c}` {kinds[c]}" for c in carry] + ["evidence double"] + ["passages array<struct<start:long,end:long,nats:double>>"] * spans
-    return arrow_map(rows, run, ", ".join(fields))
+    fields = [f"{k} {kinds[c]}" for c, k in zip(carry, names, strict=True)] + ["evidence double"] + ["passages array<struct<start:long,end:long,nats:double>>"] * spans
+    return arrow_map(rows, run, ", ".join(fields)).toDF(*carry, "evidence", *["passages"] * spans)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -162,21 +189,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     Token counts cover all labelled rows.  Without labels of both classes every
     text scores alike.
     """
-    marked = labels.filter("toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(FOLDS)).cast("int").alias("fold")
+    marked = labels.filter("toxic is not null").select("doc_id", fold, (F.col("toxic") > 0).cast("int").alias("toxic"))
     # Labels grow with the corpus, so they are not broadcast, however few they are here.
-    rows = docs.select("doc_id", text_or_empty().alias("_text")).join(marked.hint("merge"), "doc_id")
-    classes, tokens = _count(rows.select(F.col("_text").alias("text"), "toxic"))
-    scores = token_scores(tokens[1], tokens[0], int(classes[1]), int(classes[0]))
-    model = Model(scores, *extreme_value(scores, tokens[0]))
-    n = int(classes.sum())
-    if classes.min() > 0:
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(marked.hint("merge"), "doc_id")
+    classes, tokens = _count(rows.select("text", "fold", "toxic"))
+    every, n = classes.sum(axis=0), int(classes.sum())
+    model = Model(token_scores(tokens[:, 1].sum(axis=0), tokens[:, 0].sum(axis=0), int(every[1]), int(every[0])), 1.0, 0.0)
+    if every.min() > 0:
         share = min(1.0, sample_rows / n)
         picked = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)
         sample = marked.filter(picked).limit(2 * sample_rows)  # bounded, and so may be broadcast
-        part = docs.filter(picked).select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(sample), "doc_id")
-        sample = evidence(part, model, ["toxic"]).toPandas()
-        if sample.toxic.nunique() == 2:
-            model.slope, model.offset = fit_logistic(np.log1p(sample.evidence.to_numpy()), sample.toxic.to_numpy(float))
+        sample = materialise(docs.filter(picked).select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").drop("doc_id"))
+        left = [token_scores(*(np.delete(tokens[:, c], f, axis=0).sum(axis=0) for c in (1, 0)), *(int(np.delete(classes[:, c], f).sum()) for c in (1, 0))) for f in range(FOLDS)]
+        best = pd.concat([_best_segments(sample.filter(F.col("fold") == f), left[f]).toPandas() for f in range(FOLDS)])
+        ordinary = best[best.toxic == 0]
+        model.lam, model.log_k = extreme_value(ordinary.best.to_numpy(), ordinary.tokens.to_numpy())
+        crossed = [evidence(sample.filter(F.col("fold") == f), replace(model, scores=left[f]), ["toxic"]).toPandas() for f in range(FOLDS)]
+        found = pd.concat(crossed)
+        if found.toxic.nunique() == 2:
+            model.slope, model.offset = fit_logistic(np.log1p(found.evidence.to_numpy()), found.toxic.to_numpy(float))
     return model
 
 
@@ -186,5 +218,8 @@ def score(docs: DataFrame, model: Model, carry: list[str], spans: bool = False)
     A null or empty text has no evidence, which is the lowest score.  Rows that
     repeat stay; an empty table gives an empty result.
     """
-    found = evidence(docs.select(*carry, text_or_empty().alias("_text")), model, carry, spans)
-    return found.withColumn("score", 1 / (1 + F.exp(-(F.lit(model.slope) * F.log1p("evidence") + F.lit(model.offset)))))
+    names = [f"d{k}" for k in range(len(carry))]
+    plain = docs.select(*[docs[c].alias(k) for c, k in zip(carry, names, strict=True)], docs["text"])
+    found = evidence(plain, model, names, spans)
+    found = found.withColumn("score", 1 / (1 + F.exp(-(F.lit(model.slope) * F.log1p("evidence") + F.lit(model.offset)))))
+    return found.toDF(*carry, "evidence", *["passages"] * spans, "score")
