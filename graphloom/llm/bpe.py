@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash of its last bytes has a fixed pattern, so
-documents that share a passage share its chunks whatever stands around it.  A
-worker keeps the last ``CACHE_CHUNKS`` chunks that it encoded; one that comes
-again later, or on another worker, is encoded again.  Chunk joins are then repaired: text from the left chunk's last certain word start is
-encoded again, with ever more of the right chunk, until both encodings agree on
-a word start; from there the right chunk's ids hold.  The tokenizer splits
-words left to right with at most ``LOOKAHEAD`` characters of lookahead, so ids
-after a common word start are those of the whole text.
+documents that share a passage share its chunks whatever stands around it.
+Documents that begin alike are brought to one task, next to each other
+(``gather``), unless they are so many that the task is split; a worker keeps the
+last ``CACHE_CHUNKS`` chunks that it encoded, and so encodes what they share
+once.  A chunk that documents of other beginnings hold is encoded again on
+another worker, or after so many others.  Chunk joins are then repaired: text
+from the left chunk's last certain word start is encoded again, with ever more of
+the right chunk, until both encodings agree on a word start; from there the right
+chunk's ids hold.  The tokenizer splits words left to right with at most
+``LOOKAHEAD`` characters of lookahead, so ids after a common word start are those
+of the whole text.
 """
 
 from __future__ import annotations
@@ -294,24 +298,36 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, carry: list[str], text_col: str = "text") -> DataFrame:
+def gather(rows: DataFrame) -> DataFrame:
+    """``rows(text, ...)`` with those that begin alike next to each other: a first chunk is at least that long.
+
+    A rebalanced exchange splits what would be a large task, so that a beginning
+    of very many rows is dealt out.
+    """
+    start = F.xxhash64(F.substring("text", 1, LEAST_CHUNK))
+    return rows.withColumn("_start", start).hint("rebalance", F.col("_start")).sortWithinPartitions("_start").drop("_start")
+
+
+def encode(docs: DataFrame, tokenizer_path: str, carry: list[str], text_col: str = "text", together: bool = True) -> DataFrame:
     """The columns ``carry`` of each row with ``n_tokens`` and ``ids``; a null or empty text has no ids.
 
-    Repeated rows and ids stay; an empty table gives an empty result.
+    Repeated rows and ids stay; an empty table gives an empty result.  Without
+    ``together`` rows stay where they are, which suits texts without copies.
     """
     kinds = dict(docs.dtypes)
-    rows = docs.select(*carry, text_or_empty(text_col).alias("_text"))
+    names = [f"c{k}" for k in range(len(carry))]
+    rows = docs.select(*[docs[c].alias(k) for c, k in zip(carry, names, strict=True)], text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
-            ids = encoder(tokenizer_path).encode(part.column("_text"))
+        for part in slices(batches, "text"):
+            ids = encoder(tokenizer_path).encode(part.column("text"))
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = pa.array(np.concatenate(ids).view(np.int32))
             columns = [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + columns, names=[*carry, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + columns, names=[*names, "n_tokens", "ids"])
 
-    fields = [f"`{c}` {kinds[c]}" for c in carry] + ["n_tokens long", "ids array<int>"]
-    return arrow_map(rows, run, ", ".join(fields))
+    fields = [f"{k} {kinds[c]}" for c, k in zip(carry, names, strict=True)] + ["n_tokens long", "ids array<int>"]
+    return arrow_map(gather(rows) if together else rows, run, ", ".join(fields)).toDF(*carry, "n_tokens", "ids")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, carry: list[str], ids_col: str = "ids") -> DataFrame:
@@ -326,12 +342,14 @@ def decode(rows: DataFrame, tokenizer_path: str, carry: list[str], ids_col: str
     return arrow_map(rows.select(*dict.fromkeys([*carry, ids_col])), run, ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["text string"]))
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, together: bool = True) -> DataFrame:
     """Encode, then decode, each text in one pass: id, ``n_tokens``, digests of the ids and of the decoded text, and the ``ids`` if asked for.
 
     A null or empty text has no ids; rows that repeat stay; an empty table gives an empty result.
+    Without ``together`` rows stay where they are, which suits texts without copies.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = gather(rows) if together else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
