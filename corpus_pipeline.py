@@ -39,8 +39,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document, its token ids and digests of them and of the text that they decode to."""
-    return bpe.round_trip(docs, tokenizer_path(spark), with_ids=True)
+    """Per document, its token ids and digests of them and of the text that they decode to; no copies are left to gather."""
+    return bpe.round_trip(docs, tokenizer_path(spark), with_ids=True, together=False)
 
 
 STAGES = [
