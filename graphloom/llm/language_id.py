@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +64,31 @@ def _grams(low: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) ->
     return (key >> np.uint32(32 - (buckets.bit_length() - 1))).astype(np.int64), first
 
 
-def _scripts(low: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Script of each word by its first character that may be a letter."""
-    padded = np.concatenate([low, np.zeros(4, np.uint8)]).astype(np.int64)
-    b = [padded[start + k] for k in range(4)]
-    two, three = (b[0] & 0x1F) << 6 | (b[1] & 0x3F), (b[0] & 0x0F) << 12 | (b[1] & 0x3F) << 6 | (b[2] & 0x3F)
-    four = (b[0] & 0x07) << 18 | (b[1] & 0x3F) << 12 | (b[2] & 0x3F) << 6 | (b[3] & 0x3F)
-    point = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)))
-    return _SCRIPT_OF_RANGE[np.searchsorted(SCRIPT_STARTS, point, side="right") - 1]
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def _scripts(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Script of each word by its first letter; a word of none is of no script, which is "other"."""
+    padded = np.concatenate([low, np.zeros(4, np.uint8)])
+    out = np.full(len(start), SCRIPT_NAMES.index("other"))
+    plain = low[start] < 0x80  # the bytes of words below 128 are letters
+    out[plain] = SCRIPT_NAMES.index("latin")
+    rows = np.flatnonzero(~plain)
+    at = start[rows]
+    while len(rows):
+        b = [padded[at + k].astype(np.int64) for k in range(4)]
+        two, three = (b[0] & 0x1F) << 6 | (b[1] & 0x3F), (b[0] & 0x0F) << 12 | (b[1] & 0x3F) << 6 | (b[2] & 0x3F)
+        four = (b[0] & 0x07) << 18 | (b[1] & 0x3F) << 12 | (b[2] & 0x3F) << 6 | (b[3] & 0x3F)
+        point = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)))
+        found = _letters()[np.minimum(point, 0x10FFFF)]
+        out[rows[found]] = _SCRIPT_OF_RANGE[np.searchsorted(SCRIPT_STARTS, point[found], side="right") - 1]
+        at = at + np.where(b[0] < 0x80, 1, np.where(b[0] < 0xE0, 2, np.where(b[0] < 0xF0, 3, 4)))
+        left = ~found & (at < end[rows])
+        rows, at = rows[left], at[left]
+    return out
 
 
 def buckets_for(languages: int) -> int:
@@ -79,7 +97,11 @@ def buckets_for(languages: int) -> int:
 
 
 def train(rows: DataFrame) -> Model:
-    """A model of ``rows(text, lang)``; rows whose lang is null teach nothing.  Without any, there are no languages."""
+    """A model of ``rows(text, lang)``; rows whose lang is null teach nothing.  Without any, there are no languages.
+
+    The model's size is bounded, and so is the number of languages, by
+    ``MODEL_CELLS`` over 256: more are refused, none is left out.
+    """
     rows = rows.filter("lang is not null").select(text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"))
     languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MODEL_CELLS // 256 + 1).collect())
     if len(languages) > MODEL_CELLS // 256:
@@ -96,7 +118,7 @@ def train(rows: DataFrame) -> Model:
             grams, _ = _grams(low, start, end, buckets)
             mine = np.repeat(np.array([number[x] for x in part.column("lang").to_pylist()]), np.diff(first))
             total += np.bincount(np.repeat(mine, end - start) * (buckets + scripts) + grams, minlength=total.size).reshape(total.shape)
-            total += np.bincount(mine * (buckets + scripts) + buckets + _scripts(low, start), minlength=total.size).reshape(total.shape)
+            total += np.bincount(mine * (buckets + scripts) + buckets + _scripts(low, start, end), minlength=total.size).reshape(total.shape)
         k, c = np.nonzero(total)
         for a in range(0, len(k), 1 << 16):
             cut = slice(a, a + (1 << 16))
@@ -192,7 +214,7 @@ def label(model: Model, buf: np.ndarray, off: np.ndarray) -> list[list[tuple[int
     scores = np.ascontiguousarray(np.add.reduceat(model.trigrams[grams], at, axis=0).T, dtype=np.float64)
     # A word counts by its mean over a few bytes, lest one long word outweigh a sentence.
     scores *= np.minimum(1.0, 8.0 / (end - start))
-    scripts = _scripts(low, start)
+    scripts = _scripts(low, start, end)
     candidates = model.allowed.T[:, scripts]
     candidates |= ~model.allowed.any(axis=1)[scripts]
     scores = np.where(candidates, scores, scores.min(axis=0) - SWITCH)
