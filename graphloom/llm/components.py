@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialise(_oriented(edges))
     before = None
     while True:
-        large = _star(current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v"))), larger=True)
+        both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = materialise(_star(both, larger=True))  # it is read twice
         small = _star(large.select(F.col("b").alias("u"), F.col("a").alias("v")), larger=False)
         current = materialise(small)
         seen = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -42,8 +43,7 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     # Read back, the minima come to the join by a shuffle of their own, as the pairs do: only then can a hub's pairs be split.
     least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     moved = pairs.join(least, "u")
-    if larger:
-        out = moved.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    else:
-        out = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+    if larger:  # repeated edges may stay until the smaller star's edges are made distinct
+        return moved.filter("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    out = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return _oriented(out)
