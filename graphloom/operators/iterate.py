@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor the context names one, as in tests, a
-    temporary folder is used.
+    Only a local session may do without, as in tests: a temporary folder is used there.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()

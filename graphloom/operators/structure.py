@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import cut
@@ -112,14 +112,14 @@ def mean_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, q: float =
     without in-neighbours has mean 0.
     """
     n = nodes.count()
-    arcs = cut(edges.select("src", "dst").distinct())
-    rank = nodes.select("id", F.lit(1.0 / max(1, n)).alias("value"))
-    for _ in range(rounds):
+    arcs = cut(edges.select("src", "dst").distinct().repartition("src"))
+    rank = cut(nodes.select("id", F.lit(1.0 / max(1, n)).alias("value")))
+    for _ in range(rounds if n else 0):
         mean = rank.join(arcs, rank["id"] == arcs["src"]).groupBy("dst").agg(F.avg("value").alias("m"))
-        raw = rank.select("id").join(mean, F.col("id") == F.col("dst"), "left").select("id", (F.lit(q / max(1, n)) + (1 - q) * F.coalesce("m", F.lit(0.0))).alias("raw"))
-        raw = cut(raw)
-        total = raw.agg(F.sum("raw")).first()[0]
-        rank = raw.select("id", (F.col("raw") / F.lit(total)).alias("value"))
+        raw = rank.select("id").join(mean, F.col("id") == F.col("dst"), "left").select("id", (F.lit(q / n) + (1 - q) * F.coalesce("m", F.lit(0.0))).alias("raw"))
+        seen = Observation()
+        raw = cut(raw.observe(seen, F.sum("raw").alias("total")))
+        rank = raw.select("id", (F.col("raw") / F.lit(seen.get["total"])).alias("value"))
     return rank
 
 

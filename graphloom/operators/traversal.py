@@ -1,8 +1,10 @@
 """Paths, distances and reachability by frontier joins.
 
 Each round joins the last frontier with the edges and drops what is known by an
-anti join; rounds end with an empty frontier or at the depth asked for.  Frontiers
-are checkpointed, so plans stay short and a lost executor repeats one round.
+anti join; rounds end with an empty frontier or at the depth asked for.  Where
+steps go both ways, what is known and near is in the last two frontiers, so that
+no round reads the rest.  Frontiers are checkpointed, so plans stay short and a
+lost executor repeats one round.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).filter("u <> v").distinct()
 
 
-def distances(steps: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+def distances(steps: DataFrame, sources: DataFrame, depth: int | None = None, symmetric: bool = False) -> DataFrame:
     """(src, dst, d): hop distances from each source along ``steps(u, v)``, the source itself at 0.
 
     ``sources(id)``; every source grows its own frontier, so give few sources,
-    or all for all pairs.  No row means unreachable.
+    or all for all pairs.  No row means unreachable.  ``symmetric`` says that
+    every step has its reverse: neighbours of one frontier are at most one hop
+    nearer, so only the last two are dropped from the next.
     """
     frontier = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst")).distinct())
     levels, d = [frontier.withColumn("d", F.lit(0))], 0
@@ -43,14 +47,21 @@ def distances(steps: DataFrame, sources: DataFrame, depth: int | None = None) ->
         frontier = cut(moved.join(seen, ["src", "dst"], "left_anti"))
         if frontier.isEmpty():
             break
+        before = levels[-1].drop("d") if symmetric else seen
         levels.append(frontier.withColumn("d", F.lit(d)))
-        seen = seen.unionByName(frontier)
+        seen = before.unionByName(frontier)
     return reduce(DataFrame.unionByName, levels)
 
 
 def hop_distance(edges: DataFrame, source: int, depth: int | None = None) -> DataFrame:
     spark = edges.sparkSession
-    return distances(undirected(edges), spark.createDataFrame([(source,)], "id long"), depth)
+    return distances(undirected(edges), spark.createDataFrame([(source,)], "id long"), depth, symmetric=True)
+
+
+def coloured_distances(edges: DataFrame, sources: DataFrame, colours: list[list[str]], depth: int | None = None) -> DataFrame:
+    """(colour, src, dst, d): directed distances along the edges of each set of types, named by its types joined with ``|``."""
+    parts = [distances(directed(edges.filter(F.col("type").isin(own))), sources, depth).select(F.lit("|".join(own)).alias("colour"), "src", "dst", "d") for own in colours]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shortest_path(edges: DataFrame, source: int, target: int, depth: int = 4) -> DataFrame:
@@ -123,7 +134,7 @@ def typed_bfs(edges: DataFrame, source: int, kind: str, depth: int | None = None
 
 def eccentricity(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, value): greatest undirected distance from each source to what it reaches."""
-    return distances(undirected(edges), sources).groupBy(F.col("src").alias("id")).agg(F.max("d").alias("value"))
+    return distances(undirected(edges), sources, symmetric=True).groupBy(F.col("src").alias("id")).agg(F.max("d").alias("value"))
 
 
 def eccentricities(edges: DataFrame, nodes: DataFrame, batch: int = ECCENTRICITY_BATCH, only_greatest: bool = False) -> DataFrame:
@@ -131,8 +142,9 @@ def eccentricities(edges: DataFrame, nodes: DataFrame, batch: int = ECCENTRICITY
 
     A search from w bounds the value of each v that it reaches: at least d(v, w)
     and ecc(w) - d(v, w), at most ecc(w) + d(v, w).  Rounds search from ``batch``
-    nodes whose bounds differ, of greatest upper and of least lower bound by
-    halves, until all bounds meet; a node searched from is settled, so rounds end.
+    nodes whose bounds differ, by thirds of the greatest upper, the least lower
+    and the greatest lower bound, which are the middle and the rim of the graph,
+    until all bounds meet; a node searched from is settled, so rounds end.
     With ``only_greatest`` they end once no open node can exceed the greatest
     lower bound, and ``value`` is the lower bound.
     """
@@ -145,16 +157,16 @@ def eccentricities(edges: DataFrame, nodes: DataFrame, batch: int = ECCENTRICITY
             least = bounds.agg(F.max("low")).first()[0]
             open_ = open_.filter(F.col("high") > F.lit(least if least is not None else 0))
         order = F.xxhash64("id"), F.col("id")
-        picked = [r.id for r in open_.orderBy(F.desc("high"), *order).limit(batch - batch // 2).collect()]
-        picked += [r.id for r in open_.orderBy("low", *order).limit(batch // 2).collect()]
+        third = max(1, batch // 3)
+        picked = {r.id for first in (F.desc("high"), F.col("low"), F.desc("low")) for r in open_.orderBy(first, *order).limit(third).collect()}
         if not picked:
             return bounds.select("id", F.col("low").alias("value"))
-        d = cut(distances(steps, edges.sparkSession.createDataFrame([(i,) for i in picked], "id long")))
+        d = cut(distances(steps, edges.sparkSession.createDataFrame([(i,) for i in sorted(picked)], "id long"), symmetric=True))
         far = d.groupBy("src").agg(F.max("d").alias("e"))
         told = d.join(far, "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.greatest("d", F.col("e") - F.col("d"))).alias("l"), F.min(F.col("e") + F.col("d")).alias("h"))
         bounds = cut(bounds.join(told, "id", "left").select("id", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high")))
 
 
 def diameter(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Greatest finite undirected distance, over all pairs."""
-    return eccentricity(edges, nodes.select("id")).agg(F.max("value").alias("diameter"))
+    """Greatest finite undirected distance, over all pairs, without a row for each."""
+    return eccentricities(edges, nodes, only_greatest=True).agg(F.max("value").alias("diameter"))
