@@ -44,6 +44,8 @@ PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 DIRECT_PAIRS, PARTNER_ROUNDS = 4, 6
 #: Shingles in a block of a cluster, and blocks up to which its block pairs are tried.
 BLOCK_SHINGLES, CLUSTER_BLOCKS = 1 << 20, 16
+#: Rows of a block that a row is compared with one by one before the rest is compared at once.
+FIRST_TRIES = 8
 
 
 def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -164,19 +166,21 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     return out.select("doc_id", "row_tag", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-class Forest:
-    """Union-find over the rows of one task."""
+class Labels:
+    """Components of the rows of one task, as one label for each row; the smaller of two components is labelled anew."""
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
+    def __init__(self, known: np.ndarray) -> None:
+        _, self.of = np.unique(known, return_inverse=True)
+        order = np.argsort(self.of, kind="stable")
+        self.rows = dict(enumerate(np.split(order, np.flatnonzero(np.diff(self.of[order])) + 1)))
 
     def union(self, x: int, y: int) -> None:
-        self.up[self.root(x)] = self.root(y)
+        a, b = int(self.of[x]), int(self.of[y])
+        if len(self.rows[a]) < len(self.rows[b]):
+            a, b = b, a
+        moved = self.rows.pop(b)
+        self.of[moved] = a
+        self.rows[a] = np.concatenate([self.rows[a], moved])
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -190,37 +194,50 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def block_links(nodes: np.ndarray, known: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join all rows of a task which are linked through shared buckets; pairs already joined, as rows of one component of ``known`` are, are not tried."""
-    forest, links, failed = Forest(len(nodes)), [], set()
-    seen: dict[int, int] = {}
-    for x, c in enumerate(known.tolist()):
-        forest.union(x, seen.setdefault(c, x))
-    flat = bands.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    for part in np.split(order // bands.shape[1], np.flatnonzero(np.diff(flat[order])) + 1):
-        if len(part) < 2:
+    """Links that join all rows of a task which are linked through shared buckets; pairs already joined, as rows of one component of ``known`` are, are not tried.
+
+    Each row is tried against the rows before it: one by one against ``FIRST_TRIES`` that share
+    most buckets with it, and then against what is left at once.
+    """
+    n, labels, links = len(nodes), Labels(known), []
+    size = np.array([len(s) for s in sets], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(item.max()) + 1, bool)
+    _, bucket = np.unique(bands.reshape(-1), return_inverse=True)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    start = np.searchsorted(bucket[order], bucket).reshape(n, -1).tolist()
+    place, row = place.reshape(n, -1).tolist(), order // bands.shape[1]
+
+    def link(x: int, y: int) -> None:
+        labels.union(x, y)
+        links.append((int(nodes[x]), int(nodes[y])))
+
+    for x in range(n):
+        before = [row[a:b] for a, b in zip(start[x], place[x], strict=True) if a < b]
+        if not before:
             continue
-        groups: dict[int, list[int]] = {}
-        for x in part.tolist():
-            mine = [x]
-            for other in list(groups):
-                if other not in groups:
-                    continue
-                there = groups[other]
-                joined = forest.root(x) == forest.root(other)
-                for y in [] if joined else there:
-                    pair = (x, y) if x < y else (y, x)
-                    if pair in failed:
-                        continue
-                    if similar(sets[x], sets[y], percent):
-                        forest.union(x, y)
-                        links.append((int(nodes[x]), int(nodes[y])))
-                        joined = True
-                        break
-                    failed.add(pair)
-                if joined:
-                    mine += groups.pop(other)
-            groups[mine[0] if len(mine) == 1 else forest.root(x)] = mine
+        shared = np.bincount(np.concatenate(before), minlength=x)[:x]
+        left = np.flatnonzero((shared > 0) & (labels.of[:x] != labels.of[x]))
+        left = left[np.argsort(-shared[left], kind="stable")]
+        for _ in range(FIRST_TRIES):
+            if not len(left):
+                break
+            y, left = int(left[0]), left[1:]
+            if similar(sets[x], sets[y], percent):
+                link(x, y)
+                left = left[labels.of[left] != labels.of[x]]
+        if len(left):
+            mark[item[off[x] : off[x + 1]]] = True
+            first = np.cumsum(size[left]) - size[left]
+            at = np.arange(int(size[left].sum())) + np.repeat(off[left] - first, size[left])
+            common = np.add.reduceat(mark[item[at]], first, dtype=np.int64)
+            mark[item[off[x] : off[x + 1]]] = False
+            for y in left[100 * common >= percent * (size[x] + size[left] - common)].tolist():
+                if labels.of[x] != labels.of[y]:
+                    link(x, y)
     return links
 
 
