@@ -124,14 +124,15 @@ def _count(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             key = np.unique(np.repeat(np.arange(len(group)), w.counts) * BUCKETS + _buckets(w))
             total[:, :-1] += np.bincount(group[key // BUCKETS] * BUCKETS + key % BUCKETS, minlength=groups * BUCKETS).reshape(groups, -1)
             total[:, -1] += np.bincount(group, minlength=groups)
-        k, c = np.nonzero(total)
-        for a in range(0, len(k), 1 << 16):
-            cut = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(c[cut]), pa.array(total[k[cut], c[cut]])], names=["k", "c", "n"])
+        c = np.flatnonzero(total.any(axis=0))
+        for a in range(0, len(c), 1 << 14):
+            own = c[a : a + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(total[g, own]) for g in range(groups))], names=["c", *names])
 
-    sums = arrow_map(rows, count, "k long, c long, n long").groupBy("k", "c").agg(F.sum("n").alias("n")).toPandas()
+    names = [f"n{g}" for g in range(groups)]
+    sums = arrow_map(rows, count, ", ".join(f"{x} long" for x in ["c", *names])).groupBy("c").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
     total = np.zeros((groups, BUCKETS + 1))
-    total[sums.k, sums.c] = sums.n
+    total[:, sums["c"].to_numpy()] = [sums[x].to_numpy() for x in names]
     total = total.reshape(FOLDS, 2, -1)
     return total[:, :, -1], total[:, :, :-1]
 
