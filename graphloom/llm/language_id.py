@@ -124,9 +124,9 @@ def train(rows: DataFrame) -> Model:
             cut = slice(a, a + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(c[cut]), pa.array(total[k[cut], c[cut]])], names=["k", "c", "n"])
 
-    sums = arrow_map(rows, count, "k long, c long, n long").groupBy("k", "c").agg(F.sum("n").alias("n")).toPandas()
+    sums = arrow_map(rows, count, "k long, c long, n long").groupBy("k", "c").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((len(languages), buckets + scripts))
-    total[sums.k, sums.c] = sums.n
+    total[sums["k"].to_numpy(), sums["c"].to_numpy()] = sums["n"].to_numpy()
     grams, by_script = total[:, :buckets] + SMOOTHING, total[:, buckets:]
     logs = np.log(grams / grams.sum(axis=1, keepdims=True))
     share = by_script / np.maximum(1, by_script.sum(axis=1, keepdims=True))
