@@ -6,8 +6,10 @@ right for k + 1 by dealing the rows out, stably, by the symbol before each.
 Adjacent rows that part at pass k have a common prefix of k symbols, so after
 ``length`` passes the rows still together are the repeated strings.
 
-Each pass touches every row, and a repeat of n bytes takes n passes, so this is
-for collections that one task can hold; ``repeats`` does the same for a corpus.
+``merge`` touches every row in each pass.  ``repeated_rows`` goes on only with
+rows that are still together: what parts them parts all rows before them, too.  A
+repeat of n bytes takes n passes in both, so this is for collections that one
+task can hold; ``repeats`` does the same for a corpus.
 """
 
 from __future__ import annotations
@@ -56,13 +58,42 @@ def merge(shards: list[Transform], length: int) -> tuple[Transform, np.ndarray]:
     return Transform(before[row], text[row], offset[row]), prefix
 
 
+def repeated_rows(shards: list[Transform], length: int) -> tuple[np.ndarray, int]:
+    """Rows, of all shards put end to end, whose first ``length`` symbols occur elsewhere too, and the number of rows touched.
+
+    Row r's suffix preceded by one more symbol is a row of the same shard, found
+    by counting equal symbols before r (last-to-first mapping).  Rows together
+    after k symbols give those together after k + 1: they are dealt out by that
+    symbol, stably, and split where symbol or block change.
+    """
+    before = np.concatenate([s.before for s in shards]) if shards else np.zeros(0, np.uint16)
+    n, at, touched = len(before), 0, 0
+    ahead = np.empty(n, np.int64)
+    for s in shards:
+        ahead[at + np.argsort(s.before, kind="stable")] = at + np.arange(len(s.before))
+        at += len(s.before)
+    row, block = np.arange(n), np.zeros(n, np.int64)
+    for _ in range(length):
+        touched += len(row)
+        has = before[row] != END
+        row, block = row[has], block[has]
+        dealt = np.argsort(before[row], kind="stable")
+        row, block = row[dealt], block[dealt]
+        symbol = before[row]
+        parts = np.ones(len(row) + 1, bool)
+        parts[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        together = ~(parts[:-1] & parts[1:])
+        block = np.cumsum(parts[:-1])[together]
+        row = ahead[row[together]]
+    return np.sort(row), touched
+
+
 def repeated_strings(shards: list[list[bytes]], length: int) -> list[tuple[int, int]]:
     """(text, offset), in order, of all strings of ``length`` bytes that start anywhere else too; texts are numbered through the shards."""
     made, first = [], 0
     for texts in shards:
         made.append(transform(texts, first))
         first += len(texts)
-    rows, prefix = merge(made, length)
-    again = prefix == length
-    again[:-1] |= again[1:].copy()
-    return sorted(zip(rows.text[again].tolist(), rows.offset[again].tolist(), strict=True))
+    found = repeated_rows(made, length)[0]
+    text, offset = (np.concatenate([getattr(t, f) for t in made]) if made else np.zeros(0, np.int64) for f in ("text", "offset"))
+    return sorted(zip(text[found].tolist(), offset[found].tolist(), strict=True))
