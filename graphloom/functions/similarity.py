@@ -35,9 +35,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+# The modulus of the hash family, 2**31 - 1, and the generator of its coefficients.
+MERSENNE, GENERATOR = 2_147_483_647, 48_271
+
+
+def minhash_family(hashes: int) -> list[tuple[int, int]]:
+    """Coefficients (a, b) of ``hashes`` affine permutations modulo 2**31 - 1."""
+    values, x = [], 12_345
+    for _ in range(2 * hashes):
+        x = x * GENERATOR % MERSENNE
+        values.append(x)
+    return list(zip(values[::2], values[1::2], strict=True))
+
+
 def minhash(items: Column, hashes: int = 100) -> Column:
-    """Signature of a set: per seed the least hash of its items."""
-    return F.array(*[F.array_min(F.transform(items, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(hashes)])
+    """Signature of a set: per affine permutation of its items' digests the least value; of an empty set nulls."""
+    digests = F.transform(items, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
+
+    def least(a: int, b: int) -> Column:
+        return F.array_min(F.transform(digests, lambda x: (x * F.lit(a) + F.lit(b)) % F.lit(MERSENNE)))
+
+    return F.array(*[least(a, b) for a, b in minhash_family(hashes)])
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import node_terms
+from graphloom.operators.structure import ranked_rows
 
 
 def prefix_entries(nodes: DataFrame, p: int) -> DataFrame:
@@ -88,9 +89,9 @@ def dense_ids(nodes: DataFrame) -> DataFrame:
     Only the counts of id ranges meet in one place: rows are dealt out by
     range, numbered within their range and moved by the ranges before.
     """
-    ranged = nodes.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    ranged = ranged.persist()
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    local = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
-    return local.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("k")).alias("dense_id"))
+    return ranked_rows(nodes.select("id"), "id", "dense_id").select("id", "dense_id")
+
+
+def ids_with_label_part(nodes: DataFrame, part: str) -> DataFrame:
+    """Nodes that have a label which contains a string."""
+    return nodes.filter(F.exists("labels", lambda x: F.contains(x, F.lit(part)))).select("id")

@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.indexes import degrees
 from graphloom.operators.iterate import cut
 from graphloom.operators.structure import components
 from graphloom.plans.query import Query
@@ -47,13 +48,24 @@ def edge_order(query: Query) -> list[tuple[str, str]]:
     return out
 
 
-def exact_match(g: Graph, query: Query, predicates: Mapping[str, Predicate] | None = None, seed: Mapping[str, int] | None = None, limit: int | None = None) -> DataFrame:
+def look_ahead(g: Graph, query: Query, sets: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Sets without nodes of fewer out- or in-neighbours than their query node has."""
+    n = degrees(g.nodes, g.edges).select("id", "out_neighbours", "in_neighbours")
+    need = {q: (len({b for a, b in query.edges if a == q}), len({a for a, b in query.edges if b == q})) for q in query.ids}
+    return {q: s.join(n.filter((F.col("out_neighbours") >= need[q][0]) & (F.col("in_neighbours") >= need[q][1])).select("id"), "id", "left_semi") for q, s in sets.items()}
+
+
+def exact_match(
+    g: Graph, query: Query, predicates: Mapping[str, Predicate] | None = None, seed: Mapping[str, int] | None = None, limit: int | None = None, ahead: bool = False
+) -> DataFrame:
     """(q..) of all injective matches of labels and directed edges, a chain of edge joins.
 
     ``seed`` fixes the images of some query nodes; with ``limit`` the matches of
-    the least ids are returned.
+    the least ids are returned; ``ahead`` drops candidates of too few neighbours first.
     """
     sets = node_sets(g, query, predicates)
+    if ahead:
+        sets = look_ahead(g, query, sets)
     for q, node in (seed or {}).items():
         sets[q] = sets[q].filter(F.col("id") == node)
     arcs = g.edges.select("src", "dst").distinct()
@@ -145,13 +157,17 @@ def result_edges(g: Graph, query: Query, sim: DataFrame) -> DataFrame:
     return have.join(F.broadcast(edges), ["u", "v"], "left_semi").select("src", "dst").distinct()  # a query is small
 
 
-def result_components(edges: DataFrame) -> DataFrame:
-    """(component, n_nodes, n_edges) of a result graph."""
+def result_components(edges: DataFrame, bound: str | None = None) -> DataFrame:
+    """(component, n_nodes, n_edges) of a result graph; with the column of a bound, its mean too, in whose order components come."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     comp = components(nodes, edges)
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
     own = edges.join(comp.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
-    return sizes.join(own, "component").select("component", "n_nodes", "n_edges")
+    out = sizes.join(own, "component").select("component", "n_nodes", "n_edges")
+    if bound is None:
+        return out
+    mean = edges.join(comp.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.avg(bound).alias("mean_bound"))
+    return out.join(mean, "component").orderBy("mean_bound", "component")
 
 
 def nodes_with_edge_property(g: Graph, name: str, value: str) -> DataFrame:

@@ -158,6 +158,12 @@ def diversify_by_pairs(interest: list[float], dist: dict[tuple[int, int], float]
     return sorted(chosen + rest[: k - len(chosen)])
 
 
+def total_coverage(patterns: list[Pattern], chosen: list[int]) -> int:
+    """Distinct data nodes that any of the chosen patterns covers."""
+    covers = [patterns[i].matches.select("id") for i in chosen]
+    return reduce(DataFrame.unionByName, covers).distinct().count() if covers else 0
+
+
 def pattern_table(g: Graph, patterns: list[Pattern], chosen: list[int]) -> DataFrame:
     rows = [(k, "; ".join(f"{a}->{b}" for a, b in patterns[i].query.edges), len(patterns[i].query.labels), float(patterns[i].interest)) for k, i in enumerate(chosen)]
     return g.spark.createDataFrame(rows, "position int, pattern string, n_nodes int, interestingness double")

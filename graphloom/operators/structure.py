@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import cut
@@ -10,6 +10,14 @@ from graphloom.operators.traversal import directed, undirected
 from graphloom.sources.graph import Graph
 
 
+def ranked_rows(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` with numbers from 0 in the order of a column without ties, by ranges and their counts."""
+    dealt = cut(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    local = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1)
+    return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_row") + F.col("_before")).drop("_part", "_before", "_row")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): weak components, named by their least id, by large-star and small-star contraction."""
 
@@ -73,6 +81,42 @@ def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("csrc <> cdst").select(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).distinct()
 
 
+def bisimulation_ranks(nodes: DataFrame, edges: DataFrame, scc: DataFrame) -> DataFrame:
+    """(id, rank): bisimilar nodes have equal ranks.
+
+    0 for a node without out-edges; null, below every number, for one that only
+    cycles without another way out; else the most over its component's targets of
+    their rank, plus 1 where the target reaches no cycle.
+    """
+    arcs = cut(condensation(edges, scc))
+    inner = edges.join(scc.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(scc.select(F.col("id").alias("dst"), F.col("component").alias("d")), "dst")
+    cyclic = inner.filter("c = d").select("c").distinct()
+    comps = scc.select(F.col("component").alias("c")).distinct().join(cyclic.withColumn("cyclic", F.lit(True)), "c", "left").fillna(False)
+    open_, done = cut(comps), None
+    while not open_.isEmpty():
+        # A condensation has no cycles, so each round some component has only ranked targets.
+        waits = arcs.join(open_.select(F.col("c").alias("dst")), "dst", "left_semi").select(F.col("src").alias("c"))
+        ready = cut(open_.join(waits, "c", "left_anti"))
+        if done is None:
+            part = ready.select("c", (~F.col("cyclic")).alias("well"), F.when(~F.col("cyclic"), 0).alias("rank"))
+        else:
+            rank = F.when(F.col("w"), F.col("r") + 1).otherwise(F.col("r"))
+            told = arcs.join(done.select(F.col("c").alias("dst"), F.col("well").alias("w"), F.col("rank").alias("r")), "dst").groupBy(F.col("src").alias("c")).agg(F.max(rank).alias("rank"), F.min("w").alias("w"))
+            part = ready.join(told, "c").select("c", (~F.col("cyclic") & F.col("w")).alias("well"), "rank")
+        done = cut(part if done is None else done.unionByName(part))
+        open_ = cut(open_.join(ready.select("c"), "c", "left_anti"))
+    if done is None:
+        return scc.select("id", F.lit(None).cast("int").alias("rank"))
+    return scc.join(done.select(F.col("c").alias("component"), "rank"), "component").select("id", "rank")
+
+
+def edges_by_level(edges: DataFrame, levels: DataFrame, bound: str | None = None) -> DataFrame:
+    """(eid, position): edges ordered by their target's level, then by a bound among their properties, then by id."""
+    own = edges.join(levels.select(F.col("id").alias("dst"), "level"), "dst")
+    key = F.struct("level", (F.try_element_at("props", F.lit(bound)).try_cast("double") if bound else F.lit(None).cast("double")).alias("b"), "eid")
+    return ranked_rows(own.select("eid", key.alias("_key")), "_key", "position").select("eid", "position")
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): longest path from a source of an acyclic graph; nodes on or after a cycle have no row."""
     arcs = cut(directed(edges))
@@ -176,6 +220,80 @@ def merge(a: Graph, b: Graph) -> Graph:
     return Graph(a.nodes.unionByName(b.nodes.join(a.nodes, "id", "left_anti")), first.select(F.col("e.eid").alias("eid"), "src", "dst", "type", props.alias("props")))
 
 
+def _draw(*columns: str, seed: int) -> Column:
+    """A fixed pseudo-random order of rows."""
+    return F.xxhash64(*columns, F.lit(seed))
+
+
+def insert_random_edges(g: Graph, count: int, kind: str = "RELATED", seed: int = 1) -> Graph:
+    """Adds ``count`` edges between nodes drawn by hash, no loops; fewer if a graph of one node allows none."""
+    first = g.edges.agg(F.coalesce(F.max("eid"), F.lit(-1)).alias("m")).first()["m"] + 1
+    draws = g.spark.range(count).select((F.col("id") + first).alias("eid"))
+    # Ends are drawn by their place in hash order: the nodes next above two hashes of the edge's number.
+    ids = [r.id for r in g.nodes.orderBy(_draw("id", seed=seed), "id").limit(2 * count + 2).select("id").collect()]
+    rows = [(r.eid, ids[(2 * k) % len(ids)], ids[(2 * k + 1) % len(ids)]) for k, r in enumerate(draws.collect())] if len(ids) > 1 else []
+    new = g.spark.createDataFrame(rows, "eid long, src long, dst long").filter("src <> dst")
+    return Graph(g.nodes, g.edges.unionByName(new.withColumn("type", F.lit(kind)).withColumn("props", F.create_map().cast("map<string,string>"))))
+
+
+def remove_random_edges(g: Graph, count: int, seed: int = 1) -> Graph:
+    return remove_edges(g, g.edges.orderBy(_draw("eid", seed=seed), "eid").limit(count).select("eid"))
+
+
+def remove_random_nodes(g: Graph, count: int, seed: int = 1) -> Graph:
+    return remove_nodes(g, g.nodes.orderBy(_draw("id", seed=seed), "id").limit(count).select("id"))
+
+
+def extend_edges(g: Graph, eids: DataFrame, hops: int) -> Graph:
+    """Replaces some edges by paths of ``hops`` edges over new nodes without labels."""
+    if hops < 2:
+        return g
+    one = g.nodes.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("m")).first()["m"] + 1
+    first = g.edges.agg(F.coalesce(F.max("eid"), F.lit(-1)).alias("m")).first()["m"] + 1
+    old = ranked_rows(g.edges.join(eids.select("eid"), "eid", "left_semi"), "eid", "_k")
+    at = lambda j: F.when(F.lit(0) == j, F.col("src")).when(j == hops, F.col("dst")).otherwise(F.lit(one) + F.col("_k") * (hops - 1) + j - 1)
+    steps = old.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(hops - 1))))
+    edges = steps.select((F.lit(first) + F.col("_k") * hops + F.col("_j")).cast("long").alias("eid"), at(F.col("_j")).cast("long").alias("src"), at(F.col("_j") + 1).cast("long").alias("dst"), "type", "props")
+    inner = old.select(F.explode(F.sequence(F.lit(one) + F.col("_k") * (hops - 1), F.lit(one) + (F.col("_k") + 1) * (hops - 1) - 1)).alias("id"))
+    nodes = inner.select(F.col("id").cast("long").alias("id"), F.array().cast("array<string>").alias("labels"), F.create_map().cast("map<string,string>").alias("props"))
+    return Graph(g.nodes.unionByName(nodes), remove_edges(g, eids).edges.unionByName(edges))
+
+
+def clone_nodes(g: Graph, ids: DataFrame) -> Graph:
+    """Adds a copy of each given node, with its labels, properties and edges; copies of two joined nodes are joined to the originals."""
+    one = g.nodes.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("m")).first()["m"] + 1
+    first = g.edges.agg(F.coalesce(F.max("eid"), F.lit(-1)).alias("m")).first()["m"] + 1
+    own = cut(ranked_rows(g.nodes.join(ids.select("id").distinct(), "id", "left_semi").select("id"), "id", "_k").select("id", (F.col("_k") + one).cast("long").alias("new")))
+    nodes = g.nodes.join(own, "id").select(F.col("new").alias("id"), "labels", "props")
+    out = g.edges.join(own.withColumnRenamed("id", "src"), "src").select("eid", F.col("new").alias("src"), "dst", "type", "props", F.lit(0).alias("_way"))
+    into = g.edges.join(own.withColumnRenamed("id", "dst"), "dst").select("eid", "src", F.col("new").alias("dst"), "type", "props", F.lit(1).alias("_way"))
+    more = ranked_rows(out.unionByName(into).withColumn("_key", F.struct("eid", "_way")), "_key", "_k").withColumn("eid", (F.col("_k") + first).cast("long"))
+    return Graph(g.nodes.unionByName(nodes), g.edges.unionByName(more.select("eid", "src", "dst", "type", "props")))
+
+
+def clear_attributes(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """Nodes without some of their properties."""
+    return nodes.withColumn("props", F.map_filter("props", lambda k, _: ~k.isin(names)))
+
+
+def grow_by_walks(g: Graph, ids: DataFrame, size: int, most_degree: int = 1000, seed: int = 1) -> Graph:
+    """The subgraph on ``ids(id)`` grown to ``size`` nodes, or until nothing is near: each round every node takes a random neighbour of a degree below ``most_degree``."""
+    steps = cut(undirected(g.edges))
+    small = steps.groupBy("u").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") < most_degree).select(F.col("u").alias("v"))
+    steps, have, turn = cut(steps.join(small, "v", "left_semi")), cut(ids.select("id").distinct()), 0
+    n = have.count()
+    while n < size:
+        turn += 1
+        near = steps.join(have.withColumnRenamed("id", "u"), "u").join(have.withColumnRenamed("id", "v"), "v", "left_anti")
+        taken = near.groupBy("u").agg(F.min_by("v", F.xxhash64("u", "v", F.lit(seed + turn))).alias("id")).select("id").distinct()
+        taken = cut(taken.orderBy(_draw("id", seed=seed), "id").limit(size - n))
+        if taken.isEmpty():
+            break
+        have = cut(have.unionByName(taken))
+        n = have.count()
+    return induced(g, have)
+
+
 def sample_nodes(g: Graph, fraction: float, seed: int = 1) -> Graph:
     """A Bernoulli sample of the nodes and the edges between them; equal seeds give equal samples."""
     keep = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import cut
 
-#: Sources searched from at once for eccentricities, and an upper bound before any search.
-ECCENTRICITY_BATCH, UNBOUNDED = 32, 2**31 - 1
+#: Sources searched from at once for eccentricities, at most the bits of a long, and an upper bound before any search.
+ECCENTRICITY_BATCH, UNBOUNDED = 64, 2**31 - 1
 
 
 def directed(edges: DataFrame, reverse: bool = False) -> DataFrame:
@@ -137,36 +137,85 @@ def eccentricity(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return distances(undirected(edges), sources, symmetric=True).groupBy(F.col("src").alias("id")).agg(F.max("d").alias("value"))
 
 
+def shared_search(steps: DataFrame, sources: list[int]) -> tuple[list[DataFrame], list[int]]:
+    """Distances from up to 64 sources in one search along symmetric ``steps``: per hop the nodes (id, mask) with the sources first met there as bits, and each source's eccentricity."""
+    bits = [(s, (1 << k) - (1 << 64 if k == 63 else 0)) for k, s in enumerate(sources)]
+    levels, ecc = [cut(steps.sparkSession.createDataFrame(bits, "id long, mask long"))], [0] * len(sources)
+    while True:
+        near = levels[-1] if len(levels) == 1 else levels[-1].unionByName(levels[-2])
+        near = near.groupBy(F.col("id").alias("v")).agg(F.bit_or("mask").alias("known"))
+        moved = levels[-1].join(steps, F.col("id") == F.col("u")).groupBy("v").agg(F.bit_or("mask").alias("mask"))
+        new = moved.join(near, "v", "left").select(F.col("v").alias("id"), F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0)))).alias("mask"))
+        seen = Observation()
+        new = cut(new.filter("mask <> 0").observe(seen, F.bit_or("mask").alias("met")))
+        met = seen.get["met"]
+        if not met:
+            return levels, ecc
+        ecc = [len(levels) if met >> k & 1 else e for k, e in enumerate(ecc)]
+        levels.append(new)
+
+
 def eccentricities(edges: DataFrame, nodes: DataFrame, batch: int = ECCENTRICITY_BATCH, only_greatest: bool = False) -> DataFrame:
     """(id, value): as ``eccentricity`` from every node, without a row for each pair.
 
     A search from w bounds the value of each v that it reaches: at least d(v, w)
     and ecc(w) - d(v, w), at most ecc(w) + d(v, w).  Rounds search from ``batch``
-    nodes whose bounds differ, by thirds of the greatest upper, the least lower
-    and the greatest lower bound, which are the middle and the rim of the graph,
-    until all bounds meet; a node searched from is settled, so rounds end.
+    nodes, half of them neighbours of most open nodes, half open nodes of the
+    greatest lower bound, which are the middle and the rim of the graph, until all
+    bounds meet; a node searched from is settled, so rounds end.
     With ``only_greatest`` they end once no open node can exceed the greatest
     lower bound, and ``value`` is the lower bound.
     """
     steps = cut(undirected(edges))
-    ends = steps.select(F.col("u").alias("id"), F.lit(True).alias("has")).distinct()
-    bounds = cut(nodes.select("id").distinct().join(ends, "id", "left").select("id", F.lit(0).alias("low"), F.when(F.col("has"), F.lit(UNBOUNDED)).otherwise(0).alias("high")))
+    ends = steps.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    bounds = nodes.select("id").distinct().join(ends, "id", "left")
+    bounds = cut(bounds.select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0).alias("low"), F.when(F.col("degree") > 0, F.lit(UNBOUNDED)).otherwise(0).alias("high")))
     while True:
         open_ = bounds.filter("low < high")
         if only_greatest:
             least = bounds.agg(F.max("low")).first()[0]
             open_ = open_.filter(F.col("high") > F.lit(least if least is not None else 0))
-        order = F.xxhash64("id"), F.col("id")
-        third = max(1, batch // 3)
-        picked = {r.id for first in (F.desc("high"), F.col("low"), F.desc("low")) for r in open_.orderBy(first, *order).limit(third).collect()}
+        noise = F.xxhash64("id"), F.col("id")
+        picked = [r.id for r in open_.orderBy(F.desc("low"), "degree", *noise).limit(max(1, batch // 2)).collect()]
         if not picked:
             return bounds.select("id", F.col("low").alias("value"))
-        d = cut(distances(steps, edges.sparkSession.createDataFrame([(i,) for i in sorted(picked)], "id long"), symmetric=True))
-        far = d.groupBy("src").agg(F.max("d").alias("e"))
-        told = d.join(far, "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.greatest("d", F.col("e") - F.col("d"))).alias("l"), F.min(F.col("e") + F.col("d")).alias("h"))
-        bounds = cut(bounds.join(told, "id", "left").select("id", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high")))
+        middle = steps.join(open_.select(F.col("id").alias("u")), "u", "left_semi").groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        middle = middle.join(bounds.filter("low < high").select("id"), "id", "left_semi").orderBy(F.desc("n"), *noise)
+        picked += [r.id for r in middle.limit(batch // 2).collect() if r.id not in picked]
+        levels, ecc = shared_search(steps, picked)
+        # A node's sources at one distance all tell by their own eccentricity, of which there are few values.
+        masks = {e: sum(1 << k for k, x in enumerate(ecc) if x == e) for e in set(ecc)}
+        masks = {e: m - (1 << 64) if m >> 63 else m for e, m in masks.items()}
+        told = []
+        for d, level in enumerate(levels):
+            has = {e: F.col("mask").bitwiseAND(F.lit(m)) != 0 for e, m in masks.items()}
+            low = F.greatest(F.lit(-1), *[F.when(x, max(d, e - d)) for e, x in has.items()])
+            high = F.least(F.lit(UNBOUNDED), *[F.when(x, e + d) for e, x in has.items()])
+            told.append(level.select("id", low.alias("l"), high.alias("h")))
+        told = reduce(DataFrame.unionByName, told).groupBy("id").agg(F.max("l").alias("l"), F.min("h").alias("h"))
+        bounds = cut(bounds.join(told, "id", "left").select("id", "degree", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high")))
 
 
 def diameter(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Greatest finite undirected distance, over all pairs, without a row for each."""
     return eccentricities(edges, nodes, only_greatest=True).agg(F.max("value").alias("diameter"))
+
+
+class DistanceCache:
+    """Bounded directed distances of node pairs, kept in a checkpointed table: a pair is searched for once, and misses are kept as well."""
+
+    def __init__(self, edges: DataFrame, bound: int) -> None:
+        self.edges, self.bound, self.known = edges, bound, None
+        self.hits = self.searched = 0
+
+    def get(self, pairs: DataFrame) -> DataFrame:
+        """``pairs(src, dst)`` with ``d``, null if they are further apart than the bound."""
+        pairs = pairs.select("src", "dst").distinct()
+        new = pairs if self.known is None else pairs.join(self.known, ["src", "dst"], "left_anti")
+        new = cut(new)
+        n = new.count()
+        self.hits, self.searched = self.hits + pairs.count() - n, self.searched + n
+        if n:
+            found = cut(new.join(within_bound(self.edges, new, self.bound), ["src", "dst"], "left"))
+            self.known = found if self.known is None else cut(self.known.unionByName(found))
+        return pairs.join(self.known, ["src", "dst"]) if self.known is not None else pairs.withColumn("d", F.lit(None).cast("int"))

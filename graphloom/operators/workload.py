@@ -41,13 +41,19 @@ def sample_queries(g: Graph, size: int, count: int, seed: int = 1) -> list[Query
     return out
 
 
-def label_templates(g: Graph, template: Query, stop: tuple[str, ...] = (), limit: int = 1000) -> Query:
-    """A template's nodes labelled by the commonest label among its structural matches that is no stop word and not used yet."""
-    matches = exact_match(g, Query({q: "" for q in template.ids}, template.edges), limit=limit)
+def label_templates(g: Graph, template: Query, stop: tuple[str, ...] = (), p: int = 4) -> Query:
+    """A template's nodes labelled from all its structural matches: by the label that most matched nodes have one alike, no stop word and not used yet.
+
+    Labels are alike that share their first ``p`` characters; of those of one
+    beginning the commonest is taken, then the least.
+    """
+    matches = exact_match(g, Query({q: "" for q in template.ids}, template.edges), ahead=True)
     labels, used = {}, set(stop)
     for q in template.ids:
         own = matches.select(F.col(f"q{q}").alias("id")).distinct().join(g.nodes, "id").select(F.explode("labels").alias("label"))
-        ranked = own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(len(used) + 1).collect()
+        counted = own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.substring("label", 1, p))
+        alike = counted.groupBy("start").agg(F.sum("n").alias("alike"))
+        ranked = counted.join(alike, "start").orderBy(F.desc("alike"), F.desc("n"), "label").limit(len(used) + 1).collect()
         labels[q] = next((r.label for r in ranked if r.label not in used), "")
         used.add(labels[q])
     return Query(labels, template.edges, template.index)
@@ -58,6 +64,11 @@ def prune(queries: list[Query], p: int) -> list[Query]:
     return [Query(q.labels, q.edges, k) for k, q in enumerate(q for q in queries if runnable(q, p))]
 
 
+def not_timed_out(queries: list[Query], p: int, milliseconds: dict[int, float], most: float = 60_000.0) -> list[Query]:
+    """Runnable queries whose measured time, by their index, is known and below a cap."""
+    return [q for q in queries if runnable(q, p) and milliseconds.get(q.index, most) < most]
+
+
 def non_stars(queries: list[Query]) -> list[Query]:
     return [q for q in queries if non_star(q)]
 

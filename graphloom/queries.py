@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import similarity as fn
-from graphloom.operators import indexes, matching, mining, stats, structure, traversal
+from graphloom.operators import indexes, matching, mining, stats, structure, traversal, workload
+from graphloom.plans import learned
 from graphloom.plans.anytime import AnytimeEngine, round_robin
-from graphloom.plans.query import Plan, Query, Star, make_plan
+from graphloom.plans.query import Plan, Query, Star, format_query, make_plan, non_star, runnable
 from graphloom.plans.topk import Matcher, candidate_counts, candidates
 from graphloom.sources.files import synthetic_graph
 from graphloom.sources.graph import Graph, relational_graph, subgraph_of_kinds
@@ -200,10 +201,20 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").cast("long").alias("p_partkey"), F.round(fn.jaccard(F.split("p_type", " "), F.split("p_name", " ")), 9).alias("jaccard"))
 
 
-@query()
+def _signature_sql(items: str) -> str:
+    digest = "('0x' || substr(md5(x), 1, 7))::BIGINT"
+    return f"list_transform(family, lambda f: list_min(list_transform({items}, lambda x: ({digest} * f.a + f.b) % {fn.MERSENNE})))"
+
+
+@query(
+    f"WITH f AS (SELECT [{', '.join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in fn.minhash_family(100))}] AS family), "
+    "w AS (SELECT p_partkey::BIGINT AS p_partkey, string_split(p_type, ' ') AS a, string_split(p_name, ' ') AS b FROM part), "
+    f"s AS (SELECT p_partkey, a, b, {_signature_sql('a')} AS sa, {_signature_sql('b')} AS sb FROM w, f) "
+    "SELECT p_partkey, len(list_filter(list_zip(sa, sb), lambda z: z[1] = z[2]))::DOUBLE / 100 AS estimate, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) AS jaccard FROM s"
+)
 def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.split("p_type", " ").alias("a"), F.split("p_name", " ").alias("b"))
-    return part.select("p_partkey", fn.minhash_similarity(fn.minhash(F.col("a")), fn.minhash(F.col("b"))).alias("estimate"), fn.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+    return part.select("p_partkey", fn.minhash_similarity(fn.minhash(F.col("a")), fn.minhash(F.col("b"))).alias("estimate"), F.round(fn.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
 
 
 @query("""SELECT page_id::BIGINT AS page_id, CASE WHEN url LIKE 'http://dbpedia.org/resource/%' THEN 'dbp_uri_' || substr(url, 29) ELSE regexp_replace(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), ''), '^www\\.', '') END AS short FROM pages""")
@@ -275,6 +286,14 @@ def fixed_star(m: Matcher, star: Star) -> Star:
 STAR_OF = Star("0", STAR.edges)
 
 
+@query(topk_sql(STAR, K))
+def pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from one star of two leaves, of which each pivot keeps its best only."""
+    m = Matcher(large(spark, sf_dir), STAR, PREFIX, THETA)
+    fixed_star(m, STAR_OF)
+    return m.top(K)
+
+
 @query(LARGE + "arcs AS (SELECT DISTINCT src, dst FROM edges), " + ", ".join(cand_sql(q, label) for q, label in STAR.labels.items()) + f""",
     r AS (SELECT c0.id AS q0, c1.id AS q1, c2.id AS q2, round(c0.sim + c1.sim + c2.sim, 6) AS score {match_sql(STAR.ids, list(STAR.edges))})
     SELECT q0, q1, q2, score FROM (SELECT *, row_number() OVER (PARTITION BY q0 ORDER BY score DESC, q0 DESC, q1 DESC, q2 DESC) AS n FROM r) WHERE n = 1""")
@@ -322,6 +341,14 @@ def anytime_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AnytimeEngine(Matcher(large(spark, sf_dir), STAR, PREFIX, THETA), 5).run(round_robin(200))[0]
 
 
+@query(anytime_sql(CHAIN, make_plan(CHAIN, CHAIN_STARS), 20))
+def anytime_partial_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole and partial answers by turns, until no plan node's bound reaches the least of the best."""
+    m = Matcher(large(spark, sf_dir), CHAIN, PREFIX, THETA)
+    m.plan = make_plan(CHAIN, CHAIN_STARS)
+    return AnytimeEngine(m, 20).run(round_robin(2000), partial=True)[0]
+
+
 @query(LARGE + DEGREES + """, arcs AS (SELECT DISTINCT src, dst FROM edges),
     c0 AS (SELECT id FROM deg WHERE out_neighbours >= 1), c1 AS (SELECT id FROM deg WHERE in_neighbours >= 1 AND out_neighbours >= 1), c2 AS (SELECT id FROM deg WHERE in_neighbours >= 2), c3 AS (SELECT id FROM deg WHERE out_neighbours >= 1),
     r AS (SELECT c0.id AS q0, c1.id AS q1, c2.id AS q2, c3.id AS q3, 4.0::DOUBLE AS score FROM c0 JOIN arcs x ON x.src = c0.id JOIN c1 ON c1.id = x.dst JOIN arcs y ON y.src = c1.id JOIN c2 ON c2.id = y.dst JOIN arcs z ON z.dst = c2.id JOIN c3 ON c3.id = z.src
@@ -390,6 +417,42 @@ def simulation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.result_edges(g, TREE, matching.simulation(g, TREE))
 
 
+@query(EXACT_SQL + "SELECT * FROM m")
+def exact_match_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With candidates of too few neighbours dropped first."""
+    return matching.exact_match(large(spark, sf_dir), EXACT, ahead=True)
+
+
+@query(SIM + ", r AS (SELECT DISTINCT src, dst FROM arcs JOIN sim a ON a.id = src JOIN sim b ON b.id = dst WHERE (a.qid = '0' AND b.qid = '1') OR (a.qid = '1' AND b.qid = '2')), "
+    "steps AS (SELECT src AS u, dst AS v FROM r UNION SELECT dst, src FROM r), reach(id, c) USING KEY (id) AS (SELECT u, u FROM steps UNION SELECT v, min(p.c) FROM reach p JOIN steps ON u = p.id JOIN recurring.reach k ON k.id = v WHERE k.c > p.c GROUP BY v) "
+    "SELECT c AS component, count(DISTINCT reach.id) AS n_nodes, (SELECT count(*) FROM r JOIN reach x ON x.id = r.src WHERE x.c = reach.c) AS n_edges FROM reach GROUP BY c")
+def result_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return matching.result_components(matching.result_edges(g, TREE, matching.simulation(g, TREE)))
+
+
+CARDINALITY = SIM.rstrip() + ", steps AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), k0 AS (SELECT qid, id FROM sim)"
+for _k in range(1, 9):
+    CARDINALITY += f", k{_k} AS (SELECT qid, id FROM k{_k - 1} WHERE id IN (SELECT u FROM steps WHERE v IN (SELECT id FROM k{_k - 1}) GROUP BY u HAVING count(*) BETWEEN 1 AND 5))"
+
+
+@query(CARDINALITY + " SELECT qid, id FROM k8")
+def simulation_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simulation's nodes with one to five neighbours among themselves, until none goes."""
+    g = large(spark, sf_dir)
+    ways = traversal.undirected(g.edges).toDF("src", "dst")
+    return matching.edge_cardinality(matching.simulation(g, TREE), ways, 1, 5)
+
+
+@query(SIM + "SELECT qid, id FROM sim")
+def simulation_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Started from the sets of its first edge's pattern."""
+    g = large(spark, sf_dir)
+    parent = Query({"0": "1-URGENT", "1": "BUILDING"}, (("0", "1"),))
+    start = matching.simulation(g, parent).unionByName(indexes.ids_with_labels(g.nodes, ["NATION_7"]).select(F.lit("2").alias("qid"), "id"))
+    return matching.simulation(g, TREE, inherited=start)
+
+
 @query(LARGE + "arcs AS (SELECT DISTINCT src, dst FROM edges), m AS (SELECT id FROM nodes WHERE kind = 5 AND id IN (SELECT 5000000000 + p_partkey FROM part WHERE p_size > 25 AND floor(p_retailprice) < 1500)) SELECT c.id AS q0, m.id AS q1 FROM arcs JOIN m ON m.id = dst JOIN (SELECT id FROM nodes WHERE list_contains(labels, '1-URGENT')) c ON c.id = src")
 def attribute_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicate = matching.attribute_predicate([("size", ">", 25), ("price", "<", 1500)])
@@ -560,6 +623,19 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.topological_levels(g.nodes, g.edges)
 
 
+@query(LARGE + "r(id, level) AS (SELECT id, 0 FROM nodes WHERE id NOT IN (SELECT src FROM edges) UNION SELECT src, level + 1 FROM r JOIN edges ON dst = id) SELECT id, max(level) AS rank FROM r GROUP BY id")
+def bisimulation_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return structure.bisimulation_ranks(g.nodes, g.edges, g.nodes.select("id", F.col("id").alias("component")))
+
+
+@query(LARGE + BOTH_WAYS + """w(v, path) AS (SELECT 3000000001::BIGINT, [3000000001::BIGINT] UNION ALL SELECT s.v, list_append(path, s.v) FROM w JOIN steps s ON s.u = w.v WHERE len(path) <= 4 AND w.v <> 2000000000 AND NOT list_contains(path, s.v)),
+    f AS (SELECT path, len(path) - 1 AS d FROM w WHERE v = 2000000000) SELECT path, d::INTEGER AS d FROM f ORDER BY d, path LIMIT 1""")
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first customer to the first nation, up to four hops; of equal ones that of least ids."""
+    return traversal.shortest_path(large(spark, sf_dir).edges, 3 * 10**9 + 1, 2 * 10**9, 4)
+
+
 # Graphs from graphs
 
 
@@ -610,6 +686,74 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.dataset_stats(g)
 
 
+@query(LARGE + "x AS (SELECT 1) SELECT DISTINCT id FROM (SELECT id, unnest(labels) AS label FROM nodes) WHERE contains(label, 'Customer#00000001')")
+def label_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.ids_with_label_part(large(spark, sf_dir).nodes, "Customer#00000001")
+
+
+@query(LARGE + "x AS (SELECT 1) SELECT eid, src, dst FROM edges UNION ALL SELECT (SELECT max(eid) FROM edges) + row_number() OVER (ORDER BY eid), (SELECT max(id) FROM nodes) + 1, dst FROM edges WHERE src = 3000000001 UNION ALL SELECT (SELECT max(eid) FROM edges) + (SELECT count(*) FROM edges WHERE src = 3000000001) + row_number() OVER (ORDER BY eid), src, (SELECT max(id) FROM nodes) + 1 FROM edges WHERE dst = 3000000001")
+def clone_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges with those of a copy of the first customer, whose one out-edge comes before its in-edges by id."""
+    g = large(spark, sf_dir)
+    return structure.clone_nodes(g, spark.createDataFrame([(3 * 10**9 + 1,)], "id long")).edges.select("eid", "src", "dst")
+
+
+# Workloads and learned schedules: walks and models draw by hashes and seeds, so rows repeat but no SQL gives them
+
+
+@query(LARGE + "l AS (SELECT id, unnest(labels) AS label FROM nodes), m AS (SELECT DISTINCT o.id AS q0, c.id AS q1, n.id AS q2 FROM nodes o JOIN edges a ON a.src = o.id JOIN nodes c ON c.id = a.dst JOIN edges b ON b.src = c.id JOIN nodes n ON n.id = b.dst WHERE list_contains(o.labels, '1-URGENT') AND list_contains(c.labels, 'BUILDING') AND list_contains(n.labels, 'NATION_7')) SELECT DISTINCT x.label AS label_q0, y.label AS label_q1, z.label AS label_q2 FROM m JOIN l x ON x.id = q0 JOIN l y ON y.id = q1 JOIN l z ON z.id = q2 WHERE x.label <> y.label AND x.label <> z.label AND y.label <> z.label")
+def workload_label_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = large(spark, sf_dir)
+    return workload.label_combinations(g, matching.exact_match(g, TREE))
+
+
+@query()
+def workload_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty connected queries of four nodes, their shape and whether a workload keeps them."""
+    found = workload.sample_queries(large(spark, sf_dir), 4, 20, seed=2)
+    rows = [(q.index, format_query(q), len(q.edges), non_star(q), runnable(q, PREFIX)) for q in found]
+    return spark.createDataFrame(rows, "query int, text string, n_edges int, non_star boolean, runnable boolean")
+
+
+@query()
+def workload_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for a template of three nodes from all its structural matches."""
+    q = workload.label_templates(large(spark, sf_dir), Query({"0": "", "1": "", "2": ""}, (("0", "1"), ("1", "2"))))
+    return spark.createDataFrame(list(q.labels.items()), "qid string, label string")
+
+
+def chain_engine(spark: SparkSession, sf_dir: str, k: int = 5) -> AnytimeEngine:
+    m = Matcher(large(spark, sf_dir), CHAIN, PREFIX, THETA)
+    m.plan = make_plan(CHAIN, CHAIN_STARS)
+    return AnytimeEngine(m, k)
+
+
+@query()
+def oracle_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oracle's fetches for a query of two stars, by beam search over depths."""
+    engine = chain_engine(spark, sf_dir)
+    path = learned.beam_search(engine.start.depth, engine.start.sizes, engine.needed_depths())
+    return spark.createDataFrame([(k, star, amount) for k, (star, amount) in enumerate(path)], "step int, star int, amount int")
+
+
+@query()
+def schedule_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the oracle's run gives to learning: 108 features of each choice of a star, and its label."""
+    engine = chain_engine(spark, sf_dir)
+    rows = learned.examples(0, engine, learned.static_features(engine.m), engine.needed_depths())
+    return learned.example_table(spark, rows)
+
+
+@query()
+def schedule_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs in rows and quality of the oracle, of taking turns, of a random choice and of an imitating policy on one query."""
+    engine = chain_engine(spark, sf_dir)
+    static, needed = learned.static_features(engine.m), engine.needed_depths()
+    path = learned.beam_search(engine.start.depth, engine.start.sizes, needed)
+    policy = learned.fit_policy(learned.examples(0, engine, static, needed), spark, static)
+    return learned.compare(engine, {"oracle": learned.replay(path), "turns": round_robin(200), "random": learned.random_schedule(1), "policy": policy.scheduler()})
+
+
 # Pattern mining
 
 MINE_LOW, MINE_HIGH = 5, 100_000
@@ -620,9 +764,14 @@ def edge_patterns_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.edge_patterns(large(spark, sf_dir), MINE_LOW, MINE_HIGH)
 
 
+#: Least interestingness of a pattern.  Merges cover as much as their parts, so far fewer edge patterns may pass than a level could merge.
+MINE_THETA = 0.305
+
+
 @query()
 def diversified_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns that reach theta, to the last level, and of them the three chosen."""
     g = large(spark, sf_dir)
-    found = mining.mine(g, 50, MINE_HIGH, 0.01)
+    found = mining.mine(g, 50, MINE_HIGH, MINE_THETA)
     chosen = mining.diversify_by_swaps([p.interest for p in found], mining.distances(found), min(3, len(found)))
     return mining.pattern_table(g, found, chosen)

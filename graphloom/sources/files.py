@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ ENTITY_LABELS = ("title", "journal", "note", "booktitle", "publisher")
 
 
 def read_queries(spark: SparkSession, path: str) -> list[Query]:
-    return [q for r in spark.read.text(path, wholetext=True).collect() for q in parse_queries(r.value)]
+    """All queries of some text files: a workload is planned by the driver, which takes one file at a time."""
+    return [q for r in spark.read.text(path, wholetext=True).toLocalIterator() for q in parse_queries(r.value)]
 
 
 def query_tables(spark: SparkSession, queries: list[Query]) -> tuple[DataFrame, DataFrame]:
@@ -76,6 +77,75 @@ def format_pattern(p: PatternGraph) -> str:
     return "\n".join(lines) + "\n"
 
 
+def pattern_of(nodes: list[tuple[str, list[tuple[str, str, str | float]], float]], edges: list[tuple[str, str, int, int]]) -> PatternGraph:
+    """A pattern from nodes (tag, conditions, weight) and edges (from, to, bound, colour)."""
+    ends = [(a, b) for a, b, *_ in edges]
+    return PatternGraph(
+        Query({t: "" for t, *_ in nodes}, tuple(ends)), {t: list(c) for t, c, _ in nodes}, {t: w for t, _, w in nodes},
+        {e: x[2] for e, x in zip(ends, edges, strict=True)}, {e: x[3] for e, x in zip(ends, edges, strict=True)},
+    )
+
+
+def copy_pattern(p: PatternGraph) -> PatternGraph:
+    """An equal pattern that shares nothing with ``p``."""
+    return replace(p, query=replace(p.query, labels=dict(p.query.labels)), conditions={q: list(c) for q, c in p.conditions.items()}, weights=dict(p.weights), bounds=dict(p.bounds), colours=dict(p.colours))
+
+
+def stored_pattern(g: Graph) -> PatternGraph:
+    """A stored graph as a pattern: a node's last label counts, every bound is 1 and every colour 0.  A pattern is small, so its graph is read by the driver."""
+    nodes = {str(r.id): (r.labels or [""])[-1] for r in g.nodes.orderBy("id").collect()}
+    edges = [(str(r.src), str(r.dst)) for r in g.edges.orderBy("eid").collect()]
+    query = Query(nodes, tuple(edges))
+    return PatternGraph(query, {q: [] for q in nodes}, dict.fromkeys(nodes, 0.0), dict.fromkeys(query.edges, 1), dict.fromkeys(query.edges, 0))
+
+
+def convert_patterns(text: str) -> list[Query]:
+    """Queries of a dump of frequent patterns: per pattern ``id<tab>label`` rows, a line with the number of edges, ``src<tab>dst`` rows."""
+    lines, out, at = [x.rstrip() for x in text.splitlines() if x.strip()], [], 0
+    while at < len(lines):
+        labels: dict[str, str] = {}
+        while "\t" in lines[at]:
+            q, label = lines[at].split("\t", 1)
+            labels[q], at = label, at + 1
+        n = int(lines[at])
+        rows = [x.split("\t") for x in lines[at + 1 : at + 1 + n]]
+        if len(rows) < n:
+            raise ValueError("the text ends within a pattern")
+        out.append(Query(labels, tuple((r[0], r[1]) for r in rows), len(out)))
+        at += 1 + n
+    return out
+
+
+def relabel(queries: list[Query], prefix: str) -> list[Query]:
+    """Queries with a prefix before every label, as the data's own labels have."""
+    return [Query({q: prefix + label for q, label in x.labels.items()}, x.edges, x.index) for x in queries]
+
+
+def write_index(entries: DataFrame, path: str, by: str) -> None:
+    """Any index's entries, ordered within files by their key, so that a lookup skips row groups."""
+    entries.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_distances(distances: DataFrame, path: str) -> None:
+    """A table of (src, dst, d), one folder for each distance."""
+    distances.write.mode("overwrite").partitionBy("d").parquet(path)
+
+
+def read_distances(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Written distances, up to ``most`` if given, which prunes folders."""
+    found = spark.read.schema("src long, dst long, d int").parquet(path)
+    return found if most is None else found.filter(F.col("d") <= most)
+
+
+def write_simulation(sim: DataFrame, path: str) -> None:
+    """The nodes of each pattern node, one folder for each."""
+    sim.write.mode("overwrite").partitionBy("qid").option("header", True).csv(path)
+
+
 def read_bibliography(spark: SparkSession, path: str, record: str) -> DataFrame:
     """Records of a bibliography XML: ``key``, ``kind``, list fields and scalar fields, absent ones null."""
     fields = [T.StructField("_key", T.StringType()), *[T.StructField(f, T.ArrayType(T.StringType())) for f in LIST_FIELDS], *[T.StructField(f, T.StringType()) for f in SCALAR_FIELDS]]
@@ -216,7 +286,10 @@ def write_graph_csv(g: Graph, path: str) -> None:
     g.edges.select(F.col("src").alias(":START_ID"), F.col("dst").alias(":END_ID"), F.col("type").alias(":TYPE")).write.mode("overwrite").option("header", True).csv(f"{path}/edges")
 
 
-def write_answers(answers: DataFrame, path: str) -> None:
+def write_answers(answers: DataFrame, path: str, milliseconds: float | None = None) -> None:
+    """Rows of answers, with the time that they took if given."""
+    if milliseconds is not None:
+        answers = answers.withColumn("milliseconds", F.lit(float(milliseconds)))
     answers.write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
 
 
