@@ -333,13 +333,15 @@ def encode(docs: DataFrame, tokenizer_path: str, carry: list[str], text_col: str
 def decode(rows: DataFrame, tokenizer_path: str, carry: list[str], ids_col: str = "ids") -> DataFrame:
     """The columns ``carry`` of each row with ``text``; null or empty ids give an empty text."""
     kinds = dict(rows.dtypes)
+    names = [f"c{k}" for k in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [encoder(tokenizer_path).decode(np.array(x or [], np.int64)) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(texts, pa.string())], names=[*carry, "text"])
+            texts = [encoder(tokenizer_path).decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return arrow_map(rows.select(*dict.fromkeys([*carry, ids_col])), run, ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["text string"]))
+    plain = rows.select(*[rows[c].alias(k) for c, k in zip(carry, names, strict=True)], rows[ids_col].alias("ids"))
+    return arrow_map(plain, run, ", ".join([f"{k} {kinds[c]}" for c, k in zip(carry, names, strict=True)] + ["text string"])).toDF(*carry, "text")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, together: bool = True) -> DataFrame:
