@@ -4,7 +4,8 @@ Candidates come from an equi-join on label prefixes and a similarity filter.  A
 star is its pivot's candidates joined with edges and each leaf's candidates; of a
 leaf that no other star shares only the best ``k + n - 1`` per pivot can be part
 of an answer, so no more are kept.  Stars are joined on the query nodes that they
-share.  Answers map distinct query nodes to distinct data nodes; they are ranked
+share; of very many candidates, only rows that can reach the k-th score of the
+answers that the best rows alone give.  Answers map distinct query nodes to distinct data nodes; they are ranked
 by the sum of similarities, then by node ids in query order, both descending.
 """
 
@@ -14,16 +15,19 @@ from collections.abc import Mapping
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import label_similarity, node_terms
 from graphloom.operators.indexes import degrees, neighbours
+from graphloom.operators.iterate import cut
 from graphloom.plans.query import Plan, Query, Star, decompose, make_plan
 from graphloom.sources.graph import Graph
 
 #: Candidate rows up to which a query node's candidates count as small enough to be broadcast.
 BROADCAST_ROWS = 50_000
+#: Candidates of a query from which star rows are pruned by score before they are joined, and best rows of each star that bound it.
+BOUNDED_ROWS, LEADING_ROWS = 1_000_000, 10_000
 
 
 def candidates(g: Graph, query: Query, p: int, theta: float, structural: bool = False) -> DataFrame:
@@ -115,10 +119,43 @@ class Matcher:
             rows = rows.filter(_distinct(covered))
         return rows
 
+    def share(self, star: Star) -> Column:
+        """A star's part of an answer's score: a node's similarity counts in equal parts for the stars that contain it."""
+        return reduce(lambda a, b: a + b, [F.col(f"s{q}") / self.plan.stars_of(q) for q in star.nodes])
+
+    def _combined(self, tables: list[DataFrame]) -> DataFrame:
+        """Whole answers, with their score, from rows of every star."""
+        rows, covered = None, []
+        for star, shared, table in zip(self.plan.stars, self.plan.shared, tables, strict=True):
+            part = table.drop("share", *[f"s{q}" for q in shared])
+            rows = part if rows is None else rows.join(part, [_col(q) for q in shared])
+            covered += [q for q in star.nodes if q not in covered]
+            rows = rows.filter(_distinct(covered))
+        ids = self.query.ids
+        return rows.select(*[_col(q) for q in ids], total(ids).alias("score"))
+
+    def bounded(self, k: int) -> DataFrame:
+        """Answers among which the best ``k`` are: of star rows only those that, with the best of every other star, reach the k-th score found among leading rows."""
+        tables, first = [], []
+        for star in self.plan.stars:
+            seen = Observation()
+            tables.append(cut(self.star(star, k).withColumn("share", self.share(star)).observe(seen, F.max("share").alias("best"))))
+            first.append(seen.get["best"] or 0.0)
+        leading = [t.orderBy(F.desc("share"), *[F.desc(_col(q)) for q in s.nodes]).limit(max(LEADING_ROWS, k)) for s, t in zip(self.plan.stars, tables, strict=True)]
+        found = self._combined(leading).orderBy(F.desc("score")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).first()
+        if found.n == k:
+            # Scores are rounded to six digits.
+            tables = [t.filter(F.col("share") + F.lit(sum(first) - f) >= F.lit(found.s - 1e-6)) for t, f in zip(tables, first, strict=True)]
+        return self._combined(tables)
+
     def top(self, k: int) -> DataFrame:
         """The best ``k`` answers: ``rank``, a column for each query node, ``score``."""
         ids = self.query.ids
-        best = self.joined(len(self.plan.stars), k).select(*[_col(q) for q in ids], total(ids).alias("score")).orderBy(*rank_order(ids)).limit(k)
+        if len(self.plan.stars) > 1 and sum(self.counts.values()) > BOUNDED_ROWS:
+            rows = self.bounded(k)
+        else:
+            rows = self.joined(len(self.plan.stars), k).select(*[_col(q) for q in ids], total(ids).alias("score"))
+        best = rows.orderBy(*rank_order(ids)).limit(k)
         return best.select(F.row_number().over(Window.orderBy(*rank_order(ids))).cast("long").alias("rank"), *[_col(q) for q in ids], "score")
 
     def top_anytime(self, k: int) -> DataFrame:

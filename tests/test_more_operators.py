@@ -4,11 +4,11 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 from test_operators import bfs, graph
-from test_plans import CASES, random_graph
+from test_plans import CASES, brute_force, random_graph
 
 from graphloom.functions import similarity as fn
 from graphloom.operators import indexes, matching, mining, structure, traversal, workload
-from graphloom.plans import learned
+from graphloom.plans import learned, topk
 from graphloom.plans.anytime import AnytimeEngine, round_robin
 from graphloom.plans.query import Query
 from graphloom.plans.topk import Matcher
@@ -144,6 +144,16 @@ def test_workload_labels_and_filters(spark):
     assert {r.id for r in indexes.ids_with_label_part(g.nodes, "the").collect()} == {12}
 
 
+@pytest.mark.parametrize("number,leading", [(3, 1), (3, 5), (4, 10_000), (2, 2)])
+def test_score_bounds_lose_no_answer(spark, monkeypatch, number, leading):
+    nodes, edges = random_graph(number)
+    m = Matcher(Graph.from_rows(spark, nodes, edges), CASES[number], p=3, theta=0.2)
+    want = brute_force(nodes, edges, CASES[number], 3, 0.2, 7)
+    monkeypatch.setattr(topk, "BOUNDED_ROWS", -1)
+    monkeypatch.setattr(topk, "LEADING_ROWS", leading)
+    assert [tuple(r)[1:] for r in m.top(7).orderBy("rank").collect()] == want
+
+
 @pytest.mark.parametrize("number", [2, 3])
 def test_partial_answers_stop_at_the_batch_result(spark, number):
     nodes, edges = random_graph(number, 16, 60)
