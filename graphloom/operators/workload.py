@@ -7,6 +7,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.iterate import cut
 from graphloom.operators.matching import exact_match
 from graphloom.operators.traversal import undirected
 from graphloom.plans.query import Query, non_star, runnable
@@ -48,9 +49,11 @@ def label_templates(g: Graph, template: Query, stop: tuple[str, ...] = (), p: in
     beginning the commonest is taken, then the least.
     """
     matches = exact_match(g, Query({q: "" for q in template.ids}, template.edges), ahead=True)
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{q}").alias("id")) for q in template.ids])).alias("x")
+    matched = cut(matches.select(each).select("x.q", "x.id").distinct())  # matches are made once, and only their nodes are kept
     labels, used = {}, set(stop)
     for q in template.ids:
-        own = matches.select(F.col(f"q{q}").alias("id")).distinct().join(g.nodes, "id").select(F.explode("labels").alias("label"))
+        own = matched.filter(F.col("q") == q).join(g.nodes, "id").select(F.explode("labels").alias("label"))
         counted = own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.substring("label", 1, p))
         alike = counted.groupBy("start").agg(F.sum("n").alias("alike"))
         ranked = counted.join(alike, "start").orderBy(F.desc("alike"), F.desc("n"), "label").limit(len(used) + 1).collect()
