@@ -9,8 +9,10 @@ nearest containers, of which every line is text, short ones too.  A region count
 only if its own ratio passes the threshold; where none does, the page is text
 throughout.  Inside a region, elements that say themselves to be navigation,
 headers, footers, sidebars, notices, adverts, forms, scripts or comments do not
-count; words that prose is called by too (``related``, ``share``, ``search``)
-only mark an element whose own ratio fails the threshold.
+count, if a class, id or role as a whole says so.  Words that prose is called by
+too (``related``, ``share``, ``search``), and any such word that is part of a
+longer name (``foot-care``, ``ad-hoc``), only mark an element whose own ratio
+fails the threshold.
 
 End tags that HTML lets a page omit are implied, and every event costs a bounded
 number of steps on average, whatever is left open.
@@ -122,13 +124,11 @@ class Lines(HTMLParser):
         weak = False
         for name, value in attrs:
             if name in ("class", "id", "role"):
-                if tag in ("article", "main"):
-                    words = {w.lower() for w in (value or "").split()}
-                else:
-                    words = {w.lower() for w in _WORDS.findall(value or "")}
-                if words & MARKS or (not article and words & PAGE_MARKS):
+                names = {w.lower() for w in (value or "").split()}
+                if names & MARKS or (not article and names & PAGE_MARKS):
                     return True, False
-                weak = weak or bool(words & WEAK_MARKS)
+                words = names if tag in ("article", "main") else names | {w.lower() for w in _WORDS.findall(value or "")}
+                weak = weak or bool(words & WEAK_MARKS or words & MARKS or (not article and words & PAGE_MARKS))
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _NOT_SHOWN.search(value or "")):
                 return True, False
         return False, weak
@@ -150,7 +150,7 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag in BLOCKS:
             self._flush()
-            if (p := self._last(("p",))) > self._last(SCOPE):
+            if (p := self._last(("p",))) and p > self._last(SCOPE):
                 self._close(p)
             if tag in IMPLIED:
                 ends, beyond = IMPLIED[tag]
