@@ -87,6 +87,14 @@ def keyed_join(rows: DataFrame, listed: DataFrame, key: str, per_key: str, most:
     return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
+def rows_of(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each row of ``stays(doc_id, row_tag)``, whose pairs are distinct; ``row_tag`` is the text's hash."""
+    plain = docs.toDF(*[f"d{k}" for k in range(len(docs.columns))])  # columns may have any names
+    own, text = F.col(f"d{docs.columns.index(id_col)}"), f"d{docs.columns.index(text_col)}"
+    joined = plain.withColumn("tag", F.xxhash64(text_or_empty(text))).join(stays, own.eqNullSafe(F.col("doc_id")) & (F.col("tag") == F.col("row_tag")))
+    return joined.dropDuplicates(["doc_id", "row_tag"]).select(*[F.col(f"d{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Keep each Arrow batch small enough for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -73,15 +73,18 @@ def test_block(ids: list[str], texts: list[str], window: int = WINDOW) -> TestBl
     buf, off = bytes_of(pa.array(texts, pa.large_string()))
     w = words(buf, off, ALNUM)
     symbols, at = with_separators(w.hash, w.first, _END_OF_ITEM)
-    found: dict[bytes, tuple[int, int, set[str]]] = {}
+    low = LOWER[buf]
+    spelled = [low[s:e].tobytes() for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+    found: dict[tuple[bytes, ...], tuple[int, int, set[str]]] = {}  # windows are told apart by their words' bytes
     for i, (n, a) in enumerate(zip(w.counts.tolist(), at.tolist(), strict=True)):
         size = min(n, window)
+        first = int(w.first[i])
         for j in range(n - size + 1 if n else 0):
-            found.setdefault(symbols[a + j : a + j + size].tobytes(), (a + j, size, set()))[2].add(ids[i])
+            found.setdefault(tuple(spelled[first + j : first + j + size]), (a + j, size, set()))[2].add(ids[i])
     rows = list(found.values())
     place = np.zeros((2, len(symbols)), np.int64)
     place[:, np.arange(len(w.hash)) + np.repeat(np.arange(len(texts)), w.counts)] = w.start, w.end
-    return TestBlock(symbols, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [sorted(r[2]) for r in rows], LOWER[buf], *place)
+    return TestBlock(symbols, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [sorted(r[2]) for r in rows], low, *place)
 
 
 def with_separators(hashes: np.ndarray, first: np.ndarray, separator: np.uint64) -> tuple[np.ndarray, np.ndarray]:

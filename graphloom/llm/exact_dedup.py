@@ -21,7 +21,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, rows_of, text_or_empty
 
 #: What normalisation deletes; fixed by the definition of equality.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -99,8 +99,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat the id of the row that stays, in its group, leave one row.
     """
-    stays = exact_groups(docs, id_col, text_col, salts).filter("kept").groupBy(F.col("doc_id").alias("_id"), "text_sha256")
-    stays = stays.agg(F.max(F.struct("n", "row_tag"))["row_tag"].alias("_tag")).drop("text_sha256")
-    tagged = docs.withColumn("_row_tag", F.xxhash64(text_or_empty(text_col)))
-    joined = tagged.join(stays, tagged[id_col].eqNullSafe(stays["_id"]) & (tagged["_row_tag"] == stays["_tag"]))
-    return joined.dropDuplicates(["_id", "_tag"]).select(*[tagged[c] for c in docs.columns])
+    stays = exact_groups(docs, id_col, text_col, salts).filter("kept").groupBy("doc_id", "text_sha256")
+    return rows_of(docs, stays.agg(F.max(F.struct("n", "row_tag"))["row_tag"].alias("row_tag")).drop("text_sha256"), id_col, text_col)

@@ -23,7 +23,12 @@ Work on links stays near linear in the documents:
   components is cut into blocks as a small cluster is.
 
 No link within a bucket that could still join two components goes untested.
-Sets are compared as sets of 64-bit shingle hashes.
+
+Sets are those of 64-bit shingle hashes under a key drawn for each run, which
+nobody who writes texts can know: two given sets are taken for more alike than
+they are with a probability of their shingles' product over 2**64.  Equal sets
+are told by two such hashes under independent keys; should they disagree
+anywhere, new keys are drawn and all is hashed again.
 """
 
 from __future__ import annotations
@@ -35,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, arrow_map, bytes_of, materialise, slices, text_or_empty
+from .common import arrow_limits, arrow_map, bytes_of, materialise, rows_of, slices, text_or_empty
 from .components import connected_components
-from .textbuf import NONSPACE, mix, shingles, stream, words
+from .textbuf import LOWER, NONSPACE, Words, draw_key, mix, shingles, span_hash, stream, words
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 #: Untested pairs per node from which another round of partners is tried, and rounds at most, before buckets are cut into blocks.
@@ -79,8 +84,14 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return out
 
 
-def _sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
-    return shingles(words(*bytes_of(part.column("text")), NONSPACE), size)
+def _sets(part: pa.RecordBatch, size: int, key: int, *more: int) -> list[list[np.ndarray]]:
+    """For each key, every text's set."""
+    buf, off = bytes_of(part.column("text"))
+    w = words(buf, off, NONSPACE, key)
+    out = [shingles(w, size, key)]
+    for k in more:
+        out.append(shingles(Words(span_hash(LOWER[buf], w.start, w.end, k), w.start, w.end, w.first), size, k))
+    return out
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -90,29 +101,40 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: id, ``n_shingles``, ``node`` (a hash of the whole set, null if empty) and its ``bands``."""
+def profiles(docs: DataFrame, size: int, keys: tuple[int, int]) -> DataFrame:
+    """Per row: id, ``n_shingles``, ``node`` (a hash of the whole set, null if empty), ``check`` (one under the second key) and its ``bands``."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sets = _sets(part, size)
-            keys = band_keys(signatures(sets)).view(np.int64)
-            nodes = [set_hash(s) if len(s) else None for s in sets]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
+            sets, others = _sets(part, size, *keys)
+            found = band_keys(signatures(sets)).view(np.int64)
+            nodes, check = ([set_hash(s) if len(s) else None for s in x] for x in (sets, others))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(found.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("row_tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), bands],
-                names=["doc_id", "row_tag", "n_shingles", "node", "bands"],
+                [part.column("doc_id"), part.column("row_tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(check, pa.int64()), bands],
+                names=["doc_id", "row_tag", "n_shingles", "node", "check", "bands"],
             )
 
-    return arrow_map(docs, profile, "doc_id long, row_tag long, n_shingles long, node long, bands array<long>")
+    return arrow_map(docs, profile, "doc_id long, row_tag long, n_shingles long, node long, check long, bands array<long>")
+
+
+def settled_profiles(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """``profiles`` and the distinct nodes among them, each of one set, with the key of their hashes."""
+    while True:
+        keys = draw_key(), draw_key()
+        found = materialise(profiles(rows, size, keys))
+        nodes = found.filter("node is not null").groupBy("node")
+        nodes = materialise(nodes.agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.min("check").alias("x"), F.max("check").alias("y")))
+        if nodes.filter("x <> y").isEmpty():
+            return found, nodes.drop("x", "y"), keys[0]
 
 
-def shingle_sets(nodes_text: DataFrame, size: int) -> DataFrame:
+def shingle_sets(nodes_text: DataFrame, size: int, key: int) -> DataFrame:
     """(node, shingles, hash) of (node, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = _sets(part, size)
+            found = _sets(part, size, key)[0]
             at = np.concatenate([[0], np.cumsum([len(s) for s in found])])
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values)), pa.array([set_hash(s) if len(s) else None for s in found], pa.int64())], names=["node", "shingles", "hash"])
@@ -141,17 +163,19 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("row_tag", F.xxhash64("text"))
-    found = materialise(profiles(rows, size))
-    nodes = found.filter("node is not null").groupBy("node")
-    nodes = materialise(nodes.agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    found, nodes, key = settled_profiles(rows, size)
     bands = nodes.select("node", F.explode("bands").alias("bucket"))
     bucket = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket", "least")
     cluster = connected_components(bands.join(bucket, "bucket").select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "cluster")
     blocks = cluster.join(nodes, "node").groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     members = materialise(cluster.join(nodes, "node").join(blocks, "cluster"))
-    texts = rows.join(members.select("node", "low"), F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
+    # Nodes of null ids alone are found by the text's tag as well, so that their rows do not all meet.
+    tags = found.filter("doc_id is null").groupBy(F.col("node").alias("_node")).agg(F.min("row_tag").alias("tag"))
+    named = members.join(tags, (F.col("node") == F.col("_node")) & F.col("low").isNull(), "left").select("node", "low", "tag")
+    by_tag = F.when(F.col("doc_id").isNull(), F.col("row_tag"))
+    texts = rows.withColumn("by_tag", by_tag).join(named, F.col("doc_id").eqNullSafe(F.col("low")) & F.col("by_tag").eqNullSafe(F.col("tag"))).select("node", "text")
     # Rows that repeat an id may bring another text; the set's own hash tells.
-    sets = materialise(shingle_sets(texts, size).filter("node = hash").select("node", "shingles").dropDuplicates(["node"]))
+    sets = materialise(shingle_sets(texts, size, key).filter("node = hash").select("node", "shingles").dropDuplicates(["node"]))
     members = members.withColumn("component", F.col("node"))
     links = materialise(_link_blocks(members.filter(F.col("blocks") <= CLUSTER_BLOCKS), sets, percent))
     large = members.filter(F.col("blocks") > CLUSTER_BLOCKS)
@@ -301,7 +325,5 @@ def _link_by_proposals(shared: DataFrame, sets: DataFrame, percent: int) -> Data
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their component: one of each group, the one with the smallest id."""
-    stays = near_groups(docs, size, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("row_tag").alias("_tag")).distinct()
-    tagged = docs.withColumn("_row_tag", F.xxhash64(text_or_empty(text_col)))
-    joined = tagged.join(stays, tagged[id_col].eqNullSafe(stays["_id"]) & (tagged["_row_tag"] == stays["_tag"]))
-    return joined.dropDuplicates(["_id", "_tag"]).select(*[tagged[c] for c in docs.columns])
+    stays = near_groups(docs, size, percent, id_col, text_col).filter("kept").select("doc_id", "row_tag").distinct()
+    return rows_of(docs, stays, id_col, text_col)

@@ -14,14 +14,16 @@ what the one before left open:
    string hashes over the cluster for an anchor of many.
 
 Counts combine before every shuffle, and joins by anchor deal with its hot
-anchors apart, so a passage in a third of all documents is no hot key.  Runs are
-told apart by two hashes of 64 bits, of their anchor and of their context,
-strings by that of the anchor and their own.
+anchors apart, so a passage in a third of all documents is no hot key.  Hashes of
+64 bits only propose.  Whole contexts, and strings that are counted over the
+cluster, are told apart by cryptographic digests of 128 bits; strings within a
+task by their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bytes_of, keyed_join, materialise, slices, text_or_empty
-from .textbuf import combine, every_hash, mix
+from .textbuf import every_hash, same_bytes
 
 LENGTH = 400
 #: Contexts of one anchor up to which they are compared within a task, and contexts compared at once there.
 TASK_CONTEXTS, TASK_BATCH = 2048, 4096
 #: Bits that hold any position in a buffer: no text of Spark's is longer.
 _PLACE = np.uint64(31)
-_RUN = "doc_id long, tag long, a int, b int, anchor long, context long, n int"
+_RUN = "doc_id long, tag long, a int, b int, anchor long, context binary, n int"
+#: Bytes of a digest that stands for a string.
+DIGEST = 16
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -50,13 +54,13 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of each run: its text, first and last string start (in the buffer), anchor hash, context hash."""
+    """Of each run: its text, first and last string start (in the buffer), anchor hash, context digest (as two numbers)."""
     seed = length // 2
     width = length - seed + 1
     size = np.diff(off)
     empty = np.zeros(0, np.int64)
     if len(buf) < length or not (size >= length).any():
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), np.zeros((0, 2), np.uint64)
     seeds = every_hash(buf, seed)
     packed = (seeds >> _PLACE << _PLACE) | np.arange(len(seeds), dtype=np.uint64)
     anchor = (window_minima(packed, width) & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
@@ -69,11 +73,9 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(start)) - 1
     a, b = start[begin], start[last]
-    # Two seeds from either end of a context cover it: it has 2 * length - seed bytes at most.
-    context = (b - a).astype(np.uint64)
-    for at in (a, a + seed, b + length - 2 * seed, b + length - seed):
-        context = mix(combine(context, seeds[at]))
-    return doc[begin], a, b, seeds[mine[begin]], context
+    raw = memoryview(np.ascontiguousarray(buf))
+    digests = b"".join([blake2b(raw[x : y + length], digest_size=DIGEST).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+    return doc[begin], a, b, seeds[mine[begin]], np.frombuffer(digests, np.uint64).reshape(-1, 2)
 
 
 def _merge(spans: np.ndarray) -> np.ndarray:
@@ -96,9 +98,9 @@ def _find_runs(rows: DataFrame, length: int) -> DataFrame:
             buf, off = bytes_of(part.column("text"))
             doc, a, b, anchor, context = runs(buf, off, length)
             # Equal contexts of one text: one row stands for them, and their strings are covered already.
-            order = np.lexsort((a, context, doc))
+            order = np.lexsort((a, context[:, 0], context[:, 1], doc))
             new = np.ones(len(order), bool)
-            new[1:] = (context[order][1:] != context[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            new[1:] = (context[order][1:] != context[order][:-1]).any(axis=1) | (doc[order][1:] != doc[order][:-1])
             at = np.flatnonzero(new)
             count = np.diff(np.append(at, len(order)))
             first = order[at]
@@ -125,7 +127,7 @@ def _find_runs(rows: DataFrame, length: int) -> DataFrame:
                 pa.array(begin.astype(np.int32)),
                 pa.array(end.astype(np.int32)),
                 pa.array(np.concatenate([anchor[first], fill]).view(np.int64), mask=none),
-                pa.array(np.concatenate([context[first], fill]).view(np.int64), mask=none),
+                pa.array([None if n else c for n, c in zip(none.tolist(), _digests(np.vstack([context[first], np.zeros((len(covered), 2), np.uint64)])), strict=True)], pa.binary()),
                 pa.array(np.concatenate([count, fill.astype(np.int64)]).astype(np.int32)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "a", "b", "anchor", "context", "n"])
@@ -156,15 +158,42 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return arrow_map(joined, cut, "doc_id long, tag long, a int, anchor long, single boolean, many boolean, bytes binary")
 
 
-def _strings(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every string in some contexts: the context's row, offset in it, and hash, which includes the anchor."""
+def _digests(pairs: np.ndarray) -> list[bytes]:
+    raw = pairs.tobytes()
+    return [raw[k : k + DIGEST] for k in range(0, len(raw), DIGEST)]
+
+
+def _strings(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every string in some contexts: the context's row, offset in it and in the bytes of all; and those bytes."""
     buf, off = bytes_of(part.column("bytes"))
     many = np.diff(off) - length + 1
     row = np.repeat(np.arange(len(many)), many)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    at = offset + off[row]
-    anchor = part.column("anchor").to_numpy().view(np.uint64)
-    return row, offset, combine(every_hash(buf, length)[at], anchor[row])
+    return row, offset, offset + off[row], buf
+
+
+def equal_strings(buf: np.ndarray, row: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> np.ndarray:
+    """A number for each string that strings of equal bytes share, and no others; ``h`` are hashes of them.
+
+    Strings of a hash are compared with the first of it.  Neighbours whose first
+    ones are neighbours as well make one stretch, which is compared at once.
+    """
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    first = first[of]
+    later = np.flatnonzero(first != np.arange(len(h)))
+    if not len(later):
+        return of
+    x, y = later[1:], later[:-1]
+    joined = (x == y + 1) & (row[x] == row[y]) & (first[x] == first[y] + 1) & (row[first[x]] == row[first[y]])
+    begin = np.flatnonzero(np.append(True, ~joined))
+    count = np.diff(np.append(begin, len(later)))
+    same = same_bytes(buf, at[later[begin]], buf, at[first[later[begin]]], count + length - 1)
+    if not same.all():
+        unequal = np.isin(of, of[later[np.repeat(~same, count)]])
+        numbers: dict[bytes, int] = {}
+        for k in np.flatnonzero(unequal).tolist():
+            of[k] = len(h) + numbers.setdefault(buf[at[k] : at[k] + length].tobytes(), len(numbers))
+    return of
 
 
 def _compare(contexts: DataFrame, length: int) -> DataFrame:
@@ -176,8 +205,8 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
         def flush(table: pa.Table) -> pa.RecordBatch:
             part = table.combine_chunks().to_batches()[0]
-            row, offset, h = _strings(part, length)
-            _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            row, offset, at, buf = _strings(part, length)
+            _, inverse, count = np.unique(equal_strings(buf, row, at, every_hash(buf, length)[at], length), return_inverse=True, return_counts=True)
             single = part.column("single").to_numpy(zero_copy_only=False)
             hit = (count[inverse] > 1) & single[row]
             row, offset = row[hit], offset[hit]
@@ -210,16 +239,17 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _count(contexts: DataFrame, length: int) -> DataFrame:
-    """What ``_compare`` gives, by counting every string's hash: for anchors of any number of contexts."""
+    """What ``_compare`` gives, by counting every string's digest: for anchors of any number of contexts."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "bytes", 1 << 16):
-            row, offset, h = _strings(part, length)
-            take = pa.array(row)
-            columns = [part.column("doc_id").take(take), part.column("tag").take(take), pa.array((part.column("a").to_numpy()[row] + offset).astype(np.int32)), part.column("single").take(take), pa.array(h.view(np.int64))]
+            row, offset, at, buf = _strings(part, length)
+            raw, take = memoryview(np.ascontiguousarray(buf)), pa.array(row)
+            digest = pa.array([blake2b(raw[k : k + length], digest_size=DIGEST).digest() for k in at.tolist()], pa.binary())
+            columns = [part.column("doc_id").take(take), part.column("tag").take(take), pa.array((part.column("a").to_numpy()[row] + offset).astype(np.int32)), part.column("single").take(take), digest]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "a", "single", "h"])
 
-    strings = materialise(arrow_map(contexts, spell, "doc_id long, tag long, a int, single boolean, h long"))
+    strings = materialise(arrow_map(contexts, spell, "doc_id long, tag long, a int, single boolean, h binary"))
     again = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     return strings.filter("single").join(again, "h").select("doc_id", "tag", "a", (F.col("a") + length).cast("int").alias("b"))
 

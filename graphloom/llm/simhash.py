@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, keyed_join, materialise, slices, text_or_empty
+from .common import arrow_map, bytes_of, keyed_join, materialise, rows_of, slices, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -215,8 +215,4 @@ def simhash_groups(docs: DataFrame, size: int = 5, bits: int = 4, id_col: str =
 def simhash_dedup(docs: DataFrame, size: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their component: one of each group, with all its columns in their form."""
     stays = simhash_groups(docs, size, bits, id_col, text_col).filter("kept").groupBy("doc_id").agg(F.min("row_tag").alias("row_tag"))
-    plain = docs.toDF(*[f"d{k}" for k in range(len(docs.columns))])
-    own, text = F.col(f"d{docs.columns.index(id_col)}"), f"d{docs.columns.index(text_col)}"
-    tagged = plain.withColumn("tag", F.xxhash64(text_or_empty(text)))
-    joined = tagged.join(stays, own.cast("long").eqNullSafe(F.col("doc_id")) & (F.col("tag") == F.col("row_tag")))
-    return joined.dropDuplicates(["doc_id", "row_tag"]).select(*[F.col(f"d{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return rows_of(docs, stays, id_col, text_col)

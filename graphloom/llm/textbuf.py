@@ -2,14 +2,18 @@
 
 All kernels work on one ``uint8`` array that holds several texts end to end and
 on the offsets of those texts.  Bytes are read eight at a time as numbers, and
-numbers are combined by steps that mix every bit into every other, so that no
-family of strings collides by construction, as it does for polynomials modulo
-2**64.  Equal strings hash alike in every process.
+numbers are combined by steps that mix every bit into every other.  Equal strings
+hash alike in every process.
+
+A hash only proposes: whoever knows its constants can make two strings that have
+it in common, so what decides on a result compares bytes or a cryptographic
+digest, or hashes under a key that ``draw_key`` gives anew for each run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +25,11 @@ _LEFT, _RIGHT, _BOTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD
 _LONG_SPAN = 256
 
 
+def draw_key() -> int:
+    """A random key of 128 bits, drawn by the driver for one run and sent with its tasks; 0 stands for the fixed constants."""
+    return int.from_bytes(os.urandom(16), "little") | 1
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the splitmix finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -51,10 +60,11 @@ def eights(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def combine(left: np.ndarray, right: np.ndarray, key: int = 0) -> np.ndarray:
     """Hash of two strings' hashes in this order."""
-    x = left * _LEFT
-    x += right * _RIGHT
+    a, b = (np.uint64(key & _MASK | 1), np.uint64(key >> 64 | 1)) if key else (_LEFT, _RIGHT)
+    x = left * a
+    x += right * b
     x ^= x >> np.uint64(29)
     x *= _BOTH
     x ^= x >> np.uint64(32)
@@ -78,10 +88,10 @@ def every_hash(buf: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
     """Hash of each span of the buffer, eight bytes at a step."""
     size = end - start
-    h = mix(size.astype(np.uint64) + np.uint64(_MASK // 3))
+    h = mix(size.astype(np.uint64) + np.uint64((_MASK // 3 + key) & _MASK))
     if not len(size):
         return h
     at_once = eights(buf)
@@ -92,11 +102,11 @@ def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
         x = at_once[start[rows] + done]
         left = size[rows] - done
         x = np.where(left < 8, x & ((np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1)), x)
-        h[rows] = mix(combine(h[rows], x))
+        h[rows] = mix(combine(h[rows], x, key))
         done += 8
         rows = rows[left > 8]
     for k in long.tolist():
-        digest = hashlib.blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8).digest()
+        digest = hashlib.blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8, key=key.to_bytes(16, "little") if key else b"").digest()
         h[k] = np.frombuffer(digest, "<u8")[0]
     return h
 
@@ -144,16 +154,16 @@ def word_spans(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np
     return start, end, np.searchsorted(start, off)
 
 
-def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> Words:
+def words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray, key: int = 0) -> Words:
     """Lower-cased words (A-Z only) made of the bytes in ``inside``."""
     low = LOWER[buf]
     start, end, first = word_spans(low, off, inside)
-    return Words(span_hash(low, start, end), start, end, first)
+    return Words(span_hash(low, start, end, key) if key else span_hash(low, start, end), start, end, first)
 
 
-def shingles(w: Words, size: int) -> list[np.ndarray]:
+def shingles(w: Words, size: int, key: int = 0) -> list[np.ndarray]:
     """Per text, the sorted distinct hashes of its runs of ``size`` words; a shorter text is one run, no words none."""
-    weights = stream(23, size) | np.uint64(1)
+    weights = stream(23 + key, size) | np.uint64(1)
     n = len(w.hash)
     runs = np.zeros(n, np.uint64)
     for k in range(min(size, n)):

@@ -3,8 +3,13 @@
 import public_tokenizers
 from test_quality import texts
 
-from graphloom.llm import bpe, quality, secrets
+from graphloom.llm import bpe, language_id, quality, secrets
 from graphloom.llm.decontaminate import contamination, decontaminate
+from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.html_extract import extract
+from graphloom.llm.near_dedup import near_dedup
+from graphloom.llm.repeats import remove_repeats
+from graphloom.llm.simhash import simhash_dedup
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,3 +52,27 @@ def test_benchmark(spark):
     assert found.columns == ["items", "n_words", "text", "n_words", "spans", "items", "longest"]
     assert sorted(str(tuple(r)[3]) for r in found.collect()) == ["0", "3", "3"]
     assert [tuple(r) for r in decontaminate(docs, items).collect()] == [(None, None, None, None)]
+
+
+def test_deduplicated_rows_keep_their_columns(spark):
+    columns = "doc_id long, text string, _row_tag int, row_tag int, tag int, d0 string, _tag string, _id int, node string, component string"
+    rows = [(1, "some words to keep", 7, 8, 9, "a", "b", 3, "c", "d"), (2, "some words to keep", 17, 18, 19, "a", "b", 13, "c", "d"), (None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows + rows[:1], columns)
+    for f in (exact_dedup, near_dedup, simhash_dedup):
+        got = f(docs)
+        assert got.schema == docs.schema
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[0], rows[2]], key=str), f
+
+
+def test_carried_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "<p>Words", "t", "c")], "page_id long, html string, text string, c0 string")
+    assert [tuple(r) for r in extract(pages, ["c0", "text", "html"]).collect()] == [("c", "t", "<p>Words", "Words")]
+    docs = spark.createDataFrame([(1, "x" * 500, "s", "k")] * 2, "doc_id long, text string, spans string, kept string")
+    assert [(r[0], r[1], r[3]) for r in remove_repeats(docs, ["spans", "kept"]).collect()] == [("s", "k", [(0, 500)])] * 2
+
+
+def test_languages(spark):
+    rows = [(k, "the house and the garden" if k % 2 else "das Haus und der Garten", "en" if k % 2 else "de", "z", "w", 1) for k in range(60)] + [(None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, word string, score int")
+    got = language_id.identify(docs, language_id.train(docs)).collect()
+    assert len(got) == 61 and sum(r["lang_pred"] == ("en" if r["doc_id"] % 2 else "de") for r in got if r["doc_id"] is not None) >= 58
