@@ -94,14 +94,28 @@ class Matcher:
         own = self.cands.filter(F.col("qid") == q).select(F.col("id").alias(_col(q)), F.col("sim").alias(f"s{q}"))
         return F.broadcast(own) if self.counts[q] <= BROADCAST_ROWS else own
 
+    def close(self) -> None:
+        """Gives back what is kept of the candidates."""
+        self.cands.unpersist()
+
+    def distinct(self, qids: list[str]) -> Column:
+        return _distinct(qids)
+
+    def leaf_matches(self, star: Star) -> list[tuple[str, DataFrame]]:
+        """Per leaf, (pivot, leaf, leaf's similarity) of every pair that the star's edge allows."""
+        out = []
+        for (a, _), leaf in zip(star.edges, star.leaves, strict=True):
+            ends = (F.col("id").alias(_col(star.pivot)), F.col("neighbour").alias(_col(leaf)))
+            step = self.out.select(*ends) if a == star.pivot else self.out.select(F.col("neighbour").alias(_col(star.pivot)), F.col("id").alias(_col(leaf)))
+            found = self._of(star.pivot).select(_col(star.pivot)).join(step, _col(star.pivot)).join(self._of(leaf), _col(leaf))
+            out.append((leaf, found.filter(F.col(_col(leaf)) != F.col(_col(star.pivot)))))
+        return out
+
     def star(self, star: Star, k: int | None = None) -> DataFrame:
         """All matches of a star, or what is enough for the best ``k`` answers."""
         rows = self._of(star.pivot)
         n = len(self.query.ids)
-        for (a, b), leaf in zip(star.edges, star.leaves, strict=True):
-            ends = (F.col("id").alias(_col(star.pivot)), F.col("neighbour").alias(_col(leaf)))
-            step = self.out.select(*ends) if a == star.pivot else self.out.select(F.col("neighbour").alias(_col(star.pivot)), F.col("id").alias(_col(leaf)))
-            found = self._of(star.pivot).select(_col(star.pivot)).join(step, _col(star.pivot)).join(self._of(leaf), _col(leaf)).filter(F.col(_col(leaf)) != F.col(_col(star.pivot)))
+        for leaf, found in self.leaf_matches(star):
             if k is not None and self.plan.stars_of(leaf) == 1:
                 best = Window.partitionBy(_col(star.pivot)).orderBy(F.desc(f"s{leaf}"), F.desc(_col(leaf)))
                 found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + n - 1).drop("_n")
