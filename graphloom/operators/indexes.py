@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import node_terms
 from graphloom.operators.structure import ranked_rows
 
+#: Directories of a stored prefix index.
+DIRECTORIES = 64
+
 
 def prefix_entries(nodes: DataFrame, p: int) -> DataFrame:
     """(prefix, id), distinct: the first ``p`` characters of each long enough term of a node."""
@@ -20,6 +23,41 @@ def prefix_index(nodes: DataFrame, p: int) -> DataFrame:
     return prefix_entries(nodes, p).groupBy("prefix").agg(F.count(F.lit(1)).alias("n_nodes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+class PrefixIndex:
+    """A stored access path from label prefixes of ``p`` characters to nodes and what is compared of them.
+
+    Entries (prefix, id, terms) lie in directories by a hash of the prefix and
+    are sorted by it there, so a look-up reads the directories of its prefixes,
+    and of these the row groups that can hold them.  A directory that a common
+    prefix makes large is several files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        about = spark.read.schema("p int, directories int").parquet(f"{path}/about").first()
+        self.p, self.directories = about.p, about.directories
+        self.entries = spark.read.schema("prefix string, id long, terms array<string>, directory int").parquet(f"{path}/entries")
+
+    @staticmethod
+    def build(nodes: DataFrame, p: int, path: str, directories: int = DIRECTORIES) -> PrefixIndex:
+        """Writes the index of ``nodes`` to a folder that is shared and empty."""
+        own = nodes.select("id", node_terms().alias("terms"))
+        prefixes = F.array_distinct(F.transform(F.filter("terms", lambda t: F.length(t) >= p), lambda t: F.substring(t, 1, p)))
+        rows = own.select(F.explode(prefixes).alias("prefix"), "id", "terms")
+        rows = rows.withColumn("directory", PrefixIndex._directory(F.col("prefix"), directories)).hint("rebalance", "directory")
+        rows.sortWithinPartitions("directory", "prefix", "id").write.partitionBy("directory").parquet(f"{path}/entries")
+        nodes.sparkSession.createDataFrame([(p, directories)], "p int, directories int").coalesce(1).write.parquet(f"{path}/about")
+        return PrefixIndex(nodes.sparkSession, path)
+
+    @staticmethod
+    def _directory(prefix: Column, directories: int) -> Column:
+        return F.pmod(F.xxhash64(prefix), F.lit(directories)).cast("int")
+
+    def lookup(self, prefix: str) -> DataFrame:
+        """(id, terms) of the nodes of a prefix."""
+        here = F.col("directory") == self._directory(F.lit(prefix), self.directories)  # folded to a literal, so directories are pruned
+        return self.entries.filter(here & (F.col("prefix") == prefix)).select("id", "terms")
+
+
 def label_entries(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("labels").alias("label"), "id").distinct()
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import label_similarity, node_terms
-from graphloom.operators.indexes import degrees, neighbours
+from graphloom.operators.indexes import PrefixIndex, degrees, neighbours
 from graphloom.operators.iterate import cut
 from graphloom.plans.query import Plan, Query, Star, decompose, make_plan
 from graphloom.sources.graph import Graph
@@ -30,14 +30,17 @@ BROADCAST_ROWS = 50_000
 BOUNDED_ROWS, LEADING_ROWS = 1_000_000, 10_000
 
 
-def candidates(g: Graph, query: Query, p: int, theta: float, structural: bool = False) -> DataFrame:
+def candidates(g: Graph, query: Query, p: int, theta: float, structural: bool = False, index: PrefixIndex | None = None) -> DataFrame:
     """(qid, id, sim) of all data nodes that may stand for a query node.
 
     A candidate shares the first ``p`` characters of a label (of a property
     value, if it has no label) and is more similar than ``theta``.  A query label
     shorter than ``p`` has none.  In structural mode labels do not count: every
-    node of enough in- and out-neighbours is a candidate of similarity 1.
+    node of enough in- and out-neighbours is a candidate of similarity 1.  An
+    ``index`` of the graph's nodes is read instead of the nodes.
     """
+    if index is not None and index.p != p:
+        raise ValueError(f"the index has prefixes of {index.p} characters, not {p}")
     if structural:
         need = {q: (len({a for a, b in query.edges if b == q}), len({b for a, b in query.edges if a == q})) for q in query.ids}
         all_ = degrees(g.nodes, g.edges).select("id", "in_neighbours", "out_neighbours")
@@ -48,6 +51,8 @@ def candidates(g: Graph, query: Query, p: int, theta: float, structural: bool =
     for q, label in query.labels.items():
         if len(label) < p:
             blocked = terms.filter(F.lit(False))
+        elif index is not None:
+            blocked = index.lookup(label[:p])
         else:  # one literal for each query node: the filter runs in the scan of the nodes, no join is needed
             blocked = terms.filter(F.exists("terms", _starts(label[:p])))
         parts.append(blocked.select(F.lit(q).alias("qid"), "id", label_similarity(F.lit(label), F.col("terms")).alias("sim")).filter(F.col("sim") > theta))
@@ -81,11 +86,11 @@ def total(qids: list[str]) -> Column:
 class Matcher:
     """One query against one graph: its candidates, plan and star tables."""
 
-    def __init__(self, g: Graph, query: Query, p: int = 12, theta: float = 0.3, structural: bool = False) -> None:
+    def __init__(self, g: Graph, query: Query, p: int = 12, theta: float = 0.3, structural: bool = False, index: PrefixIndex | None = None) -> None:
         if not query.connected():
             raise ValueError("the query graph is not connected, so its answers are products")
         self.graph, self.query = g, query
-        self.cands = candidates(g, query, p, theta, structural).persist()
+        self.cands = candidates(g, query, p, theta, structural, index).persist()
         self.counts: Mapping[str, int] = {q: 0 for q in query.ids} | {r.qid: r.n for r in candidate_counts(self.cands).collect()}
         self.plan: Plan = make_plan(query, decompose(query, self.counts))
         self.out = neighbours(g.edges, outgoing=True)

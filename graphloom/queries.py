@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from itertools import combinations
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import similarity as fn
-from graphloom.operators import indexes, matching, mining, stats, structure, traversal, workload
+from graphloom.operators import hublabels, indexes, matching, mining, stats, structure, traversal, workload
+from graphloom.operators.iterate import shared_dir
 from graphloom.plans import learned
 from graphloom.plans.anytime import AnytimeEngine, round_robin
 from graphloom.plans.query import Plan, Query, Star, format_query, make_plan, non_star, runnable
+from graphloom.plans.threshold import ThresholdSearch
 from graphloom.plans.topk import Matcher, candidate_counts, candidates
 from graphloom.sources.files import synthetic_graph
 from graphloom.sources.graph import Graph, relational_graph, subgraph_of_kinds
@@ -286,6 +289,20 @@ def fixed_star(m: Matcher, star: Star) -> Star:
 STAR_OF = Star("0", STAR.edges)
 
 
+@query(topk_sql(STAR, K))
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers with candidates from a stored prefix index in place of a scan of all nodes."""
+    g = large(spark, sf_dir)
+    index = indexes.PrefixIndex.build(g.nodes, PREFIX, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return Matcher(g, STAR, PREFIX, THETA, index=index).top(K)
+
+
+@query(topk_sql(STAR, K))
+def threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from sorted lists of candidates, read until the threshold ends the search."""
+    return ThresholdSearch(Matcher(large(spark, sf_dir), STAR, PREFIX, THETA)).top(K)[0]
+
+
 @query(topk_sql(STAR, K))
 def pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same answers from one star of two leaves, of which each pivot keeps its best only."""
@@ -546,6 +563,14 @@ def all_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.distances(traversal.undirected(g.edges), subgraph_of_kinds(g, ["region", "nation"]).nodes.select("id"), symmetric=True)
 
 
+@query(APSP + "SELECT s AS src, id AS dst, d FROM dist WHERE s >= 2000000000 AND id BETWEEN 3000000000 AND 3999999999")
+def label_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all customers from all nations, by the hub labels of the whole graph, which answer any pair."""
+    g = large(spark, sf_dir)
+    ends = [subgraph_of_kinds(g, [k]).nodes for k in ("nation", "customer")]
+    return hublabels.label_distances(hublabels.hub_labels(g.edges), *ends)
+
+
 COLOURED = """dist(s, id, d) USING KEY (s, id) AS (SELECT id, id, 0 FROM nodes WHERE kind = 2
     UNION SELECT r.s, v, min(r.d) + 1 FROM dist r JOIN own ON u = r.id LEFT JOIN recurring.dist k ON k.s = r.s AND k.id = v WHERE k.id IS NULL GROUP BY r.s, v) """
 
