@@ -18,9 +18,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.similarity import label_similarity, node_terms
+from graphloom.functions.similarity import label_similarity, lev_norm, node_terms
 from graphloom.operators.indexes import PrefixIndex, degrees, neighbours
-from graphloom.operators.iterate import cut
+from graphloom.operators.iterate import cut, written
 from graphloom.plans.query import Plan, Query, Star, decompose, make_plan
 from graphloom.sources.graph import Graph
 
@@ -30,14 +30,54 @@ BROADCAST_ROWS = 50_000
 BOUNDED_ROWS, LEADING_ROWS = 1_000_000, 10_000
 
 
-def candidates(g: Graph, query: Query, p: int, theta: float, structural: bool = False, index: PrefixIndex | None = None) -> DataFrame:
+class SimilarityMemo:
+    """Similarities of query labels to data labels, kept from query to query.
+
+    The key is a pair of labels, not of nodes: nodes of one label share an entry.
+    Entries of a query label are joined before any edit distance is taken; only
+    what is missing is computed, and written.  ``computed`` counts it.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[str, list[DataFrame]] = {}
+        self.computed = 0
+
+    def of(self, label: str, terms: DataFrame) -> DataFrame:
+        """(term, value) of the distinct ``terms(term)``."""
+        pieces = self.known.setdefault(label, [])
+        new = terms.select("term").distinct()
+        if pieces:
+            new = new.join(reduce(DataFrame.unionByName, pieces), "term", "left_anti")
+        new = written(new.withColumn("value", F.greatest(F.lit(0.0), lev_norm(F.lit(label), F.col("term")))))
+        if n := new.count():
+            self.computed += n
+            pieces.append(new)
+        if len(pieces) > 8:
+            pieces[:] = [written(reduce(DataFrame.unionByName, pieces))]
+        return reduce(DataFrame.unionByName, pieces) if pieces else new
+
+    def similarity(self, label: str, rows: DataFrame) -> DataFrame:
+        """(id, sim) of ``rows(id, terms)``, as ``label_similarity`` gives it."""
+        each = cut(rows.select("id", F.posexplode("terms").alias("at", "term")))
+        found = each.join(self.of(label, each), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v"))
+        return found.select("id", (F.aggregate("v", F.lit(0.0), lambda s, x: s + x["value"]) / F.size("v")).alias("sim"))
+
+    def close(self) -> None:
+        """Forgets all entries."""
+        self.known.clear()
+
+
+def candidates(
+    g: Graph, query: Query, p: int, theta: float, structural: bool = False, index: PrefixIndex | None = None, memo: SimilarityMemo | None = None
+) -> DataFrame:
     """(qid, id, sim) of all data nodes that may stand for a query node.
 
     A candidate shares the first ``p`` characters of a label (of a property
     value, if it has no label) and is more similar than ``theta``.  A query label
     shorter than ``p`` has none.  In structural mode labels do not count: every
     node of enough in- and out-neighbours is a candidate of similarity 1.  An
-    ``index`` of the graph's nodes is read instead of the nodes.
+    ``index`` of the graph's nodes is read instead of the nodes; a ``memo`` gives
+    the similarities that earlier queries took.
     """
     if index is not None and index.p != p:
         raise ValueError(f"the index has prefixes of {index.p} characters, not {p}")
@@ -55,7 +95,8 @@ def candidates(g: Graph, query: Query, p: int, theta: float, structural: bool =
             blocked = index.lookup(label[:p])
         else:  # one literal for each query node: the filter runs in the scan of the nodes, no join is needed
             blocked = terms.filter(F.exists("terms", _starts(label[:p])))
-        parts.append(blocked.select(F.lit(q).alias("qid"), "id", label_similarity(F.lit(label), F.col("terms")).alias("sim")).filter(F.col("sim") > theta))
+        own = memo.similarity(label, blocked) if memo else blocked.select("id", label_similarity(F.lit(label), F.col("terms")).alias("sim"))
+        parts.append(own.filter(F.col("sim") > theta).select(F.lit(q).alias("qid"), "id", "sim"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -86,11 +127,13 @@ def total(qids: list[str]) -> Column:
 class Matcher:
     """One query against one graph: its candidates, plan and star tables."""
 
-    def __init__(self, g: Graph, query: Query, p: int = 12, theta: float = 0.3, structural: bool = False, index: PrefixIndex | None = None) -> None:
+    def __init__(
+        self, g: Graph, query: Query, p: int = 12, theta: float = 0.3, structural: bool = False, index: PrefixIndex | None = None, memo: SimilarityMemo | None = None
+    ) -> None:
         if not query.connected():
             raise ValueError("the query graph is not connected, so its answers are products")
         self.graph, self.query = g, query
-        self.cands = candidates(g, query, p, theta, structural, index).persist()
+        self.cands = candidates(g, query, p, theta, structural, index, memo).persist()
         self.counts: Mapping[str, int] = {q: 0 for q in query.ids} | {r.qid: r.n for r in candidate_counts(self.cands).collect()}
         self.plan: Plan = make_plan(query, decompose(query, self.counts))
         self.out = neighbours(g.edges, outgoing=True)

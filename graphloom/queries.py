@@ -755,10 +755,9 @@ def chain_engine(spark: SparkSession, sf_dir: str, k: int = 5) -> AnytimeEngine:
 
 @query()
 def oracle_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The oracle's fetches for a query of two stars, by beam search over depths."""
-    engine = chain_engine(spark, sf_dir)
-    path = learned.beam_search(engine.start.depth, engine.start.sizes, engine.needed_depths())
-    return spark.createDataFrame([(k, star, amount) for k, (star, amount) in enumerate(path)], "step int, star int, amount int")
+    """The oracle's fetches for a query of two stars, by beam search over depths as rows."""
+    tasks = learned.task_table(spark, {0: chain_engine(spark, sf_dir)})
+    return learned.beam_search_all(tasks).select("step", "star", "amount")
 
 
 @query()
