@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.operators.iterate import cut
 from graphloom.plans.query import Query, format_query, parse_queries
 from graphloom.sources.graph import EDGE_SCHEMA, Graph
 
@@ -188,13 +190,22 @@ def bibliography_graph(records: DataFrame) -> Graph:
 _TERM = r"""(?:<[^>]*>|"(?:[^"\\]|\\.)*"(?:\^\^\S+|@[\w-]+)?|[^\s;,."<]+(?:\.[^\s;,."<]+)*)"""
 
 
-def parse_turtle(text: str) -> list[tuple[str, str, str, bool]]:
-    """(subject, predicate, object, is literal) of a Turtle text: prefixes, ``a``, ``;`` and ``,`` lists, blank nodes ``_:x`` and ``[..]``, literals."""
-    prefixes: dict[str, str] = {}
-    text = re.sub(r"(?m)(^|\s)#[^\n]*", r"\1", text)
-    tokens = re.findall(_TERM + r"|[;,.\[\]]", text)
+_TOKEN = re.compile(_TERM + r"|[;,.\[\]]")
+_COMMENT = re.compile(r"(?m)(^|\s)#[^\n]*")
+_QUOTE = re.compile(r'(?<!\\)"')
+
+
+def parse_turtle(text: str, known: Mapping[str, str] | None = None, blanks: int = 0) -> list[tuple[str, str, str, bool]]:
+    """(subject, predicate, object, is literal) of a Turtle text: prefixes, ``a``, ``;`` and ``,`` lists, blank nodes ``_:x`` and ``[..]``, literals.
+
+    A part of a text takes the prefixes ``known`` before it, and the number of
+    blank nodes ``[..]`` that came before.
+    """
+    prefixes: dict[str, str] = dict(known or {})
+    text = _COMMENT.sub(r"\1", text)
+    tokens = _TOKEN.findall(text)
     out: list[tuple[str, str, str, bool]] = []
-    blank = [0]
+    blank = [blanks]
 
     def term(t: str) -> tuple[str, bool]:
         if t.startswith("<"):
@@ -265,18 +276,108 @@ def triples_graph(triples: DataFrame) -> Graph:
     return Graph(nodes, edges)
 
 
-def read_turtle(spark: SparkSession, path: str) -> Graph:
-    """A graph of Turtle files; each file is parsed whole, in its own task."""
+def turtle_statements(lines: DataFrame) -> DataFrame:
+    """(file, text, before) of every statement of Turtle files, from ``lines(file, block, value)`` as Spark deals them.
+
+    A full stop outside of terms ends a statement wherever it stands, and terms
+    end with their line, so a part of a file tells by itself where its
+    statements end.  What two parts or more share is put together again:
+    every part gives two pieces of statements at most.  ``before`` counts the
+    blank nodes ``[..]`` in the statements before, in the file's order.  A file
+    in which a quoted text goes on over lines has a row without text as well.
+    """
+
+    def cut_up(batches):
+        import pandas as pd
+
+        where, seq, before, held, n, ended = None, 0, 0, [], 0, False
+
+        def rest():
+            # A piece that does not end: of a part without any end, the whole of it.
+            return [(*where, seq, "tail" if ended or where[1] == 0 else "middle", "\n".join(held), before, n)] if held or not ended else []
+
+        for batch in batches:
+            out = []
+            for file, block, value in zip(batch["file"], batch["block"], batch["value"], strict=True):
+                if (file, block) != where:
+                    if where:
+                        out += rest()
+                    where, seq, before, held, n, ended = (file, block), 0, 0, [], 0, False
+                line, at = _COMMENT.sub(r"\1", value), 0
+                if len(_QUOTE.findall(line)) % 2:
+                    out.append((file, block, -1, "open", None, 0, 0))
+                for m in _TOKEN.finditer(line):
+                    if m[0] == "[":
+                        n += 1
+                    elif m[0] == ".":
+                        held.append(line[at : m.end()])
+                        whole = ended or block == 0
+                        out.append((file, block, seq, "whole" if whole else "head", "\n".join(held), before, n))
+                        # The blank nodes of a head belong to the part in which its statement starts.
+                        seq, before, held, n, at, ended = seq + 1, before + (n if whole else 0), [], 0, m.end(), True
+                if line[at:].strip():
+                    held.append(line[at:])
+            yield pd.DataFrame(out, columns=["file", "block", "seq", "kind", "text", "before", "n"])
+        if where:
+            yield pd.DataFrame(rest(), columns=["file", "block", "seq", "kind", "text", "before", "n"])
+
+    parts = cut(lines.mapInPandas(cut_up, "file string, block long, seq long, kind string, text string, before long, n long"))
+    own = Window.partitionBy("file").orderBy("block", "seq")
+    # Pieces in the file's order: a head ends what the tail before it began.
+    pieces = parts.filter("kind not in ('whole', 'open')").withColumn("number", F.coalesce(F.sum((F.col("kind") == "head").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = pieces.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "text", "before", "kind"))).alias("p"), F.sum("n").alias("n"))
+    joined = cut(joined.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["before"].alias("before"), (F.col("p")[0]["kind"] == "head").alias("first"), "n", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text")))
+    every = parts.filter("kind = 'whole'").select("file", "block", "before", F.lit(False).alias("first"), "n", "text").unionByName(joined)
+    # A statement that starts with its part comes before the others there.
+    leading = joined.filter("first").select("file", "block", F.col("n").alias("leading"))
+    every = every.join(leading, ["file", "block"], "left").withColumn("before", F.when(F.col("first"), F.lit(0)).otherwise(F.col("before") + F.coalesce("leading", F.lit(0))))
+    sums = every.groupBy("file", "block").agg(F.sum("n").alias("n"))
+    earlier = sums.withColumn("earlier", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).select("file", "block", "earlier")  # a row for each part
+    out = every.filter(F.trim("text") != "").join(earlier, ["file", "block"]).select("file", "text", (F.col("before") + F.col("earlier")).alias("before"))
+    return out.unionByName(parts.filter("kind = 'open'").select("file", "text", "before").distinct())
+
+
+def turtle_triples(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o, literal) of Turtle files, of which large ones are dealt to many tasks.
+
+    Prefixes are collected first, by file; a file that gives a prefix two
+    meanings, or holds a quoted text of several lines, is parsed whole.  Blank nodes belong to their file: of several
+    files, their names begin with a hash of the file's.
+    """
     schema = "s string, p string, o string, literal boolean"
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    statements = cut(turtle_statements(lines))
+    names = F.regexp_extract_all("text", F.lit(r"(?i)(?:^|\s)@?prefix\s+([^\s:]*):\s*<([^>]*)>"), F.lit(1))
+    values = F.regexp_extract_all("text", F.lit(r"(?i)(?:^|\s)@?prefix\s+([^\s:]*):\s*<([^>]*)>"), F.lit(2))
+    given = statements.filter(F.lower(F.ltrim("text")).rlike("^@?prefix")).select("file", F.explode(F.arrays_zip(names.alias("k"), values.alias("v"))).alias("x")).select("file", "x.k", "x.v").distinct()
+    twice = given.groupBy("file", "k").count().filter("count > 1").select("file").unionByName(statements.filter("text is null").select("file")).distinct()
+    maps = given.join(twice, "file", "left_anti").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("known"))
+    several = statements.select("file").distinct().limit(2).count() > 1
+    scope = F.concat(F.hex(F.xxhash64("file")), F.lit("_")) if several else F.lit("")
 
     def parse(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [t for text in batch["value"] for t in parse_turtle(text)]
+            rows = []
+            for text, known, before, scope in zip(batch["text"], batch["known"], batch["before"], batch["scope"], strict=True):
+                own = lambda x, scope=scope: f"_:{scope}{x[2:]}" if x.startswith("_:") else x
+                rows += [(own(s), p, o if literal else own(o), literal) for s, p, o, literal in parse_turtle(text, dict(known or {}), before)]
             yield pd.DataFrame(rows, columns=["s", "p", "o", "literal"])
 
-    return triples_graph(spark.read.text(path, wholetext=True).mapInPandas(parse, schema))
+    once = statements.join(twice, "file", "left_anti").join(maps, "file", "left")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).join(twice, "file", "left_semi")
+    whole = whole.select("file", "text", F.lit(0).cast("long").alias("before"), F.create_map().cast("map<string,string>").alias("known"))
+    rows = once.select("file", "text", "before", "known").unionByName(whole).withColumn("scope", scope)
+    return rows.select("text", "known", "before", "scope").mapInPandas(parse, schema)
+
+
+def read_turtle(spark: SparkSession, path: str) -> Graph:
+    """A graph of Turtle files, whose node ids are hashes that were found to be distinct."""
+    g = triples_graph(cut(turtle_triples(spark, path)))
+    if not g.nodes.groupBy("id").count().filter("count > 1").isEmpty():
+        raise ValueError("two names have one hash, so they cannot both be a node's")
+    return g
 
 
 def write_graph_csv(g: Graph, path: str) -> None:
