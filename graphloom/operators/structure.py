@@ -276,7 +276,7 @@ def insert_random_edges(g: Graph, count: int, kind: str = "RELATED", seed: int =
     """Adds ``count`` edges between nodes drawn by hash, no loops; fewer if a graph of one node allows none."""
     first = g.edges.agg(F.coalesce(F.max("eid"), F.lit(-1)).alias("m")).first()["m"] + 1
     draws = g.spark.range(count).select((F.col("id") + first).alias("eid"))
-    # Ends are drawn by their place in hash order: the nodes next above two hashes of the edge's number.
+    # Ends are neighbours in the order of a hash, so no node is drawn twice before all have been.
     ids = [r.id for r in g.nodes.orderBy(_draw("id", seed=seed), "id").limit(2 * count + 2).select("id").collect()]
     rows = [(r.eid, ids[(2 * k) % len(ids)], ids[(2 * k + 1) % len(ids)]) for k, r in enumerate(draws.collect())] if len(ids) > 1 else []
     new = g.spark.createDataFrame(rows, "eid long, src long, dst long").filter("src <> dst")

@@ -17,7 +17,7 @@ from graphloom.plans.anytime import AnytimeEngine, round_robin
 from graphloom.plans.query import Plan, Query, Star, format_query, make_plan, non_star, runnable
 from graphloom.plans.threshold import ThresholdSearch
 from graphloom.plans.topk import Matcher, candidate_counts, candidates
-from graphloom.sources.files import synthetic_graph
+from graphloom.sources.files import synthetic_graph, turtle_triples
 from graphloom.sources.graph import Graph, relational_graph, subgraph_of_kinds
 
 Call = Callable[[SparkSession, str], DataFrame]
@@ -225,6 +225,46 @@ def uri_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("page_id"), fn.short_uri(F.col("url")).alias("short"))
 
 
+@query("SELECT vec_id::BIGINT AS vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS square, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: 2 * x + x - 1)), 5) AS total FROM embeddings")
+def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot product, sum, difference and scaling of vectors."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    ones = F.transform(v, lambda _: F.lit(1.0))
+    combined = fn.vector_difference(fn.vector_sum(fn.scaled(v, 2.0), v), ones)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.round(fn.dot(v, v), 5).alias("square"), F.round(fn.dot(combined, ones), 5).alias("total"))
+
+
+@query("""WITH a AS (SELECT l_orderkey::BIGINT AS l_orderkey, list_sort(list(l_extendedprice::DOUBLE)) AS v FROM lineitem GROUP BY l_orderkey),
+    k AS (SELECT *, CASE len(v) WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 WHEN 6 THEN 4 WHEN 7 THEN 4 ELSE len(v) - 5 END AS keep FROM a)
+    SELECT l_orderkey, round(list_sum(v[1:keep]) / keep, 4) AS trimmed, v[2] AS second FROM k""")
+def order_line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every order's prices the mean of the smallest, by the rule for repeated timings, and the second smallest."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").cast("long").alias("l_orderkey"))
+    values = lines.agg(F.collect_list(F.col("l_extendedprice").cast("double")).alias("v"))  # an order's lines are few
+    return values.select("l_orderkey", F.round(fn.trimmed_mean(F.col("v")), 4).alias("trimmed"), fn.kth_smallest(F.col("v"), 2).alias("second"))
+
+
+TURTLE = "http://shop.example/"
+
+
+@query(f"""WITH c AS (SELECT '{TURTLE}customer/' || c_custkey::BIGINT AS s, * FROM customer)
+    SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, '{TURTLE}Customer' AS o, false AS literal FROM c
+    UNION ALL SELECT s, '{TURTLE}name', c_name, true FROM c UNION ALL SELECT s, '{TURTLE}segment', c_mktsegment, true FROM c
+    UNION ALL SELECT s, '{TURTLE}nation', '{TURTLE}nation/' || c_nationkey::BIGINT, false FROM c""")
+def turtle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers written as Turtle, and the triples read back from parts of those files."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))
+    text = F.concat(
+        F.lit(f"@prefix s: <{TURTLE}> .\n<{TURTLE}customer/"), F.col("c_custkey").cast("long"), F.lit("> a s:Customer ;\n  s:name "), quoted(F.col("c_name")),
+        F.lit(" ;\n  s:segment "), quoted(F.col("c_mktsegment")), F.lit(f" ; s:nation <{TURTLE}nation/"), F.col("c_nationkey").cast("long"), F.lit("> ."),
+    )
+    path = f"{shared_dir(spark)}/turtle-{uuid.uuid4().hex}"
+    c.select(text.alias("value")).write.text(path)
+    return turtle_triples(spark, path)
+
+
 # Top-k subgraph queries
 
 STAR = Query({"0": "1-URGENT", "1": "Customer#000000012", "2": "small widget"}, (("0", "1"), ("0", "2")))
