@@ -29,7 +29,7 @@ def rows_of(df, star, n):
     return sorted(got, reverse=True)[:n]
 
 
-@pytest.mark.parametrize("leaves,hubs,most", [(7, 1, 5), (7, 1, 60), (9, 4, 3), (9, 4, 40), (5, 9, 300), (3, 2, 10_000)])
+@pytest.mark.parametrize("leaves,hubs,most", [(7, 1, 60), (9, 4, 3), (5, 9, 300)])
 def test_the_best_matches_of_a_star(spark, leaves, hubs, most):
     m = Matcher(fan(spark, leaves, hubs, leaves + most), FAN, p=3, theta=0.1)
     star = Star("0", FAN.edges)
