@@ -603,10 +603,10 @@ def all_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.distances(traversal.undirected(g.edges), subgraph_of_kinds(g, ["region", "nation"]).nodes.select("id"), symmetric=True)
 
 
-@query(APSP + "SELECT s AS src, id AS dst, d FROM dist WHERE s >= 2000000000 AND id BETWEEN 3000000000 AND 3999999999")
+@query(APSP.replace(LARGE, f"WITH RECURSIVE nodes AS ({NODES}), edges AS ({EDGES}), ") + "SELECT s AS src, id AS dst, d FROM dist WHERE s >= 2000000000 AND id BETWEEN 3000000000 AND 3999999999")
 def label_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all customers from all nations, by the hub labels of the whole graph, which answer any pair."""
-    g = large(spark, sf_dir)
+    """Distances of all customers from all nations, by hub labels of the graph of places, customers and suppliers, which answer any pair."""
+    g = relational_graph(spark, sf_dir, small=True)
     ends = [subgraph_of_kinds(g, [k]).nodes for k in ("nation", "customer")]
     return hublabels.label_distances(hublabels.hub_labels(g.edges), *ends)
 
