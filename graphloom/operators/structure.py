@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.iterate import cut
+from graphloom.operators.iterate import bucketed, cut, written
 from graphloom.operators.traversal import directed, undirected
 from graphloom.sources.graph import Graph
 
@@ -151,67 +151,47 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     return closed.agg(F.count(F.lit(1)).alias("n_triangles"))
 
 
-#: Rounds of ``mean_rank`` between two cuts.
-RANK_BLOCK = 10
-
-
 def mean_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, q: float = 0.15) -> DataFrame:
     """(id, value): rank by the mean of the in-neighbours' ranks, normalised to 1 each round.
 
     The start is 1 / n; a round gives q / n + (1 - q) * mean, where a node
     without in-neighbours has mean 0.
 
-    A round is linear but for its norm, which is a number.  So ``RANK_BLOCK`` rounds
-    run as one job on the means alone: of the last ranks, and once for all of the
-    constant part, e_0 = q / n.  The ranks after j rounds are e_0 + e_1 / T_(j-1) +
-    e_2 / (T_(j-1) T_(j-2)) + .. + mean_j / (T_(j-1) .. T_1), over the norm T_j.  The
-    sum of mean_j, which the norms need, is that of the ranks times s_j, where s_j
-    comes from the same steps against the edges, so it is known before the job.
+    A round is linear but for its norm, which is a number, and starts from equal
+    ranks, as its constant part is.  So all that is made of tables are the means of
+    means e_j = (1 - q) * mean(e_(j-1)) of e_0 = q / n.  The ranks after k rounds are
+    e_0 + e_1 / T_(k-1) + e_2 / (T_(k-1) T_(k-2)) + .. + e_k / (q T_(k-1) .. T_1), over
+    the norm T_k; the norms come from the sums of e_j alone.  Where no path of j
+    edges ends, e_j is 0 and has no row, so a graph without cycles is done
+    after its longest path.
     """
     n = nodes.count()
-    rank = nodes.select("id", F.lit(1.0 / max(1, n)).alias("value"))
     if not n or not rounds:
-        return rank
-    arcs = edges.select("src", "dst").distinct()
-    share = arcs.groupBy("dst").agg((F.lit(1.0 - q) / F.count(F.lit(1))).alias("w"))
-    arcs = cut(arcs.join(share, "dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), "w").repartition("u"))
-
-    def step(x: DataFrame, start: str = "u", end: str = "v") -> DataFrame:
-        return x.join(arcs, x["id"] == arcs[start]).groupBy(F.col(end).alias("id")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
-
-    block = min(RANK_BLOCK, rounds)
-    fixed = nodes.select("id", F.lit(q / n).alias("e0"))
-    for name, ends, first, count in (("e", ("u", "v"), q / n, block - 1), ("s", ("v", "u"), 1.0, block)):
-        last = nodes.select("id", F.lit(first).alias("value"))
-        for j in range(1, count + 1):
-            last = cut(step(last, *ends))
-            fixed = fixed.join(last.withColumnRenamed("value", f"{name}{j}"), "id", "left").fillna(0.0)
-    fixed = cut(fixed)
-    totals = fixed.agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(1, block + 1)]).first()
-    #: sums of e_j, and of the means of the present ranks
-    constant = [q] + [q / n * totals[f"s{j}"] for j in range(1, block)]
-    means, done = [totals[f"s{j}"] / n for j in range(1, block + 1)], 0
-
-    def weights(norms: list[float]) -> list[float]:
-        """Of e_0, e_1 .. and of the mean in the round after those of ``norms``, before its own norm."""
-        out = [1.0]
-        for t in reversed(norms):
-            out.append(out[-1] / t)
-        return [*out, out[-1]]
-
-    while done < rounds:
-        size, norms, last = min(block, rounds - done), [], rank
-        for j in range(size):
-            last = step(last)
-            norms.append(sum(w * x for w, x in zip(weights(norms), [*constant[: j + 1], means[j]], strict=True)))
-        columns = [*[F.col(f"e{i}") for i in range(size)], F.coalesce("value", F.lit(0.0))]
-        parts = [F.lit(w / norms[-1]) * c for w, c in zip(weights(norms[:-1]), columns, strict=True)]
-        value = reduce(lambda x, y: x + y, parts).alias("value")
+        return nodes.select("id", F.lit(1.0 / max(1, n)).alias("value"))
+    arcs = bucketed(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "u", distinct=True)
+    share = arcs.groupBy("v").agg((F.lit(1.0 - q) / F.count(F.lit(1))).alias("w"))
+    share = bucketed(share.join(nodes.select(F.col("id").alias("v")), "v", "left_semi"), "v")
+    means, sums = [nodes.select("id", F.lit(q / n).alias("value"))], [q]
+    while len(sums) <= rounds:
+        # Built on the ranks, which are few beside the edges.
+        moved = arcs.join(means[-1].hint("shuffle_hash"), F.col("u") == F.col("id")).groupBy("v").agg(F.sum("value").alias("value"))
         seen = Observation()
-        found = fixed.join(cut(last), "id", "left").select("id", value, *[f"s{j}" for j in range(1, block + 1)])
-        rank = cut(found.observe(seen, *[F.sum(F.col("value") * F.col(f"s{j}")).alias(f"s{j}") for j in range(1, block + 1)]).select("id", "value"))
-        means, done = [seen.get[f"s{j}"] for j in range(1, block + 1)], done + size
-    return rank
+        found = moved.join(share, "v").select(F.col("v").alias("id"), (F.col("value") * F.col("w")).alias("value"))
+        found = written(found.observe(seen, F.sum("value").alias("total")))
+        if not seen.get["total"]:
+            break
+        means.append(found)
+        sums.append(seen.get["total"])
+    norms: list[float] = []
+    for k in range(1, rounds + 1):
+        weights = [1.0]  # of e_0, e_1 .. in round k, before its own norm
+        for norm in reversed(norms[max(0, k - len(sums)) :]):
+            weights.append(weights[-1] / norm)
+        if k < len(sums):
+            weights.append(weights[-1] / q)
+        norms.append(sum(w * s for w, s in zip(weights, sums, strict=False)))
+    parts = [m.select("id", (F.col("value") * F.lit(w / norms[-1])).alias("value")) for w, m in zip(weights, means, strict=False)]
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("value").alias("value"))
 
 
 def induced(g: Graph, ids: DataFrame) -> Graph:

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from graphloom import queries
-from graphloom.operators import traversal
+from graphloom.operators import structure, traversal
 from graphloom.sources.graph import Graph
 
 R, N, C, S, P, O = (k * 10**9 for k in range(1, 7))
@@ -124,3 +124,11 @@ def test_all_pairs_and_ranks(spark, whole):
     got = dict(rows(spark, whole, "pagerank"))
     assert got.keys() == nodes and all(abs(got[v] - rank[v]) < 2e-9 for v in nodes)
     assert any(abs(early[v] - rank[v]) > 1e-6 for v in nodes)
+
+
+def test_ranks_take_no_round_beyond_the_longest_path(spark, whole, monkeypatch):
+    """A hundred rounds on a graph whose longest path has four edges make four tables of means."""
+    made, write = [], structure.written
+    monkeypatch.setattr(structure, "written", lambda df, *a, **k: made.append(1) or write(df, *a, **k), raising=False)
+    rows(spark, whole, "pagerank")
+    assert 4 <= len(made) <= 5
