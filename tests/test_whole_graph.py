@@ -132,3 +132,25 @@ def test_ranks_take_no_round_beyond_the_longest_path(spark, whole, monkeypatch):
     monkeypatch.setattr(structure, "written", lambda df, *a, **k: made.append(1) or write(df, *a, **k), raising=False)
     rows(spark, whole, "pagerank")
     assert 4 <= len(made) <= 5
+
+
+def test_few_sources_share_one_search(spark, whole, monkeypatch):
+    """Searches of several sources keep a row for each node and hop at most, not one for each source too; hubs' steps are stored once."""
+    _, nodes, edges = whole
+    ways = [e[1:3] for e in edges] + [(b, a) for _, a, b, _ in edges]
+    steps, sizes, write, store = spark.createDataFrame(ways, "u long, v long"), [], traversal.written, []
+    monkeypatch.setattr(traversal, "written", lambda df, *a, **k: sizes.append(df.count()) or write(df, *a, **k), raising=False)
+    monkeypatch.setattr(traversal, "bucketed", lambda df, *a, _f=traversal.bucketed, **k: store.append(1) or _f(df, *a, **k))
+    sources = sorted(nodes)[:20] + [77]
+    got = {tuple(r) for r in traversal.distances(steps, spark.createDataFrame([(s,) for s in sources], "id long"), symmetric=True).collect()}
+    assert got == {(s, v, d) for s in sources for v, d in bfs(ways, s).items()}
+    assert store == [1] and max(sizes) <= len(nodes) + 1
+
+
+def test_bounded_distance_of_few_targets_searches_once(spark, whole, monkeypatch):
+    _, nodes, edges = whole
+    d = {v: bfs([e[1:3] for e in edges], v) for v in nodes}
+    calls, search = [], traversal.distances
+    monkeypatch.setattr(traversal, "distances", lambda *a, **k: calls.append(1) or search(*a, **k))
+    want = {(v, R + k, d[v][R + k]) for v in nodes if v >= O for k in (0, 1) if d[v].get(R + k, 9) <= 3}
+    assert want and rows(spark, whole, "bounded_distance") == want and calls == [1]
