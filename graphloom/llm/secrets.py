@@ -11,7 +11,9 @@ own entropy's worth is reported as ``novel``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ KINDS = ("assign", "access", "hex", "novel")
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "secret", "token", "key", "auth", "bearer", "credential", "private", "signature", "cookie", "session")
 #: A candidate follows a context word by so many characters at most and has so many itself at least.
 CONTEXT_REACH, CANDIDATE_LEAST = 48, 16
-#: Candidates up to this length are measured from every sensitive word in their run.
+#: Longer candidates are measured in pieces of so many characters.
 EACH_LENGTH = 1024
 #: Text on either side of a candidate against which it is measured.
 SURROUNDING = 512
@@ -55,12 +57,16 @@ DICTIONARY = " ".join(
 _measure: tuple[zstandard.ZstdCompressor] | None = None
 
 
-def compressed_size(data: bytes) -> int:
+def _compressor() -> zstandard.ZstdCompressor:
     global _measure
     if _measure is None:
         primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         _measure = (zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False),)
-    return len(_measure[0].compress(data))
+    return _measure[0]
+
+
+def compressed_size(data: bytes) -> int:
+    return len(_compressor().compress(data))
 
 
 def marginal_bytes(text: str, start: int, end: int) -> int:
@@ -77,34 +83,69 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Run:
+    """One run of candidate characters, and what its pieces of ``EACH_LENGTH`` characters, counted from its end, add to those before."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end, self.last, self.reported = text, start, end, -1, False
+        self._borders: list[int] | None = None
+        self._sizes: list[int] = []
+
+    def marginal(self, start: int) -> int:
+        """What the candidate from ``start`` to the run's end adds to its surroundings: its whole pieces' bytes, each measured once, and those of its own first part."""
+        if self.end - start <= EACH_LENGTH:
+            return marginal_bytes(self.text, start, self.end)
+        if self._borders is None:
+            first = self.start + (self.end - self.start) % EACH_LENGTH
+            self._borders = list(range(first, self.end + 1, EACH_LENGTH))
+            size = _compressor().compressobj()
+            size.compress(self.text[max(0, self.start - SURROUNDING) : first].encode("utf-8", "replace"))
+            size.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+            self._sizes = [0]
+            for at in self._borders[:-1]:
+                piece = size.compress(self.text[at : at + EACH_LENGTH].encode()) + size.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+                self._sizes.append(self._sizes[-1] + len(piece))
+        k = bisect_left(self._borders, start)
+        head = marginal_bytes(self.text, start, self._borders[k]) if start < self._borders[k] else 0
+        return head + self._sizes[-1] - self._sizes[k]
+
+    def limit(self, start: int) -> float:
+        return HEX_NOVELTY if self.hex_from <= start else NOVELTY
+
+    @cached_property
+    def hex_from(self) -> int:
+        """Where the hex digits begin that the run ends with."""
+        at = self.end
+        while at > self.start and self.text[at - 1] in "0123456789abcdefABCDEF":
+            at -= 1
+        return at
+
+
 def novel_spans(text: str) -> list[tuple[int, int, int]]:
     """Incompressible strings that follow a sensitive word.
 
     Every candidate in a word's reach is measured, once.  A word within a run of
     candidate characters makes what follows it in the run a candidate of its own,
-    unless the run was reported by then.  So that a long run of sensitive words
-    does not take quadratic time, candidates above ``EACH_LENGTH`` characters of
-    one run are measured each time that their length has halved.
+    unless the run was reported by then, which covers it.  So that a long run of
+    sensitive words does not take quadratic time, candidates above ``EACH_LENGTH``
+    characters are measured in pieces, which those of one run share.
     """
     out: list[tuple[int, int, int]] = []
-    runs: list[list[int]] = []  # start, end and the shortest length measured, 0 once reported
+    runs: list[_Run] = []
     for word in _CONTEXT.finditer(text):
         at, last = word.end(), min(len(text), word.end() + CONTEXT_REACH + CANDIDATE_LEAST)
         while (m := _CANDIDATE.search(text, at, last)) and m.start() - word.end() <= CONTEXT_REACH:
             start = m.start()
-            run = next((r for r in reversed(runs[-CONTEXT_REACH:]) if r[0] <= start < r[1]), None)
+            run = next((r for r in reversed(runs[-CONTEXT_REACH:]) if r.start <= start < r.end), None)
             if run is None:
-                at = _CANDIDATE.match(text, start).end()
-                runs.append(run := [start, at, 2 * (at - start)])
-            at, length = run[1], run[1] - start
-            if length >= run[2] or (length > EACH_LENGTH and 2 * length > run[2]):
+                runs.append(run := _Run(text, start, _CANDIDATE.match(text, start).end()))
+            at = run.end
+            if run.reported or start <= run.last:
                 continue
-            run[2] = length
-            body = text[start:at]
-            limit = HEX_NOVELTY if re.fullmatch(r"[0-9a-fA-F]+", body) else NOVELTY
-            if marginal_bytes(text, start, at) >= limit * length:
-                out.append((start, 3, at))
-                run[2] = 0
+            run.last = start
+            if run.marginal(start) >= run.limit(start) * (run.end - start):
+                out.append((start, 3, run.end))
+                run.reported = True
     return sorted(out)
 
 

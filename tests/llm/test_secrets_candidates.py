@@ -33,3 +33,15 @@ def test_keys_without_digits_are_measured():
     letters = "qWzTkPbXhLrMvBnRjYsHcNdFgUaEoKi"
     assert found(f"auth header sends {letters} each time") == [letters]
     assert found("auth header sends the_default_configuration_manager each time") == []
+
+
+def test_every_position_of_a_long_run_is_measured():
+    rng = random.Random(9)
+    secret = "".join(rng.choices(string.ascii_letters + string.digits, k=3000))
+    filler = "the_default_configuration_manager_" * 60
+    # Neither the whole run nor a half of it is dense enough; what follows the last word is.
+    text = f"token {filler}auth_{filler[:700]}key_{secret}"
+    assert found(text)[0].endswith(secret) and len(found(text)[0]) < 3800
+    assert found(f"token {filler * 4}") == []
+    long_hex = "".join(rng.choices("0123456789abcdef", k=5000))
+    assert found(f"token {long_hex}") == [long_hex]
