@@ -154,3 +154,29 @@ def test_bounded_distance_of_few_targets_searches_once(spark, whole, monkeypatch
     monkeypatch.setattr(traversal, "distances", lambda *a, **k: calls.append(1) or search(*a, **k))
     want = {(v, R + k, d[v][R + k]) for v in nodes if v >= O for k in (0, 1) if d[v].get(R + k, 9) <= 3}
     assert want and rows(spark, whole, "bounded_distance") == want and calls == [1]
+
+
+def test_hubs_are_not_joined_in_one_task(spark, monkeypatch):
+    """Components are right with hubs and without; a hub's minimum is sent to its pairs."""
+    edges = [(0, i) for i in range(1, 40)] + [(50, i) for i in range(51, 60)] + [(59, 39), (70, 71), (71, 72)]
+    g = Graph.from_rows(spark, [(i, []) for i in range(80)], edges)
+    ways = edges + [(b, a) for a, b in edges]
+    want = {(v, min(bfs(ways, v))) for v in range(80)}
+    sent, send = [], structure.F.broadcast
+    for most in (5, 100_000):
+        monkeypatch.setattr(structure, "HUB_PAIRS", most, raising=False)
+        monkeypatch.setattr(structure.F, "broadcast", lambda df: sent.append(1) or send(df))
+        assert {tuple(r) for r in structure.components(g.nodes, g.edges).collect()} == want
+    assert sent
+
+
+def test_digests_are_taken_once_for_all_permutations(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions import similarity as fn
+
+    rows = spark.createDataFrame([(["a", "b"], ["b"]), ([], ["b"]), (None, ["b"])], "a array<string>, b array<string>")
+    plan = rows.select(fn.minhash(F.col("a")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("md5(") == 1
+    got = rows.select(fn.minhash_similarity(fn.minhash(F.col("a")), fn.minhash(F.col("b")))).collect()
+    assert 0 < got[0][0] < 1 and fn.MERSENNE and rows.select(F.size(fn.minhash(F.col("a")))).first()[0] == 100
