@@ -20,23 +20,29 @@ def ranked_rows(rows: DataFrame, by: str, name: str) -> DataFrame:
     return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_row") + F.col("_before")).drop("_part", "_before", "_row")
 
 
+#: Pairs of a node from which contraction takes it for a hub.
+HUB_PAIRS = 100_000
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): weak components, named by their least id, by large-star and small-star contraction."""
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
-        # Cut, the minima come to the join by a shuffle of their own, as the pairs do: only then can a hub's pairs be split.
-        least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        moved = pairs.join(least, "u")
+        least = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")))
+        # Hubs, at most the pairs by HUB_PAIRS, meet their minima where their pairs lie; no task gets all pairs of one.
+        hubs = F.broadcast(least.filter(F.col("n") > HUB_PAIRS).select("u", "m"))
+        rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= HUB_PAIRS).select("u", "m"), "u")
+        moved = rest.unionByName(pairs.join(hubs, "u"))
         if larger:
             out = moved.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
             out = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
         return out.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    current, before = cut(undirected(edges).filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))), None
+    current, before = written(undirected(edges).filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))), None
     while True:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        current = cut(star(star(both, True).select(F.col("b").alias("u"), F.col("a").alias("v")), False))
+        current = written(star(star(both, True).select(F.col("b").alias("u"), F.col("a").alias("v")), False))
         seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             break
