@@ -63,7 +63,8 @@ class ThresholdSearch:
         rows = self.lists[q].filter(F.col("block") == block).select(F.col("id").alias(f"q{q}"), F.col("sim").alias(f"s{q}"))
         covered = [q]
         for a, b, new in self._steps(q):
-            rows = rows.join(self.m.out.select(F.col("id").alias(f"q{a}"), F.col("neighbour").alias(f"q{b}")), [f"q{x}" for x in (a, b) if x in covered])
+            step = self.m.met(a, b, a if a in covered else b).select(f"q{a}", f"q{b}")
+            rows = rows.join(step, [f"q{x}" for x in (a, b) if x in covered])
             if new is None:
                 continue
             after = block + (ids.index(new) < ids.index(q))  # earlier blocks, and in this round earlier lists, gave their answers
