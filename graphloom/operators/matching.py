@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.indexes import degrees
-from graphloom.operators.iterate import cut
+from graphloom.operators.iterate import written
 from graphloom.operators.structure import components
 from graphloom.plans.query import Query
 from graphloom.sources.graph import Graph
@@ -50,11 +50,29 @@ def edge_order(query: Query) -> list[tuple[str, str]]:
 
 def look_ahead(g: Graph, query: Query, sets: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Sets without nodes of fewer out- or in-neighbours than their query node has."""
-    n = degrees(g.nodes, g.edges).select("id", "out_neighbours", "in_neighbours")
+    n = written(degrees(g.nodes, g.edges).select("id", "out_neighbours", "in_neighbours"))  # each set reads them
     need = {q: (len({b for a, b in query.edges if a == q}), len({a for a, b in query.edges if b == q})) for q in query.ids}
     return {q: s.join(n.filter((F.col("out_neighbours") >= need[q][0]) & (F.col("in_neighbours") >= need[q][1])).select("id"), "id", "left_semi") for q, s in sets.items()}
 
 
+def candidate_arcs(g: Graph, query: Query, sets: Mapping[str, DataFrame]) -> dict[tuple[str, str], DataFrame]:
+    """Per query edge (src, dst), of parallel edges repeated: the edges that lie between the least and the greatest node of the ends' sets, a filter that reaches the scans.
+
+    ``sets`` are of some query nodes; the others' ends stay free.
+    """
+    each = [s.select(F.lit(q).alias("q"), "id") for q, s in sets.items()]
+    found = reduce(DataFrame.unionByName, each).groupBy("q").agg(F.min("id").alias("first"), F.max("id").alias("last")).collect() if each else []
+    extent = {r.q: (r.first, r.last) for r in found}
+    out = {}
+    for e in query.edges:
+        own = g.edges.select("src", "dst")
+        for end, q in zip(("src", "dst"), e, strict=True):
+            if q in sets:
+                own = own.filter(F.col(end).between(*extent[q]) if q in extent else F.lit(False))
+        out[e] = own
+    return out
+
+
 def exact_match(
     g: Graph, query: Query, predicates: Mapping[str, Predicate] | None = None, seed: Mapping[str, int] | None = None, limit: int | None = None, ahead: bool = False
 ) -> DataFrame:
@@ -64,17 +82,19 @@ def exact_match(
     the least ids are returned; ``ahead`` drops candidates of too few neighbours first.
     """
     sets = node_sets(g, query, predicates)
-    if ahead:
-        sets = look_ahead(g, query, sets)
+    bound = {q for q, label in query.labels.items() if label} | set(predicates or {}) | set(seed or {})
     for q, node in (seed or {}).items():
         sets[q] = sets[q].filter(F.col("id") == node)
-    arcs = g.edges.select("src", "dst").distinct()
+    arcs = candidate_arcs(g, query, {q: s for q, s in sets.items() if q in bound})
+    if ahead:
+        sets = look_ahead(g, query, sets)
     rows, seen = None, []
     for a, b in edge_order(query):
-        step = arcs.select(F.col("src").alias(f"q{a}"), F.col("dst").alias(f"q{b}"))
+        step = arcs[a, b].select(F.col("src").alias(f"q{a}"), F.col("dst").alias(f"q{b}"))
         for q in (a, b):
-            if q not in seen:
+            if q not in seen or q in bound:  # a set that was met already still leaves few of the edges
                 step = step.join(sets[q].select(F.col("id").alias(f"q{q}")), f"q{q}", "left_semi")
+        step = step.distinct()
         shared = [f"q{q}" for q in (a, b) if q in seen]
         if rows is None:
             rows = step
@@ -110,12 +130,21 @@ def simulation(g: Graph, query: Query, predicates: Mapping[str, Predicate] | Non
     For each query edge (u, v), a node of u needs an edge into v's set.  Rounds of
     semi joins run until no set shrinks; ``inherited(qid, id)`` narrows the start.
     """
-    arcs = cut(g.edges.select("src", "dst").distinct())
-    start = [s.select(F.lit(q).alias("qid"), "id") for q, s in node_sets(g, query, predicates).items()]
+    sets = node_sets(g, query, predicates)
+    bound = {q: s for q, s in sets.items() if query.labels[q] or q in (predicates or {})}
+    own = []
+    for (u, v), arcs in candidate_arcs(g, query, bound).items():
+        for end, q in (("src", u), ("dst", v)):
+            if q in bound:
+                arcs = arcs.join(bound[q].select(F.col("id").alias(end)), end, "left_semi")
+        own.append(arcs)
+    # Sets only shrink, so other edges never count.
+    arcs = written(reduce(DataFrame.unionByName, own).distinct()) if own else None
+    start = [s.select(F.lit(q).alias("qid"), "id") for q, s in sets.items()]
     sim = reduce(DataFrame.unionByName, start).distinct()
     if inherited is not None:
         sim = sim.join(inherited, ["qid", "id"], "left_semi")
-    sim = cut(sim)
+    sim = written(sim)
     needs = {u: [v for a, v in query.edges if a == u] for u in query.ids}
     before = -1
     while (count := sim.count()) != before:
@@ -123,10 +152,14 @@ def simulation(g: Graph, query: Query, predicates: Mapping[str, Predicate] | Non
         have = sim.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).count()
         if have < len(query.ids):
             return sim.filter(F.lit(False))
-        pairs = arcs.join(sim.select(F.col("qid").alias("v"), F.col("id").alias("dst")), "dst").groupBy("src").agg(F.collect_set("v").alias("into"))
-        wanted = F.create_map(*[x for u in query.ids for x in (F.lit(u), F.array(*[F.lit(v) for v in needs[u]]) if needs[u] else F.array().cast("array<string>"))])
-        kept = sim.join(pairs, sim["id"] == pairs["src"], "left").withColumn("need", F.element_at(wanted, F.col("qid")))
-        sim = cut(kept.filter((F.size("need") == 0) | (F.size(F.array_except("need", F.coalesce("into", F.array().cast("array<string>")))) == 0)).select("qid", "id"))
+        if arcs is None:
+            return sim
+        targets = sorted({v for vs in needs.values() for v in vs})
+        into = [F.max(F.col("v") == v).alias(f"into_{v}") for v in targets]
+        pairs = arcs.join(sim.select(F.col("qid").alias("v"), F.col("id").alias("dst")), "dst").groupBy("src").agg(*into)
+        met = [reduce(lambda x, y: x & y, [F.coalesce(f"into_{v}", F.lit(False)) for v in vs]) if vs else F.lit(True) for vs in needs.values()]
+        ok = reduce(lambda x, y: x | y, [(F.col("qid") == u) & m for u, m in zip(needs, met, strict=True)])
+        sim = written(sim.join(pairs, sim["id"] == pairs["src"], "left").filter(ok).select("qid", "id"))
     return sim
 
 
@@ -136,9 +169,12 @@ def set_sizes(sim: DataFrame) -> DataFrame:
 
 def edge_cardinality(sim: DataFrame, arcs: DataFrame, low: int, high: int) -> DataFrame:
     """Rows of ``sim`` whose nodes have from ``low`` to ``high`` edges into nodes of any set; repeated until none goes."""
+    # Rounds only take nodes away, so the edges between those of the start are all that count.
+    ids = written(sim.select("id").distinct())
+    arcs = written(arcs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     while True:
         inner = arcs.join(sim.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-        kept = cut(sim.join(inner.filter(F.col("n").between(low, high)), "id", "left_semi").select("qid", "id"))
+        kept = written(sim.join(inner.filter(F.col("n").between(low, high)), "id", "left_semi").select("qid", "id"))
         if kept.count() == sim.count():
             return kept
         sim = kept
