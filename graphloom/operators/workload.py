@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.iterate import cut
+from graphloom.operators.iterate import cut, written
 from graphloom.operators.matching import exact_match
 from graphloom.operators.traversal import undirected
 from graphloom.plans.query import Query, non_star, runnable
@@ -84,10 +84,19 @@ def close_a_star(query: Query, seed: int = 1) -> Query | None:
 
 
 def label_combinations(g: Graph, matches: DataFrame) -> DataFrame:
-    """All ways to label the query nodes of matches by labels of their data nodes, all different; repeated ones once."""
-    out = matches
+    """All ways to label the query nodes of matches by labels of their data nodes, all different; repeated ones once.
+
+    A match gives way to its nodes' labels one query node after another, and matches
+    that have become alike are one from there on.
+    """
+    out = written(matches)
+    ends = [f(c).alias(f"{k}_{c}") for c in matches.columns for k, f in (("first", F.min), ("last", F.max))]
+    extent = out.agg(*ends).first()
     for c in matches.columns:
-        own = g.nodes.select(F.col("id").alias(c), F.explode("labels").alias(f"label_{c}"))
-        out = out.join(own, c)
+        near = g.nodes.filter(F.col("id").between(extent[f"first_{c}"], extent[f"last_{c}"]))
+        own = near.join(out.select(F.col(c).alias("id")), "id", "left_semi").select(F.col("id").alias(c), F.array_distinct("labels").alias(f"label_{c}"))
+        out = out.join(own, c).drop(c).distinct()
     names = [f"label_{c}" for c in matches.columns]
+    for n in names:
+        out = out.withColumn(n, F.explode(n))
     return out.filter(F.size(F.array_distinct(F.array(*names))) == len(names)).select(*names).distinct()
