@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.iterate import bucketed, cut, written
-from graphloom.operators.traversal import directed, undirected
+from graphloom.operators.traversal import directed, one_way, undirected
 from graphloom.sources.graph import Graph
 
 
@@ -55,32 +55,40 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Forward-backward colouring: every open node takes the least id that reaches
     it; within a colour, what reaches back to the colour's node is its component.
+    Nodes that no arc enters or none leaves go first, again and again: they are alone.
     """
-    open_, found = cut(nodes.select("id").distinct()), None
-    arcs = cut(directed(edges))
+    arcs, before = bucketed(one_way(edges), "u", distinct=True), None
+    while (size := arcs.count()) != before:
+        before = size
+        inner = written(arcs.select(F.col("v").alias("id")).distinct().join(arcs.select(F.col("u").alias("id")), "id", "left_semi"))
+        kept = arcs.join(inner.withColumnRenamed("id", "u"), "u", "left_semi").join(inner.withColumnRenamed("id", "v"), "v", "left_semi")
+        arcs = written(kept)
+    all_ = nodes.select("id").distinct()
+    found = written(all_.join(inner, "id", "left_anti").withColumn("component", F.col("id")))
+    open_ = written(all_.join(inner, "id", "left_semi"))
     while not open_.isEmpty():
-        colour = cut(open_.withColumn("colour", F.col("id")))
+        colour = written(open_.withColumn("colour", F.col("id")))
         while True:
             best = colour.join(arcs, colour["id"] == arcs["u"]).groupBy("v").agg(F.min("colour").alias("m"))
-            moved = cut(colour.join(best, colour["id"] == best["v"], "left").select("id", F.least("colour", "m").alias("colour"), (F.col("m") < F.col("colour")).alias("moved")))
+            moved = written(colour.join(best, colour["id"] == best["v"], "left").select("id", F.least("colour", "m").alias("colour"), (F.col("m") < F.col("colour")).alias("moved")))
             colour = moved.select("id", "colour")
             if moved.filter("moved").isEmpty():
                 break
         same = arcs.join(colour.select(F.col("id").alias("u"), F.col("colour").alias("cu")), "u").join(colour.select(F.col("id").alias("v"), F.col("colour").alias("cv")), "v")
-        back = cut(same.filter("cu = cv").select("u", "v", F.col("cu").alias("colour")))
-        reach = cut(colour.filter("id = colour"))
+        back = written(same.filter("cu = cv").select("u", "v", F.col("cu").alias("colour")))
+        reach = written(colour.filter("id = colour"))
         frontier = reach
         while True:
             up = frontier.select(F.col("id").alias("v"), "colour").join(back, ["v", "colour"]).select(F.col("u").alias("id"), "colour").distinct()
-            frontier = cut(up.join(reach, "id", "left_anti"))
+            frontier = written(up.join(reach, "id", "left_anti"))
             if frontier.isEmpty():
                 break
-            reach = cut(reach.unionByName(frontier))
+            reach = written(reach.unionByName(frontier))
         part = reach.select("id", F.col("colour").alias("component"))
-        found = part if found is None else cut(found.unionByName(part))
-        open_ = cut(open_.join(part, "id", "left_anti"))
-        arcs = cut(arcs.join(open_.select(F.col("id").alias("u")), "u", "left_semi").join(open_.select(F.col("id").alias("v")), "v", "left_semi"))
-    return found if found is not None else nodes.select("id", F.col("id").alias("component"))
+        found = written(found.unionByName(part))
+        open_ = written(open_.join(part, "id", "left_anti"))
+        arcs = written(arcs.join(open_.select(F.col("id").alias("u")), "u", "left_semi").join(open_.select(F.col("id").alias("v")), "v", "left_semi"))
+    return found
 
 
 def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
@@ -96,23 +104,23 @@ def bisimulation_ranks(nodes: DataFrame, edges: DataFrame, scc: DataFrame) -> Da
     cycles without another way out; else the most over its component's targets of
     their rank, plus 1 where the target reaches no cycle.
     """
-    arcs = cut(condensation(edges, scc))
+    arcs = bucketed(condensation(edges, scc), "dst")
     inner = edges.join(scc.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(scc.select(F.col("id").alias("dst"), F.col("component").alias("d")), "dst")
     cyclic = inner.filter("c = d").select("c").distinct()
     comps = scc.select(F.col("component").alias("c")).distinct().join(cyclic.withColumn("cyclic", F.lit(True)), "c", "left").fillna(False)
-    open_, done = cut(comps), None
+    open_, done = written(comps), None
     while not open_.isEmpty():
         # A condensation has no cycles, so each round some component has only ranked targets.
         waits = arcs.join(open_.select(F.col("c").alias("dst")), "dst", "left_semi").select(F.col("src").alias("c"))
-        ready = cut(open_.join(waits, "c", "left_anti"))
+        ready = written(open_.join(waits, "c", "left_anti"))
         if done is None:
             part = ready.select("c", (~F.col("cyclic")).alias("well"), F.when(~F.col("cyclic"), 0).alias("rank"))
         else:
             rank = F.when(F.col("w"), F.col("r") + 1).otherwise(F.col("r"))
             told = arcs.join(done.select(F.col("c").alias("dst"), F.col("well").alias("w"), F.col("rank").alias("r")), "dst").groupBy(F.col("src").alias("c")).agg(F.max(rank).alias("rank"), F.min("w").alias("w"))
             part = ready.join(told, "c").select("c", (~F.col("cyclic") & F.col("w")).alias("well"), "rank")
-        done = cut(part if done is None else done.unionByName(part))
-        open_ = cut(open_.join(ready.select("c"), "c", "left_anti"))
+        done = written(part if done is None else done.unionByName(part))
+        open_ = written(open_.join(ready.select("c"), "c", "left_anti"))
     if done is None:
         return scc.select("id", F.lit(None).cast("int").alias("rank"))
     return scc.join(done.select(F.col("c").alias("component"), "rank"), "component").select("id", "rank")
@@ -140,6 +148,10 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
 
 
+#: Pieces of the range of ids, the bits of a long.
+PIECES = 64
+
+
 def triangle_count(edges: DataFrame) -> DataFrame:
     """Triangles of the simple undirected graph.
 
@@ -147,13 +159,26 @@ def triangle_count(edges: DataFrame) -> DataFrame:
     few however many edges a hub has.
     """
     simple = edges.filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    simple = cut(simple)
+    simple = written(simple)
+    low, high = simple.agg(F.min("u"), F.max("v")).first()
+    if low is None:
+        return edges.sparkSession.createDataFrame([(0,)], "n_triangles long")
+    # Ids fall into pieces of their range.  A wedge of which no edge joins the ends' pieces cannot close, and edges between pieces that no wedge has close none.
+    width = (high - low) // PIECES + 1
+    piece = lambda c: F.least(F.lit(PIECES - 1), F.floor((F.col(c).cast("double") - F.lit(float(low))) / F.lit(float(width))).cast("int"))
     degree = simple.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     ends = simple.join(degree.select("u", F.col("d").alias("du")), "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
     up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    arcs = cut(ends.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("v")))
-    wedges = arcs.select(F.col("u").alias("c"), F.col("v").alias("x")).join(arcs.select(F.col("u").alias("c"), F.col("v").alias("y")), "c").filter("x < y")
-    closed = wedges.join(simple.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])  # both have the lesser id first
+    arcs = bucketed(ends.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("c"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("x")), "c")
+    met = arcs.groupBy("c").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), piece("x"))).alias("mask")).select("mask").distinct()
+    places = lambda: F.explode(F.filter(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.getbit("mask", k) == 1))
+    wanted = met.select("mask", places().alias("px")).select("px", places().alias("py")).filter("px <= py").distinct()
+    joined = simple.select(piece("u").alias("px"), piece("v").alias("py")).distinct()
+    open_ = F.broadcast(written(joined.join(wanted, ["px", "py"], "left_semi")))  # PIECES squared rows at most
+    closing = written(simple.select(F.col("u").alias("x"), F.col("v").alias("y"), piece("u").alias("px"), piece("v").alias("py")).join(open_, ["px", "py"], "left_semi").select("x", "y"))
+    wedges = arcs.join(arcs.select("c", F.col("x").alias("y")), "c").filter("x < y")
+    wedges = wedges.select("x", "y", piece("x").alias("px"), piece("y").alias("py")).join(open_, ["px", "py"], "left_semi")
+    closed = wedges.join(closing, ["x", "y"])  # both have the lesser id first
     return closed.agg(F.count(F.lit(1)).alias("n_triangles"))
 
 
