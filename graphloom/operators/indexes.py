@@ -121,6 +121,18 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(sums, "id", "left").fillna(zero).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
+def neighbours_to_two(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, in_neighbours, out_neighbours): distinct neighbours of every node, two standing for more.
+
+    The least and the greatest neighbour tell, so that edges are read and shuffled once, by node.
+    """
+    none = F.lit(None).cast("long")
+    ends = edges.select(F.stack(F.lit(2), "src", none, "dst", "dst", "src", none).alias("id", "before", "after"))
+    number = lambda c: F.when(F.min(c).isNull(), 0).when(F.min(c) == F.max(c), 1).otherwise(2).cast("long")
+    found = ends.groupBy("id").agg(number("before").alias("in_neighbours"), number("after").alias("out_neighbours"))
+    return nodes.select("id").join(found, "id", "left").fillna({"in_neighbours": 0, "out_neighbours": 0})
+
+
 def dense_ids(nodes: DataFrame) -> DataFrame:
     """(id, dense_id): consecutive numbers from 0 in the order of ids.
 

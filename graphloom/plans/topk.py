@@ -5,13 +5,15 @@ star is its pivot's candidates joined with edges and each leaf's candidates; of
 leaf that no other star shares only the best ``k + n - 1`` per pivot can be part
 of an answer, so no more are kept.  Stars are joined on the query nodes that they
 share; of very many candidates, only rows that can reach the k-th score of the
-answers that the best rows alone give.  Answers map distinct query nodes to distinct data nodes; they are ranked
+answers that the best rows alone give.  If all answers tie, those of the first
+query node's greatest candidates are made alone.  Answers map distinct query nodes to distinct data nodes; they are ranked
 by the sum of similarities, then by node ids in query order, both descending.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from copy import copy
 from functools import reduce
 from itertools import combinations
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import label_similarity, lev_norm, node_terms
-from graphloom.operators.indexes import PrefixIndex, degrees
+from graphloom.operators.indexes import PrefixIndex, degrees, neighbours_to_two
 from graphloom.operators.iterate import bucketed, cut, written
 from graphloom.plans.query import Plan, Query, Star, decompose, make_plan
 from graphloom.sources.graph import Graph
@@ -28,6 +30,8 @@ from graphloom.sources.graph import Graph
 BROADCAST_ROWS = 50_000
 #: Candidates of a query from which star rows are pruned by score before they are joined, and best rows of each star that bound it.
 BOUNDED_ROWS, LEADING_ROWS = 1_000_000, 10_000
+#: Where all answers tie, the first query node's candidates of the greatest ids that are answered first, and how many times as many come next.
+FIRST_HEADS, MORE_HEADS = 100, 10
 
 
 class SimilarityMemo:
@@ -83,9 +87,9 @@ def candidates(
         raise ValueError(f"the index has prefixes of {index.p} characters, not {p}")
     if structural:
         need = {q: (len({a for a, b in query.edges if b == q}), len({b for a, b in query.edges if a == q})) for q in query.ids}
-        all_ = degrees(g.nodes, g.edges).select("id", "in_neighbours", "out_neighbours")
-        parts = [all_.filter((F.col("in_neighbours") >= i) & (F.col("out_neighbours") >= o)).select(F.lit(q).alias("qid"), "id", F.lit(1.0).alias("sim")) for q, (i, o) in need.items()]
-        return reduce(DataFrame.unionByName, parts)
+        count = neighbours_to_two if max(n for both in need.values() for n in both) <= 2 else degrees
+        fits = [F.when((F.col("in_neighbours") >= i) & (F.col("out_neighbours") >= o), F.lit(q)) for q, (i, o) in need.items()]
+        return count(g.nodes, g.edges).select(F.explode(F.array(*fits)).alias("qid"), "id", F.lit(1.0).alias("sim")).filter(F.col("qid").isNotNull())
     terms = g.nodes.select("id", node_terms().alias("terms"))
     parts = []
     for q, label in query.labels.items():
@@ -134,14 +138,18 @@ class Matcher:
             raise ValueError("the query graph is not connected, so its answers are products")
         self.graph, self.query = g, query
         self.cands = candidates(g, query, p, theta, structural, index, memo).persist()
-        extent = self.cands.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).collect()
+        extent = self.cands.groupBy("qid").agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), (F.min("sim") == F.max("sim")).alias("ties")
+        ).collect()
         self.counts: Mapping[str, int] = {q: 0 for q in query.ids} | {r.qid: r.n for r in extent}
         self.extent = {r.qid: (r.first, r.last) for r in extent}
+        self.ties = all(r.ties for r in extent)
+        self._near: dict[str, DataFrame] = {}
         self._met: dict[tuple[str, str, str], DataFrame] = {}
         self.plan: Plan = make_plan(query, decompose(query, self.counts))
 
     def _of(self, q: str) -> DataFrame:
-        own = self.cands.filter(F.col("qid") == q).select(F.col("id").alias(_col(q)), F.col("sim").alias(f"s{q}"))
+        own = self._near[q] if q in self._near else self.cands.filter(F.col("qid") == q).select(F.col("id").alias(_col(q)), F.col("sim").alias(f"s{q}"))
         return F.broadcast(own) if self.counts[q] <= BROADCAST_ROWS else own
 
     def close(self) -> None:
@@ -156,6 +164,8 @@ class Matcher:
         ends = self.graph.edges.select(F.col("src").alias(_col(a)), F.col("dst").alias(_col(b)))
         for q in (a, b):
             ends = ends.filter(F.col(_col(q)).between(*self.extent[q]) if q in self.extent else F.lit(False))
+            if q in self._near:  # broadcast, if small: so it is asked in the scans too
+                ends = ends.join(self._of(q).select(_col(q)), _col(q), "left_semi")
         return ends
 
     def met(self, a: str, b: str, by: str) -> DataFrame:
@@ -228,10 +238,58 @@ class Matcher:
             tables = [t.filter(F.col("share") + F.lit(sum(first) - f) >= F.lit(found.s - 1e-6)) for t, f in zip(tables, first, strict=True)]
         return self._combined(tables)
 
+    def near(self, heads: DataFrame) -> Matcher:
+        """The matcher of the answers whose first node is one of ``heads(q, s)``.
+
+        Steps from the heads along the query's edges leave each query node only the candidates that they meet.  A node of
+        one edge keeps all: what its edge's other end meets is found where the pairs are made.
+        """
+        out = copy(self)
+        out._near, out._met, out.counts, out.extent = {}, {}, dict(self.counts), dict(self.extent)
+
+        def leave(q: str, rows: DataFrame) -> None:
+            out._near[q] = cut(rows)
+            out.counts[q], *ends = out._near[q].agg(F.count(F.lit(1)), F.min(_col(q)), F.max(_col(q))).first()
+            out.extent[q] = tuple(ends)  # of none, nulls: no edge lies between them
+
+        seen = self.query.ids[:1]
+        leave(seen[0], heads)
+        for q in seen:
+            for a, b in self.query.incident(q):
+                other = b if a == q else a
+                if other not in seen:
+                    seen.append(other)
+                    if len(self.query.incident(other)) > 1:
+                        leave(other, out.steps(a, b).select(_col(other)).distinct().join(self._of(other), _col(other)))
+        out.plan = make_plan(self.query, decompose(self.query, out.counts))
+        return out
+
+    def tied(self, k: int) -> DataFrame:
+        """Answers among which the best ``k`` are, if all answers have one score: of the first query node's candidates those of greatest ids decide.
+
+        They are taken by blocks that grow; once ``k`` answers are found, no smaller candidate has a better one.
+        """
+        ids = self.query.ids
+        head, left, size = _col(ids[0]), self.counts[ids[0]], FIRST_HEADS
+        heads, found, n = self._of(ids[0]), [], 0
+        while left and n < k:
+            if size <= LEADING_ROWS:
+                least = heads.orderBy(F.desc(head)).limit(size).agg(F.min(head)).first()[0]
+            else:
+                least = heads.agg(F.percentile_approx(head, max(0.0, 1 - size / left))).first()[0]
+            m = self.near(heads.filter(F.col(head) >= least))
+            rows = m.joined(len(m.plan.stars), k).select(*[_col(q) for q in ids], total(ids).alias("score"))
+            found.append(cut(rows.orderBy(*rank_order(ids)).limit(k)))
+            n += found[-1].count()
+            heads, left, size = heads.filter(F.col(head) < least), left - m.counts[ids[0]], size * MORE_HEADS
+        return reduce(DataFrame.unionByName, found)
+
     def top(self, k: int) -> DataFrame:
         """The best ``k`` answers: ``rank``, a column for each query node, ``score``."""
         ids = self.query.ids
-        if len(self.plan.stars) > 1 and sum(self.counts.values()) > BOUNDED_ROWS:
+        if len(self.plan.stars) > 1 and self.ties and all(self.counts.values()) and self.counts[ids[0]] > FIRST_HEADS:
+            rows = self.tied(k)
+        elif len(self.plan.stars) > 1 and sum(self.counts.values()) > BOUNDED_ROWS:
             rows = self.bounded(k)
         else:
             rows = self.joined(len(self.plan.stars), k).select(*[_col(q) for q in ids], total(ids).alias("score"))
