@@ -55,7 +55,7 @@ IMPLIED = {
 #: Elements beyond which a block does not end an open paragraph, and an end tag nothing.
 SCOPE = frozenset("article aside button caption div footer header li main nav object section table td template th".split())
 BARRIER = frozenset("table td th template object".split())
-#: Words in a class, id or role that mark an element as no content.
+#: Words in a class, id or role that mark an element as no content, hyphens and underscores in them left out.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted "
     "cookie cookies consent gdpr notice notices alert alertdialog menu menus menubar nav navbar navigation breadcrumb breadcrumbs sidebar sidebars "
@@ -125,7 +125,8 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role"):
                 names = {w.lower() for w in (value or "").split()}
-                if names & MARKS or (not article and names & PAGE_MARKS):
+                joined = names | {w.replace("-", "").replace("_", "") for w in names}
+                if joined & MARKS or (not article and joined & PAGE_MARKS):
                     return True, False
                 words = names if tag in ("article", "main") else names | {w.lower() for w in _WORDS.findall(value or "")}
                 weak = weak or bool(words & WEAK_MARKS or words & MARKS or (not article and words & PAGE_MARKS))

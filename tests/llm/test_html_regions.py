@@ -19,3 +19,10 @@ def test_an_article_of_links_does_not_pass_for_one_long_line():
     links = "".join(f"<p><a href={i}><b><i>x{i}</i></b></a></p>" for i in range(90))
     page = f"<body><article>{links}<section><p>{LONG}</p></section></article></body>"
     assert main_text(page) == LONG.strip()
+
+
+def test_marks_of_two_words_however_they_are_joined():
+    for name in ("user-comments", "user_comments", "usercomments", "Comment-List", "ad-slot", "site-footer"):
+        assert main_text(f'<main><p>{LONG}</p><div class="x {name}"><p>{LONG}</p></div></main>') == LONG.strip()
+    for name in ("ad-hoc", "foot-care", "comment-on-lists", "user-comments-policy"):
+        assert main_text(f'<main><p>{LONG}</p><div class="{name}"><p>{LONG}</p></div></main>') == f"{LONG.strip()}\n{LONG.strip()}"
